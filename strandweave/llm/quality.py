@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_SPLIT, cut, let
+from .common import WS_SPLIT, cut, let
 
 MIN_WORDS = 50
 MIN_GROUP = 100
@@ -45,8 +45,8 @@ def _repeat_words(words: Column, n: Column) -> Column:
     def on(b: Column) -> Column:
         size, shift = b["n"], b["bits"]
 
-        def packed(i: Column) -> Column:
-            h = F.xxhash64(F.get(b["w"], i), F.get(b["w"], i + 1), F.get(b["w"], i + 2))
+        def packed(x: Column, i: Column) -> Column:
+            h = F.xxhash64(x, F.get(b["w"], i + 1), F.get(b["w"], i + 2))
             low = F.call_function("shiftright", h, shift)
             return F.call_function("shiftleft", low, shift).bitwiseOR(i.cast("long"))
 
@@ -61,7 +61,7 @@ def _repeat_words(words: Column, n: Column) -> Column:
             step = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
             return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        windows = F.sort_array(F.transform(F.sequence(F.lit(0), size - 3), packed))
+        windows = F.sort_array(F.transform(F.slice(b["w"], F.lit(1), F.greatest(size - 2, F.lit(0))), packed))
         return F.when(size < 3, F.lit(0).cast("long")).otherwise(let(let(windows, starts), covered))
 
     return let(F.struct(words.alias("w"), n.alias("n"), bits.alias("bits")), on)
@@ -71,7 +71,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` without the text, and the base counters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, WS_SPLIT, -1), "")
-    counts = let(words, lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w, F.size(w)).alias("n_repeat_words")))
+    counts = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("chars"), _repeat_words(w, F.size(w)).alias("n_repeat_words")))
 
     def lines(x: Column) -> Column:
         return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
@@ -82,13 +82,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
         *keep,
         counts.alias("_w"),
         let(with_word, lines).alias("_l"),
-        F.length(F.translate(text, WS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
     )
     return bare.select(
         "doc_id", "_lang", "_source",
         F.col("_w.n_words").cast("long").alias("n_words"),
-        "word_chars", "n_symbols",
+        F.col("_w.chars").cast("long").alias("word_chars"), "n_symbols",
         F.col("_l.dup").cast("long").alias("n_dup_lines"),
         F.col("_w.n_repeat_words").alias("n_repeat_words"),
         F.col("_l.n").cast("long").alias("n_lines"),
