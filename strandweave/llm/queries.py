@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import langid, pieces, quality
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
