@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, pieces, quality
+from . import langid, packing, pieces, quality, token_output
 from .common import table
 
 
@@ -20,10 +20,20 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark, sf_dir):
+    import public_tokenizers
+
+    return token_output.training_order(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
