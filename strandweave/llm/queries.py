@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pieces, quality, token_output
+from . import langid, licenses, packing, pieces, quality, token_output
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_token_output(spark, sf_dir):
     return token_output.training_order(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
