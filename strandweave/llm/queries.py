@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, packing, pieces, quality, token_output
+from . import langid, licenses, ngram_join, packing, pieces, quality, token_output
 from .common import table
 
 
@@ -12,6 +12,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.language_id(table(spark, sf_dir, "documents"))
 
