@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, ngram_join, packing, pieces, quality, token_output
+from . import embed_join, langid, licenses, ngram_join, packing, pieces, quality, token_output
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_join(spark, sf_dir):
+    return embed_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_output(spark, sf_dir):
     import public_tokenizers
 
