@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_join, langid, licenses, ngram_join, packing, pieces, quality, token_output
+from . import embed_join, langid, licenses, ngram_join, packing, phrase_dedup, pieces, quality, token_output
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return phrase_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
