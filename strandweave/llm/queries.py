@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_join, langid, licenses, ngram_join, packing, phrase_dedup, pieces, quality, token_output
+from . import embed_join, langid, licenses, ngram_join, packing, phrase_dedup, pieces, quality, substring_dedup, token_output
 from .common import table
 
 
@@ -12,6 +12,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 

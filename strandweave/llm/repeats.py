@@ -190,7 +190,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
-    """(bucket, doc_id, low, high, content): candidate segments, or covered ranges if content is null.
+    """(bucket, anchor, doc_id, low, high, content): candidate segments, or covered ranges if content is null.
 
     ``low`` and ``high`` are unit positions in the document; content is the
     segment's bytes, or its words joined by one blank.
@@ -198,16 +198,17 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
     buckets = 8 * partitions(docs.sparkSession)
 
     def flush(held: dict):
-        out: list[list] = [[] for _ in range(5)]
-        for (bucket, content), places in held.items():
+        out: list[list] = [[] for _ in range(6)]
+        for (anchor, content), places in held.items():
+            bucket = anchor % buckets
             least = min(places)[0]
             for doc, low, high in places:
                 mine = doc == least
-                for column, value in zip(out, (bucket if mine else doc % buckets, doc, low, high, content if mine else None), strict=True):
+                for column, value in zip(out, (bucket if mine else doc % buckets, anchor, doc, low, high, content if mine else None), strict=True):
                     column.append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
         for a in range(0, len(out[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], ["bucket", "doc_id", "low", "high", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], ["bucket", "anchor", "doc_id", "low", "high", "content"])
 
     def send(batches):
         held: dict = {}
@@ -226,7 +227,7 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
                     at = np.minimum(np.searchsorted(mine, h[x:y]), len(mine) - 1)
                     pick = x + np.flatnonzero(mine[at] == h[x:y])
                     base, who = int(u.first[t]), int(doc[a + t])
-                    to = (h[pick] % np.uint64(buckets)).astype(np.int64).tolist()
+                    to = h[pick].view(np.int64).tolist()
                     for b, f, e in zip(to, first[pick].tolist(), (last[pick] + n).tolist(), strict=True):
                         content = data[f:e] if u.words is None else b" ".join(data[u.words.start[f] : u.words.end[e - 1]].split())
                         held.setdefault((b, content), []).append((who, f - base, e - base))
@@ -237,7 +238,7 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
         yield from flush(held)
 
     rows = docs.filter(~F.col("copy")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
-    return rows.select("doc_id", "text", "anchors").mapInArrow(send, "bucket int, doc_id long, low long, high long, content binary")
+    return rows.select("doc_id", "text", "anchors").mapInArrow(send, "bucket int, anchor long, doc_id long, low long, high long, content binary")
 
 
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
