@@ -203,6 +203,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without the later members of each class."""
+    """Rows of ``docs`` without the later members of each class.
+
+    Repeated rows of a kept document stay once; rows without an id stay.
+    """
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))

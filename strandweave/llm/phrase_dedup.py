@@ -81,8 +81,12 @@ def covered_words(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     return repeats.with_cover(rows, cover)
 
 
-def remove(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text for every row."""
+def remove(docs: DataFrame, n: int = WINDOW, untouched: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text for every row.
+
+    The kept words are joined by one blank; ``untouched`` leaves texts that lose
+    nothing as they are.
+    """
 
     def run(batches):
         for batch in batches:
@@ -92,6 +96,9 @@ def remove(docs: DataFrame, n: int = WINDOW) -> DataFrame:
                 mask = repeats.covered(ranges, len(words), n, copy)
                 words_n.append(len(words))
                 gone_n.append(0 if mask is None else int(mask.sum()))
+                if mask is None and untouched:
+                    kept.append(text or "")
+                    continue
                 kept.append(b" ".join(words if mask is None else [w for w, m in zip(words, mask.tolist(), strict=True) if not m]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
@@ -100,5 +107,18 @@ def remove(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def keep_rest(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with the text that stays; rows left without words go.
+
+    ``n_chars`` follows the text. Rows without an id pass unchanged.
+    """
+    rest = remove(docs.filter(F.col("doc_id").isNotNull()), untouched=True).filter("n_words > n_removed").dropDuplicates(["doc_id"])
+    rest = rest.select("doc_id", F.col("kept_text").alias("text"))
+    rows = docs.drop("text").filter(F.col("doc_id").isNotNull()).join(rest, "doc_id")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     return remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
