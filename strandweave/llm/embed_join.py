@@ -23,6 +23,8 @@ link. Repeated rows count as copies. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ BLOCK_ROWS = 512
 SEED = 11
 
 
+@lru_cache(maxsize=8)
 def rotations(d: int, bits: int = BANDS * BITS) -> np.ndarray:
     """Random rotations of ``d`` dimensions, stacked until they give ``bits`` rows."""
     rng = np.random.Generator(np.random.Philox(SEED + d))
