@@ -15,7 +15,7 @@ def sv_count(variants: DataFrame, least: int = 50) -> DataFrame:
 def assembly_length(seqs: DataFrame) -> DataFrame:
     """(sample, mb): lengths of a sample's sequences in Mb, joined by a bar."""
     one = seqs.select("sample", "name", F.round(F.length("seq") / 1e6, 2).alias("mb"))
-    return one.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "mb"))), lambda x: F.format_number(x["mb"], "0.00")), "|").alias("mb"))
+    return one.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "mb"))), lambda x: F.format_string("%.2f", x["mb"])), "|").alias("mb"))
 
 
 def switch_errors(calls: DataFrame, by: list[str], order: list[str], same: Column) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ids import dense_ids
 from .lineage import cut
 
+KERNEL = 2_000_000  # vertices that one task holds with ease
+
 
 def seed_columns(steps: DataFrame, vertices: DataFrame) -> DataFrame:
     """(seg_id, col): earliest index on any walk; vertices on no walk come last."""
@@ -22,20 +27,67 @@ def consecutive(steps: DataFrame) -> DataFrame:
     return steps.withColumn("v", F.lead("seg_id").over(w)).filter("v is not null").select(F.col("seg_id").alias("u"), "v").distinct()
 
 
+def relaxed(col: dict[int, int], out: dict[int, list[int]], sweeps: int) -> dict[int, int]:
+    """Columns raised until every edge climbs: one pass in topological order, sweeps on what cycles."""
+    left = dict.fromkeys(col, 0)
+    for row in out.values():
+        for v in row:
+            left[v] += 1
+    queue = deque(u for u, n in left.items() if not n)
+    done = 0
+    while queue:
+        u = queue.popleft()
+        done += 1
+        for v in out.get(u, ()):
+            col[v] = max(col[v], col[u] + 1)
+            left[v] -= 1
+            if not left[v]:
+                queue.append(v)
+    for _ in range(sweeps if done < len(col) else 0):
+        moved = False
+        for u, row in out.items():
+            for v in row:
+                if col[v] <= col[u]:
+                    col[v], moved = col[u] + 1, True
+        if not moved:
+            break
+    return col
+
+
 def relax(columns: DataFrame, pairs: DataFrame, sweeps: int | None = None) -> DataFrame:
-    """Raise columns until col(v) > col(u) for every pair; the sweep cap ends cycles.
+    """Raise columns until col(v) > col(u) for every pair; a sweep cap ends cycles.
 
-    A frontier of raised vertices is pushed each round, so a round costs the
-    edges out of what changed, not the whole graph.
+    A graph of up to ``KERNEL`` vertices is one unit of work; a larger one is
+    relaxed by rounds of joins.
     """
     total = columns.count()
+    if total > KERNEL:
+        return relax_by_rounds(columns, pairs, sweeps or max(10, total))
+    none = F.lit(None).cast("long")
+    rows = columns.select(F.lit(0).alias("g"), F.col("seg_id").cast("long").alias("u"), none.alias("v"), F.col("col").cast("long").alias("c"))
+    rows = rows.union(pairs.select(F.lit(0), F.col("u").cast("long"), F.col("v").cast("long"), none))
+
+    def run(part: pa.Table) -> pa.Table:
+        col, out = {}, {}
+        for u, v, c in zip(*(part.column(x).to_pylist() for x in ("u", "v", "c")), strict=True):
+            if v is None:
+                col[u] = c
+            else:
+                out.setdefault(u, []).append(v)
+        col = relaxed(col, out, sweeps or max(10, total))
+        return pa.table({"seg_id": pa.array(col.keys(), pa.int64()), "col": pa.array(col.values(), pa.int64())})
+
+    return rows.groupBy("g").applyInArrow(run, "seg_id long, col long")
+
+
+def relax_by_rounds(columns: DataFrame, pairs: DataFrame, sweeps: int) -> DataFrame:
+    """The same by joins: a round pushes only what the one before it raised."""
     pairs = cut(pairs)
     state, front = cut(columns), None
-    for _ in range(sweeps or max(10, total)):
+    for _ in range(sweeps):
         source = state if front is None else front
         pushed = source.join(pairs, source.seg_id == pairs.u).groupBy("v").agg((F.max("col") + 1).alias("new"))
-        raised = state.join(pushed, state.seg_id == pushed.v).filter(F.col("new") > F.col("col")).select("seg_id", "new")
-        raised = cut(raised)
+        raised = cut(state.join(pushed, state.seg_id == pushed.v).filter(F.col("new") > F.col("col")).select("seg_id", "new"))
         if raised.isEmpty():
             break
         state = cut(state.join(raised, "seg_id", "left").select("seg_id", F.coalesce("new", "col").alias("col")))

@@ -76,7 +76,7 @@ def link_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         key.alias("line"), (F.col("o_custkey") % SEGMENTS).cast("string").alias("from_name"), (key % 3 == 0).alias("from_rev"),
         (F.floor(key / 4) * 7 % SEGMENTS).cast("string").alias("to_name"), (key % 5 == 0).alias("to_rev"),
-        ov.alias("ov"), ow.alias("ow"), (key % 4).cast("int").alias("rank"), field.alias("field"),
+        ov.cast("long").alias("ov"), ow.cast("long").alias("ow"), (key % 4).cast("int").alias("rank"), field.alias("field"),
     )
 
 
@@ -101,10 +101,10 @@ LINKS_SQL = f"""lsegs AS (SELECT seg_id, CASE WHEN seg_id % 17 = 0 THEN 0 ELSE 5
         (o_orderkey // 4) * 7 % {SEGMENTS} AS b, o_orderkey % 5 = 0 AS br, o_orderkey % 4 AS rank,
         (['*', ':7', '5M', '3M2I1D4M', '12:9', 'bad', '2S3N'])[o_orderkey % 7 + 1] AS field FROM orders),
     ovl AS (SELECT *, CASE WHEN regexp_full_match(field, '([0-9]+[MIDNSHPX=])+')
-            THEN coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(field, '([0-9]+)[MDN]', 1)]), 0)
+            THEN CAST(coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(field, '([0-9]+)[MDN]', 1)]), 0) AS BIGINT)
             WHEN regexp_full_match(field, '[0-9]+:[0-9]+') THEN CAST(split_part(field, ':', 1) AS BIGINT)
             WHEN regexp_full_match(field, ':[0-9]+') THEN 2147483647 ELSE 0 END AS ov,
         CASE WHEN regexp_full_match(field, '([0-9]+[MIDNSHPX=])+')
-            THEN coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(field, '([0-9]+)[MIS]', 1)]), 0)
+            THEN CAST(coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(field, '([0-9]+)[MIS]', 1)]), 0) AS BIGINT)
             WHEN regexp_full_match(field, '[0-9]*:[0-9]+') THEN CAST(split_part(field, ':', 2) AS BIGINT) ELSE 0 END AS ow FROM lrec),
     arcs AS (SELECT a * 2 + ar::INT AS v, b * 2 + br::INT AS w, ov, ow, rank, line AS link_id, FALSE AS comp FROM ovl)"""

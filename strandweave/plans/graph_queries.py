@@ -40,8 +40,8 @@ def cigar_overlap(spark, sf_dir):
 
 
 @book.query(
-    f"""WITH {ad.LINKS_SQL}, seen AS (SELECT a AS name, min(line * 3 + 1) AS at FROM lrec GROUP BY 1 UNION ALL SELECT b, min(line * 3 + 2) FROM lrec GROUP BY 1)
-    SELECT CAST(name AS VARCHAR) AS name, row_number() OVER (ORDER BY at) - 1 AS seg_id FROM (SELECT name, min(at) AS at FROM seen GROUP BY name)"""
+    f"""WITH {ad.LINKS_SQL}, seen AS (SELECT a AS name, min(line * 3 + 1) AS place FROM lrec GROUP BY 1 UNION ALL SELECT b, min(line * 3 + 2) FROM lrec GROUP BY 1)
+    SELECT CAST(name AS VARCHAR) AS name, row_number() OVER (ORDER BY place) - 1 AS seg_id FROM (SELECT name, min(place) AS place FROM seen GROUP BY name)"""
 )
 def segment_dict(spark, sf_dir):
     links = ad.link_records(spark, sf_dir)
@@ -160,9 +160,10 @@ def reverse_walks(spark, sf_dir):
     return graph.reverse_walks(graph.flip_walks(_turns(spark, sf_dir)))
 
 
-@book.query(f"WITH {ad.STEPS_SQL} SELECT seg_id, list_sort(list(DISTINCT walk_id)) AS walks FROM steps GROUP BY seg_id")
+@book.query(f"WITH {ad.STEPS_SQL} SELECT seg_id, string_agg(DISTINCT CAST(walk_id AS VARCHAR), ',' ORDER BY CAST(walk_id AS VARCHAR)) AS walks FROM steps GROUP BY seg_id")
 def haplotypes_of(spark, sf_dir):
-    return graph.haplotypes_of(_walks(spark, sf_dir)[0])
+    h = graph.haplotypes_of(_walks(spark, sf_dir)[0])
+    return h.select("seg_id", F.array_join(F.array_sort(F.transform("walks", lambda x: x.cast("string"))), ",").alias("walks"))
 
 
 @book.query(f"WITH {ad.STEPS_SQL} SELECT x AS v, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT u AS x, 0 AS i, 1 AS o FROM edges UNION ALL SELECT v, 1, 0 FROM edges) GROUP BY x")
@@ -198,10 +199,10 @@ def skip_edges(spark, sf_dir):
     return ordering.skip_edges(steps, _columns(steps, segs))
 
 
-@book.query(f"WITH RECURSIVE {ad.STEPS_SQL}, {_RELAX} SELECT u, list(v ORDER BY col, v) AS out FROM edges JOIN cols ON v = seg_id GROUP BY u")
+@book.query(f"WITH RECURSIVE {ad.STEPS_SQL}, {_RELAX} SELECT u, string_agg(CAST(v AS VARCHAR), ',' ORDER BY col, v) AS out FROM edges JOIN cols ON v = seg_id GROUP BY u")
 def sorted_adjacency(spark, sf_dir):
     steps, segs = _walks(spark, sf_dir)
-    return ordering.sorted_adjacency(_edges(steps), _columns(steps, segs))
+    return ordering.sorted_adjacency(_edges(steps), _columns(steps, segs)).select("u", F.array_join("out", ",").alias("out"))
 
 
 _LEVELS = """push(x, l) AS (SELECT seg_id, 0 FROM segs UNION SELECT e.v, p.l + 1 FROM push p JOIN edges e ON p.x = e.u),
@@ -233,8 +234,8 @@ _HAPS = f"""haps AS (SELECT walk_id, string_agg(seq, '' ORDER BY pos) AS seq FRO
     hk AS (SELECT walk_id, seq, unnest(range(0, length(seq) - {HK - 1})) AS p FROM haps WHERE length(seq) >= {HK + HW - 1}),
     hc AS (SELECT walk_id, p, least(substr(seq, p + 1, {HK}), reverse(translate(substr(seq, p + 1, {HK}), 'ACGT', 'TGCA'))) AS km FROM hk),
     hm AS (SELECT walk_id, p, min(row(km, -p)) OVER (PARTITION BY walk_id ORDER BY p ROWS BETWEEN {HW - 1} PRECEDING AND CURRENT ROW) AS m FROM hc),
-    hd AS (SELECT walk_id, p, m[1] AS key, CAST(-m[2] AS BIGINT) AS at, lag(m[1]) OVER (PARTITION BY walk_id ORDER BY p) AS prev FROM hm WHERE p >= {HW - 1}),
-    hmin AS (SELECT walk_id, at, key FROM hd WHERE prev IS NULL OR prev <> key)"""
+    hd AS (SELECT walk_id, p, m[1] AS key, CAST(-m[2] AS BIGINT) AS place, lag(m[1]) OVER (PARTITION BY walk_id ORDER BY p) AS prev FROM hm WHERE p >= {HW - 1}),
+    hmin AS (SELECT walk_id, place, key FROM hd WHERE prev IS NULL OR prev <> key)"""
 _SLICES = f"""pieces AS (SELECT walk_id * 1000 + i AS read_id, substr(seq, i * 48 + 1, 64) AS seq FROM (SELECT walk_id, seq, unnest(range(0, (length(seq) + 47) // 48)) AS i FROM haps)),
     rk AS (SELECT read_id, seq, unnest(range(0, length(seq) - {HK - 1})) AS p FROM pieces WHERE length(seq) >= {HK + HW - 1}),
     rc AS (SELECT read_id, p, least(substr(seq, p + 1, {HK}), reverse(translate(substr(seq, p + 1, {HK}), 'ACGT', 'TGCA'))) AS km FROM rk),
@@ -242,8 +243,8 @@ _SLICES = f"""pieces AS (SELECT walk_id * 1000 + i AS read_id, substr(seq, i * 4
     spec AS (SELECT key, count(DISTINCT read_id) AS multiplicity FROM rm WHERE p >= {HW - 1} GROUP BY key)"""
 _ANCHORS = f"""{_HAPS}, {_SLICES},
     offs AS (SELECT walk_id, seg_id, sum(len) OVER (PARTITION BY walk_id ORDER BY pos) - len AS s, sum(len) OVER (PARTITION BY walk_id ORDER BY pos) AS e FROM steps JOIN segs USING (seg_id)),
-    anchors AS (SELECT m.walk_id, at, key, list_sort(list(DISTINCT seg_id)) AS vtxs FROM hmin m JOIN spec USING (key)
-        JOIN offs o ON o.walk_id = m.walk_id AND o.s < at + {HK} AND o.e > at GROUP BY 1, 2, 3),
+    anchors AS (SELECT m.walk_id, place, key, list_sort(list(DISTINCT seg_id)) AS vtxs FROM hmin m JOIN spec USING (key)
+        JOIN offs o ON o.walk_id = m.walk_id AND o.s < place + {HK} AND o.e > place GROUP BY 1, 2, 3),
     worst AS (SELECT key, max(n) AS n FROM (SELECT key, vtxs, count(*) AS n FROM anchors GROUP BY 1, 2) GROUP BY 1),
     kept AS (SELECT a.* FROM anchors a JOIN worst USING (key) WHERE worst.n < 0.5 * (SELECT count(DISTINCT walk_id) FROM steps))"""
 
@@ -281,9 +282,9 @@ def haplotype_lengths(spark, sf_dir):
     return anc.haplotype_lengths(*_walks(spark, sf_dir))
 
 
-@book.query(f"WITH {ad.STEPS_SQL}, {_HAPS} SELECT walk_id, at, key FROM hmin")
+@book.query(f"WITH {ad.STEPS_SQL}, {_HAPS} SELECT walk_id, place, key FROM hmin")
 def hap_minimizers(spark, sf_dir):
-    return _hap_minimizers(_haplotypes(spark, sf_dir)[2]).select("walk_id", F.col("pos").alias("at"), "key")
+    return _hap_minimizers(_haplotypes(spark, sf_dir)[2]).select("walk_id", F.col("pos").alias("place"), "key")
 
 
 @book.query(f"WITH {ad.STEPS_SQL}, {_HAPS} SELECT n, count(*) AS keys FROM (SELECT key, count(DISTINCT walk_id) AS n FROM hmin GROUP BY key) GROUP BY n")
@@ -291,16 +292,16 @@ def shared_by_n(spark, sf_dir):
     return mz.shared_by(mz.extract_sets(_haplotypes(spark, sf_dir)[2], "walk_id", "seq", HK, HW))
 
 
-@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, at, key, list_aggregate(vtxs, 'string_agg', '_') || '_' AS path FROM anchors")
+@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, place, key, list_aggregate(vtxs, 'string_agg', '_') || '_' AS path FROM anchors")
 def anchor_join(spark, sf_dir):
     from ..functions.sequence import anchor_key
 
-    return _anchors(spark, sf_dir)[1].select("walk_id", "at", "key", anchor_key(F.col("vtxs")).alias("path"))
+    return _anchors(spark, sf_dir)[1].select("walk_id", F.col("at").alias("place"), "key", anchor_key(F.col("vtxs")).alias("path"))
 
 
-@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, at, key, vtxs FROM kept")
+@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, place, key, list_aggregate(vtxs, 'string_agg', ',') AS vtxs FROM kept")
 def ubiquity_filter(spark, sf_dir):
-    return _anchors(spark, sf_dir)[2].select("walk_id", "at", "key", "vtxs")
+    return _anchors(spark, sf_dir)[2].select("walk_id", F.col("at").alias("place"), "key", F.array_join("vtxs", ",").alias("vtxs"))
 
 
 @book.query(
@@ -341,17 +342,17 @@ def recomb_edges(spark, sf_dir):
     return frames.switches(steps, _edges(steps)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, at, key, vtxs[1] AS first, vtxs[-1] AS last, len(vtxs) AS n FROM kept WHERE len(vtxs) > 1")
+@book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, place, key, vtxs[1] AS first, vtxs[-1] AS last, len(vtxs) AS n FROM kept WHERE len(vtxs) > 1")
 def anchor_supernodes(spark, sf_dir):
-    return frames.super_nodes(_anchors(spark, sf_dir)[2])
+    return frames.super_nodes(_anchors(spark, sf_dir)[2]).withColumnRenamed("at", "place")
 
 
 @book.query(
-    f"""WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT i.walk_id, i.key, i.at, count(*) AS n FROM kept i JOIN kept o ON i.walk_id = o.walk_id
-        AND o.vtxs[1] <= i.vtxs[1] AND i.vtxs[-1] <= o.vtxs[-1] AND (o.key <> i.key OR o.at <> i.at) GROUP BY 1, 2, 3"""
+    f"""WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT i.walk_id, i.key, i.place, count(*) AS n FROM kept i JOIN kept o ON i.walk_id = o.walk_id
+        AND o.vtxs[1] <= i.vtxs[1] AND i.vtxs[-1] <= o.vtxs[-1] AND (o.key <> i.key OR o.place <> i.place) GROUP BY 1, 2, 3"""
 )
 def anchor_containment(spark, sf_dir):
-    return frames.containments(_anchors(spark, sf_dir)[2])
+    return frames.containments(_anchors(spark, sf_dir)[2]).withColumnRenamed("at", "place")
 
 
 @book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT key, row_number() OVER (ORDER BY key) - 1 AS color FROM (SELECT DISTINCT key FROM kept)")
