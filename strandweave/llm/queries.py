@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_join, langid, licenses, ngram_join, packing, phrase_dedup, pieces, quality, substring_dedup, token_output
+from . import embed_join, langid, licenses, ngram_join, oracles, packing, phrase_dedup, pieces, quality, substring_dedup, token_output
 from .common import table
 
 
@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": quality.SQL}
+    return dict(oracles.SQL)
