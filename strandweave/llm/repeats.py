@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .common import partitions
 
+ANCHOR_BITS = 56  # of an anchor's hash; equal hashes of different anchors only cost time
 FLUSH = 2_000_000  # anchors a worker holds before it sends them
 
 
@@ -84,7 +85,7 @@ def cut_segments(u: Units, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     lead = np.flatnonzero(new)
     last = start[np.append(lead[1:], len(start)) - 1]
     first = start[lead]
-    return h[anchor[lead]], np.searchsorted(u.first, first, "right") - 1, first, last
+    return h[anchor[lead]] >> np.uint64(64 - ANCHOR_BITS), np.searchsorted(u.first, first, "right") - 1, first, last
 
 
 def firsts(docs: DataFrame) -> DataFrame:
@@ -104,40 +105,54 @@ def _batches(column: pa.Array, units: Callable):
         yield a, part, mine, units(part, mine)
 
 
+def _pack(first: np.ndarray, second: np.ndarray, flags: np.ndarray) -> bytes:
+    """Three columns, ``first`` ascending: differences by byte plane, compressed."""
+    planes = np.diff(first, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    raw = b"".join((planes.tobytes(), second.view(np.uint8).reshape(-1, 8).T.tobytes(), np.packbits(flags).tobytes()))
+    return len(first).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=16 * n + (n + 7) // 8, asbytes=True)
+    wide = lambda at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
+    flags = np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, 16 * n), count=n).astype(bool)
+    return np.cumsum(wide(0), dtype=np.uint64), wide(8 * n).view(np.int64), flags
+
+
 def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
-    """(doc_id, anchors): for documents with anchors that another document has."""
+    """(doc_id, anchors): for documents with anchors that another document has.
+
+    All messages travel as compressed blocks, a bounded number for each task.
+    """
     buckets = 2 * partitions(docs.sparkSession)
-    schema = "bucket int, doc_id long, data binary"
+
+    def by_document(d: np.ndarray, h: np.ndarray):
+        """(target bucket, block) of (document, anchor) pairs."""
+        to = d % buckets
+        order = np.lexsort((h, to))
+        d, h, to = d[order], h[order], to[order]
+        edge = np.searchsorted(to, np.arange(buckets + 1))
+        for b in range(buckets):
+            x, y = edge[b], edge[b + 1]
+            if x < y:
+                yield b, _pack(h[x:y], d[x:y], np.zeros(y - x, bool))
+
+    def rows(kind: int, pairs) -> pa.RecordBatch:
+        pairs = list(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([kind] * len(pairs), pa.int32()), pa.array([x for _, x in pairs], pa.binary())], ["bucket", "kind", "data"])
 
     def local(hashes: list, ids: list):
         h, d = np.concatenate(hashes), np.concatenate(ids)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        lead = np.flatnonzero(new)
-        tail = np.append(lead[1:], len(h)) - 1
-        many = d[lead] != d[tail]
-        # Documents that share an anchor right here.
-        near = np.repeat(many, np.diff(np.append(lead, len(h))))
-        hd, dd = h[near], d[near]
-        order = np.argsort(dd, kind="stable")
-        hd, dd = hd[order], dd[order]
-        cuts = np.flatnonzero(np.concatenate(([True], dd[1:] != dd[:-1]))) if len(dd) else np.empty(0, np.int64)
-        spans = list(zip(cuts, np.append(cuts[1:], len(dd)), strict=True)) if len(dd) else []
-        to = [int(dd[a]) % buckets for a, _ in spans]
-        who = [int(dd[a]) for a, _ in spans]
-        data = [hd[a:b].tobytes() for a, b in spans]
-        # One message for each distinct anchor.
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        many = d[lead] != d[np.append(lead[1:], len(h)) - 1]
+        near = np.repeat(many, np.diff(np.append(lead, len(h))))  # documents that share an anchor right here
+        yield rows(1, by_document(d[near], h[near]))
         h, d = h[lead], d[lead]
-        edge = np.searchsorted(h, np.array([(i << 64) // buckets for i in range(buckets)], dtype=np.uint64))
-        codec = pa.Codec("zstd")
-        for b, (x, y) in enumerate(zip(edge, np.append(edge[1:], len(h)), strict=True)):
-            if x < y:
-                raw = b"".join((h[x:y].tobytes(), d[x:y].tobytes(), many[x:y].tobytes()))
-                to.append(b)
-                who.append(None)
-                data.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(who, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc_id", "data"])
+        edge = np.searchsorted(h, np.array([(i << ANCHOR_BITS) // buckets for i in range(buckets)] + [1 << ANCHOR_BITS], dtype=np.uint64))
+        yield rows(0, ((b, _pack(h[x:y], d[x:y], many[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y))
 
     def send(batches):
         hashes, ids, held = [], [], 0
@@ -155,38 +170,34 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
             yield from local(hashes, ids)
 
     def reply(part: pa.Table) -> pa.Table:
-        who, data = part.column("doc_id").to_pylist(), part.column("data").to_pylist()
-        hs, ds, ms, out_d, out_h = [], [], [], [], []
-        codec = pa.Codec("zstd")
-        for w, x in zip(who, data, strict=True):
-            if w is not None:
-                out_d.append(w)
-                out_h.append(x)
-                continue
-            size = int.from_bytes(x[:8], "little")
-            raw = codec.decompress(x[8:], decompressed_size=size, asbytes=True)
-            m = size // 17
-            hs.append(np.frombuffer(raw, np.uint64, m))
-            ds.append(np.frombuffer(raw, np.int64, m, 8 * m))
-            ms.append(np.frombuffer(raw, bool, m, 16 * m))
-        if hs:
-            h, d, m = np.concatenate(hs), np.concatenate(ds), np.concatenate(ms)
+        to, data, met = [], [], []
+        for kind, x, b in zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), part.column("bucket").to_pylist(), strict=True):
+            if kind:
+                to.append(b)
+                data.append(x)
+            else:
+                met.append(_unpack(x))
+        if met:
+            h, d, m = (np.concatenate(c) for c in zip(*met, strict=True))
             order = np.argsort(h, kind="stable")
             h, d, m = h[order], d[order], m[order]
             same = np.concatenate(([False], h[1:] == h[:-1]))
             shared = (same | np.concatenate((same[1:], [False]))) & ~m
-            h, d = h[shared], d[shared]
-            order = np.argsort(d, kind="stable")
-            h, d = h[order], d[order]
-            cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
-            for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=False) if len(d) else ():
-                out_d.append(int(d[a]))
-                out_h.append(h[a:b].tobytes())
-        return pa.table({"doc_id": pa.array(out_d, pa.int64()), "anchors": pa.array(out_h, pa.binary())})
+            for b, x in by_document(d[shared], h[shared]):
+                to.append(b)
+                data.append(x)
+        return pa.table({"target": pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
 
-    rows = docs.filter(~F.col("copy")).select(F.col("doc_id").cast("long"), "text")
-    found = rows.mapInArrow(send, schema).groupBy("bucket").applyInArrow(reply, "doc_id long, anchors binary")
-    return found.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    def gather(part: pa.Table) -> pa.Table:
+        h, d, _ = (np.concatenate(c) for c in zip(*map(_unpack, part.column("data").to_pylist()), strict=True))
+        order = np.argsort(d, kind="stable")
+        h, d = h[order], d[order]
+        cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        return pa.table({"doc_id": pa.array(d[cuts]), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=True)], pa.binary())})
+
+    texts = docs.filter(~F.col("copy")).select(F.col("doc_id").cast("long"), "text")
+    met = texts.mapInArrow(send, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(reply, "target int, data binary")
+    return met.groupBy("target").applyInArrow(gather, "doc_id long, anchors binary")
 
 
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
@@ -199,13 +210,28 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
 
     def flush(held: dict):
         out: list[list] = [[] for _ in range(6)]
+        gone: dict[int, list[tuple[int, int]]] = {}
+
+        def put(*row) -> None:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
         for (anchor, content), places in held.items():
-            bucket = anchor % buckets
             least = min(places)[0]
             for doc, low, high in places:
-                mine = doc == least
-                for column, value in zip(out, (bucket if mine else doc % buckets, anchor, doc, low, high, content if mine else None), strict=True):
-                    column.append(value)
+                if doc == least:
+                    put(anchor % buckets, anchor, doc, low, high, content)
+                else:
+                    gone.setdefault(doc, []).append((low, high))
+        for doc, ranges in gone.items():
+            ranges.sort()
+            low, high = ranges[0]
+            for a, b in ranges[1:]:
+                if a > high:
+                    put(doc % buckets, 0, doc, low, high, None)
+                    low = a
+                high = max(high, b)
+            put(doc % buckets, 0, doc, low, high, None)
         kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
         for a in range(0, len(out[0]), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], ["bucket", "anchor", "doc_id", "low", "high", "content"])
@@ -215,7 +241,7 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
         size = 0
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            want = [np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(2).to_pylist()]
+            want = [np.sort(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
             for a, buf, _, u in _batches(batch.column(1), units):
                 h, text, first, last = cut_segments(u, n, k)
                 data, edge = buf.tobytes(), np.searchsorted(text, np.arange(len(u.first)))

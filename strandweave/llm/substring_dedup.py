@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from . import repeats, suffixes
 
 LENGTH, ANCHOR = 50, 16
+ROWS = 500  # texts turned into Python objects at a time
 CHUNK = 1 << 20  # bytes of distinct segments that are ordered together
 
 
-def _decide(contents: list[bytes], least: np.ndarray, n: int) -> list[np.ndarray]:
-    """For every window of every distinct segment: the smallest document that has it."""
+def _decide(contents: list[bytes], least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of every distinct segment, one after the other: the smallest document that
+    has each, and how many each segment has."""
     sizes = np.array([len(c) for c in contents])
     text = np.frombuffer(b"".join(contents), np.uint8)
     ends = np.cumsum(sizes)
@@ -41,52 +43,63 @@ def _decide(contents: list[bytes], least: np.ndarray, n: int) -> list[np.ndarray
     low = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     at = np.flatnonzero(starts)
     np.minimum.at(low, group[at], least[of[at]])
-    return np.split(low[group[at]], np.cumsum(sizes - n + 1)[:-1])
+    return low[group[at]], sizes - n + 1
+
+
+def _spans(own: list[list[tuple[int, int]]], low: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(doc, low, high) of the covered runs of all places of all segments."""
+    seg = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    doc, base = np.array([x for row in own for x in row], np.int64).T
+    count = per[seg]
+    place = np.repeat(np.arange(len(seg)), count)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    hit = np.flatnonzero(low[(np.cumsum(per) - per)[seg][place] + step] < doc[place])
+    place, start = place[hit], (base[place] + step)[hit]
+    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(start) > n)))[: len(hit)])
+    last = np.append(new[1:], len(hit))[: len(new)] - 1
+    return doc[place[new]], start[new], start[last] + n
 
 
 def locate(part: pa.Table, n: int = LENGTH) -> pa.Table:
     """Covered byte ranges of one shard's segments."""
-    out: list[list[int]] = [[], [], []]
+    done = part.filter(part.column("content").is_null())
+    out = [tuple(done.column(c).to_numpy() for c in ("doc_id", "low", "high"))]
+    part = part.filter(part.column("content").is_valid())
     places: dict[bytes, list[tuple[int, int]]] = {}
     by_anchor: dict[int, list[bytes]] = {}
-    for d, a, b, key, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "low", "high", "anchor", "content")), strict=True):
-        if content is None:
-            for column, value in zip(out, (d, a, b), strict=True):
-                column.append(value)
-            continue
-        if content not in places:
-            places[content] = []
+    for d, a, key, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "low", "anchor", "content")), strict=True):
+        own = places.get(content)
+        if own is None:
+            places[content] = [(d, a)]
             by_anchor.setdefault(key, []).append(content)
-        places[content].append((d, a))
-
-    def settle(contents: list[bytes]) -> None:
-        least = np.array([min(places[c])[0] for c in contents])
-        for content, low in zip(contents, _decide(contents, least, n), strict=True):
-            for d, a in places[content]:
-                gone = np.flatnonzero(low < d)
-                if not len(gone):
-                    continue
-                gap = np.flatnonzero(np.diff(gone) > n)
-                first = gone[np.concatenate(([0], gap + 1))]
-                last = gone[np.append(gap, len(gone) - 1)]
-                for x, y in zip(first.tolist(), last.tolist(), strict=True):
-                    out[0].append(d)
-                    out[1].append(a + x)
-                    out[2].append(a + y + n)
+        else:
+            own.append((d, a))
 
+    whole: list[tuple[int, int, int]] = []
     held, size = [], 0
+
+    def settle() -> None:
+        own = [places[c] for c in held]
+        low, per = _decide(held, np.array([min(x)[0] for x in own]), n)
+        out.append(_spans(own, low, per, n))
+
     for contents in by_anchor.values():  # segments of different anchors share no window
-        if len(contents) == 1 and len({d for d, _ in places[contents[0]]}) == 1:
+        if len(contents) == 1:  # every string in it has the same documents
+            own = places[contents[0]]
+            if len(own) > 1:
+                least = min(own)[0]
+                whole.extend((d, a, a + len(contents[0])) for d, a in own if d > least)
             continue
         more = sum(map(len, contents))
         if held and size + more > CHUNK:
-            settle(held)
+            settle()
             held, size = [], 0
         held += contents
         size += more
     if held:
-        settle(held)
-    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "low", "high"), out, strict=True)})
+        settle()
+    out.append(tuple(np.array(whole, np.int64).reshape(-1, 3).T))
+    return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("doc_id", "low", "high"), zip(*out, strict=True), strict=True)})
 
 
 def covered_bytes(docs: DataFrame, n: int = LENGTH) -> DataFrame:
@@ -102,7 +115,7 @@ def remove(docs: DataFrame, n: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             total, gone, spans, kept = [], [], [], []
             for text, copy, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 data = (text or "").encode()
