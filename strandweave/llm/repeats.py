@@ -60,18 +60,23 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` units; k is a power of two."""
+    size, power = 1, np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        while size < k:
+            h = h[:-size] * power + h[size:]
+            power, size = np.multiply(power, power), 2 * size
+        return wordhash.mix(h)
+
+
 def cut_segments(u: Units, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, text, first window, last window) of every segment; windows by unit index."""
     none = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     total = len(u.hash)
     if total < n:
         return none
-    h, size, power = u.hash, 1, np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        while size < k:  # k is a power of two
-            h = h[:-size] * power + h[size:]
-            power, size = np.multiply(power, power), 2 * size
-        h = wordhash.mix(h)
+    h = _runs(u.hash, k)
     bits = np.uint64(max(1, int(total).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     at = _slide((h & ~low) | np.arange(len(h), dtype=np.uint64), n - k + 1) & low
@@ -267,6 +272,42 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
     return rows.select("doc_id", "text", "anchors").mapInArrow(send, "bucket int, anchor long, doc_id long, low long, high long, content binary")
 
 
+def anchor_at(content: bytes, key: int, units: Callable, n: int, k: int) -> int:
+    """Unit at which a segment's anchor begins: the first run with its hash that all windows hold."""
+    h = units(np.frombuffer(content, np.uint8), np.array([0, len(content)])).hash
+    low = len(h) - n
+    return low + int(np.flatnonzero(_runs(h[low:n], k) >> np.uint64(64 - ANCHOR_BITS) == np.uint64(key))[0])
+
+
+def narrow(group: list, n: int, k: int, bound: int):
+    """Lists of (content, places) of at most ``bound`` units, or of one content, without a common window.
+
+    ``group`` has (content, place of the anchor, places); its contents have one
+    anchor of ``k`` units. A window has ``n - k`` units around the anchor, so it holds
+    half of them on the left or more than the other half on the right. Every
+    segment is cut in two by that, and the pieces get the longer run as anchor,
+    until they fit or the anchor is the window.
+    """
+    if len(group) == 1 or sum(len(c) for c, _, _ in group) <= bound:
+        yield [(c, own) for c, _, own in group]
+        return
+    left = (n - k + 1) // 2
+    right = n - k - left + 1
+    finer: tuple[dict, dict] = {}, {}
+    for c, p, own in group:
+        cut = min(len(c) - n, p - left) + 1  # windows with ``left`` units before the anchor
+        if cut > 0:
+            finer[0].setdefault(c[p - left : p + k], {}).setdefault(c[: cut - 1 + n], (p - left, []))[1].extend(own)
+        cut = max(cut, 0)
+        if cut <= len(c) - n:
+            finer[1].setdefault(c[p : p + k + right], {}).setdefault(c[cut:], (p - cut, []))[1].extend((d, a + cut) for d, a in own)
+    group.clear()
+    for more, half in zip((left, right), finer, strict=True):
+        while half:
+            _, pieces = half.popitem()
+            yield from narrow([(c, p, own) for c, (p, own) in pieces.items()], n, k + more, bound)
+
+
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
     """docs with ``ranges``: the covered unit ranges of each document, or null."""
     ranges = cover.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))

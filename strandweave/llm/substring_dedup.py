@@ -14,7 +14,9 @@ without losing any (see ``repeats``).
 
 Null text is empty. Rows without an id are compared with nothing. Equal ids are
 equal documents: neither removes the other. An empty table gives an empty
-result. A row's text is bounded by memory alone.
+result. A row's text is bounded by memory alone. An anchor whose distinct segments
+exceed ``CHUNK`` is cut by longer anchors (``repeats.narrow``), so the order of a
+task has no other bound.
 """
 
 from __future__ import annotations
@@ -79,22 +81,29 @@ def locate(part: pa.Table, n: int = LENGTH) -> pa.Table:
     held, size = [], 0
 
     def settle() -> None:
-        own = [places[c] for c in held]
-        low, per = _decide(held, np.array([min(x)[0] for x in own]), n)
+        own = [x for _, x in held]
+        low, per = _decide([c for c, _ in held], np.array([min(x)[0] for x in own]), n)
         out.append(_spans(own, low, per, n))
 
-    for contents in by_anchor.values():  # segments of different anchors share no window
-        if len(contents) == 1:  # every string in it has the same documents
-            own = places[contents[0]]
+    def groups():
+        for key, contents in by_anchor.items():  # segments of different anchors share no window
+            if len(contents) > 1 and sum(map(len, contents)) > CHUNK:
+                yield from repeats.narrow([(c, repeats.anchor_at(c, key, repeats.byte_units, n, ANCHOR), places[c]) for c in contents], n, ANCHOR, CHUNK)
+            else:
+                yield [(c, places[c]) for c in contents]
+
+    for group in groups():
+        if len(group) == 1:  # every string in it has the same documents
+            content, own = group[0]
             if len(own) > 1:
                 least = min(own)[0]
-                whole.extend((d, a, a + len(contents[0])) for d, a in own if d > least)
+                whole.extend((d, a, a + len(content)) for d, a in own if d > least)
             continue
-        more = sum(map(len, contents))
+        more = sum(len(c) for c, _ in group)
         if held and size + more > CHUNK:
             settle()
             held, size = [], 0
-        held += contents
+        held += group
         size += more
     if held:
         settle()

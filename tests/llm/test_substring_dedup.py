@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from strandweave.llm import repeats, substring_dedup, suffixes
 
@@ -75,3 +76,27 @@ def test_odd_rows(odd_docs):
     got = substring_dedup.digests(odd_docs).collect()
     assert len(got) == 10 and all(r["n_removed"] == 0 for r in got)
     assert substring_dedup.remove(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["The and attion of", "The and attion of the words that they all have in it", "ab" * 40])
+def test_one_anchor_above_the_limit(line, monkeypatch):
+    monkeypatch.setattr(suffixes, "LIMIT", 3000)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 2000)
+    n, k, rng = 50, 16, random.Random(line)
+    ends = ["".join(rng.choice("abcde") for _ in range(40)) for _ in range(120)]
+    texts = [(rng.choice(ends) + line + rng.choice(ends)).encode() for _ in range(400)]
+    texts += [t[5:] for t in texts[:40]]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = b"".join(texts)
+    h, text, first, last = repeats.cut_segments(repeats.byte_units(np.frombuffer(data, np.uint8), offsets), n, k)
+    low, high = first - offsets[text], last + n - offsets[text]
+    part = pa.table({"doc_id": text, "low": low, "high": high, "anchor": h.view(np.int64), "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
+    distinct: dict = {}
+    for key, content in zip(h.tolist(), part.column("content").to_pylist(), strict=True):
+        distinct.setdefault(key, set()).add(content)
+    assert max(sum(map(len, x)) for x in distinct.values()) > suffixes.LIMIT
+    got = [np.zeros(len(t), bool) for t in texts]
+    for r in substring_dedup.locate(part, n).to_pylist():
+        got[r["doc_id"]][r["low"] : r["high"]] = True
+    want = brute([(d, t.decode()) for d, t in enumerate(texts)], n)
+    assert [(int(m.sum()), bytes(b for b, x in zip(t, m, strict=True) if not x)) for t, m in zip(texts, got, strict=True)] == [(r[2], r[4]) for r in want]
