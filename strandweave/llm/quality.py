@@ -14,8 +14,8 @@ are judged one by one, so repeated rows get equal verdicts; an empty table gives
 an empty result.
 
 Repeated three-word windows are found per document by sorting 64-bit values
-that hold a window hash above its position: at least 48 hash bits for texts
-under 65,536 words, 44 under a million and 40 under 16 million.
+that hold a window hash above its position; windows with an equal neighbour are
+sorted once more with their words, and equal words alone count.
 """
 
 from __future__ import annotations
@@ -55,14 +55,23 @@ def _repeat_words(words: Column, n: Column) -> Column:
             same = lambda x, j: top(F.get(s, j)) == top(x)
             hits = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-            return F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(mask)))
+
+            def read(x: Column) -> Column:
+                p = x.bitwiseAND(mask).cast("int")
+                return F.struct(F.struct(top(x), *(F.get(b["w"], p + k) for k in range(3))).alias("window"), p.cast("long").alias("at"))
+
+            return F.sort_array(F.transform(hits, read))
+
+        def confirmed(s: Column) -> Column:
+            same = lambda x, j: F.get(s, j)["window"] == x["window"]
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
 
         def covered(p: Column) -> Column:
             step = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
             return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
         windows = F.sort_array(F.transform(F.slice(b["w"], F.lit(1), F.greatest(size - 2, F.lit(0))), packed))
-        return F.when(size < 3, F.lit(0).cast("long")).otherwise(let(let(windows, starts), covered))
+        return F.when(size < 3, F.lit(0).cast("long")).otherwise(let(let(let(windows, starts), confirmed), covered))
 
     return let(F.struct(words.alias("w"), n.alias("n"), bits.alias("bits")), on)
 

@@ -78,6 +78,15 @@ def test_equals_brute_force(make_docs):
     assert 50 < sum(w["kept"] for w in want.values()) < 650 and any(not w["kept"] and not w["base_failed"] for w in want.values())
 
 
+def test_equal_hashes_of_different_windows(make_docs):
+    """The two windows agree on the 44 hash bits that a text of over 65,536 words has left."""
+    a, b = "x1149021 b c", "x1310953 b c"
+    far = " ".join(f"f{i}" for i in range(66_000))
+    rows = [(1, f"{a} {far} {b}", "en", "a"), (2, f"{a} {b} {far} {a}", "en", "a"), (3, f"{far} {b} - {a} {b}", "en", "a")]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in m.quality_rules(make_docs(rows)).collect()}
+    assert got == {d: base(t)["n_repeat_words"] for d, t, *_ in rows} == {1: 0, 2: 6, 3: 6}
+
+
 def test_odd_rows(odd_docs):
     rows = m.quality_rules(odd_docs).collect()
     assert len(rows) == 10 and [r["n_words"] for r in rows if r["doc_id"] in (0, 1, 2)] == [0, 0, 0]
