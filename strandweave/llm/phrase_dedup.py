@@ -5,7 +5,9 @@ a window whose word sequence also starts in a document with a smaller doc_id is
 removed; windows are judged on the input. Recurring windows are confirmed word
 by word in shards of anchors, compiled into one Aho-Corasick automaton a shard
 (a word is one symbol of its alphabet), and the shard's part of all documents is
-streamed through it to locate every occurrence.
+streamed through it to locate every occurrence. A shard that may have more than
+``SYMBOLS`` distinct words takes an automaton for every group of anchors, and an
+anchor above that is cut by longer anchors (``repeats.narrow``).
 
 Words are runs of bytes other than U+0009 .. U+000D and the blank, unchanged.
 Null text has no words. Rows without an id are compared with nothing. Equal ids
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from . import repeats
 
 WINDOW, ANCHOR = 13, 4
+SYMBOLS = 1 << 20  # distinct words of one automaton; code points allow 1,112,063
 ROWS = 500  # texts turned into Python objects at a time
 
 
@@ -39,37 +42,62 @@ class _Symbols(dict):
 def locate(part: pa.Table, n: int = WINDOW) -> pa.Table:
     """Covered word ranges of one shard's segments."""
     out: list[list[int]] = [[], [], []]
-    doc, low, high = (part.column(c).to_pylist() for c in ("doc_id", "low", "high"))
-    symbol, first, again = _Symbols(), {}, {}
-    streams = []
-    for d, a, b, content in zip(doc, low, high, part.column("content").to_pylist(), strict=True):
+    by_anchor: dict[int, list[tuple[int, int, bytes]]] = {}
+    for d, a, b, key, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "low", "high", "anchor", "content")), strict=True):
         if content is None:
             for column, value in zip(out, (d, a, b), strict=True):
                 column.append(value)
-            continue
-        s = "".join(map(symbol.__getitem__, content.split(b" ")))
-        streams.append((d, a, s))
-        for i in range(len(s) - n + 1):
-            w = s[i : i + n]
-            seen = first.setdefault(w, d)
-            if seen != d:
-                again[w] = min(again.get(w, seen), d)
-    if again:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for w, least in again.items():
-            automaton.add_word(w, least)
-        automaton.make_automaton()
-        for d, a, s in streams:
-            begin = end = -1
-            for at, least in automaton.iter(s):
-                if least < d:
-                    if at - n + 1 > end:
-                        if end >= 0:
-                            out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
-                        begin = at - n + 1
-                    end = at + 1
-            if end >= 0:
-                out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
+        else:
+            by_anchor.setdefault(key, []).append((d, a, content))
+    symbol, first, again, streams = _Symbols(), {}, {}, []
+
+    def settle() -> None:
+        if again:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for w, least in again.items():
+                automaton.add_word(w, least)
+            automaton.make_automaton()
+            for d, a, s in streams:
+                begin = end = -1
+                for at, least in automaton.iter(s):
+                    if least < d:
+                        if at - n + 1 > end:
+                            if end >= 0:
+                                out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
+                            begin = at - n + 1
+                        end = at + 1
+                if end >= 0:
+                    out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
+        for x in (symbol, first, again, streams):
+            x.clear()
+
+    def groups():
+        """Rows of words that share no window with other groups, and how many words they have."""
+        while by_anchor:
+            key, rows = by_anchor.popitem()
+            size = sum(content.count(b" ") + 1 for _, _, content in rows)
+            if size <= SYMBOLS:
+                yield size, ((d, a, content.split(b" ")) for d, a, content in rows)
+                continue
+            places: dict[bytes, list[tuple[int, int]]] = {}
+            for d, a, content in rows:
+                places.setdefault(content, []).append((d, a))
+            group = [(tuple(c.split(b" ")), repeats.anchor_at(c, key, repeats.word_units, n, ANCHOR), own) for c, own in places.items()]
+            for some in repeats.narrow(group, n, ANCHOR, SYMBOLS):
+                yield sum(len(c) for c, _ in some), ((d, a, c) for c, own in some for d, a in own)
+
+    for size, rows in groups():
+        if streams and len(symbol) + size > SYMBOLS:
+            settle()
+        for d, a, words in rows:
+            s = "".join(map(symbol.__getitem__, words))
+            streams.append((d, a, s))
+            for i in range(len(s) - n + 1):
+                w = s[i : i + n]
+                seen = first.setdefault(w, d)
+                if seen != d:
+                    again[w] = min(again.get(w, seen), d)
+    settle()
     return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "low", "high"), out, strict=True)})
 
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from strandweave.llm import phrase_dedup as m
 from strandweave.llm import repeats
 
@@ -56,3 +59,44 @@ def test_odd_rows(odd_docs):
     got = m.digests(odd_docs).collect()
     assert len(got) == 10 and all(r["n_removed"] == 0 for r in got)
     assert m.remove(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("count", "anchors", "symbols"), [(70_000, 1, None), (70_000, 70, None), (300, 1, 100), (300, 5, 400)])
+def test_more_words_than_code_points(count, anchors, symbols, monkeypatch):
+    if symbols:
+        monkeypatch.setattr(m, "SYMBOLS", symbols)
+    rng = random.Random(count + anchors)
+    heads = np.array([f"a{i} b c d" for i in range(20_000)])
+    data = " ".join(heads).encode()
+    u = repeats.word_units(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    lowest = heads[np.argsort(repeats.wordhash.mix(_fourfold(u.hash))[::4])[:anchors]]  # smallest in any window
+    texts: list[list[str]] = []
+    for i in range(count):
+        left, right = ([f"{side}{i}.{k}" for k in range(9)] for side in "lr")
+        same = lambda i=i: texts[i - anchors * rng.randint(1, i // anchors)]
+        if i >= anchors and rng.random() < 0.05:
+            left = same()[:9]
+        if i >= anchors and rng.random() < 0.05:
+            right = same()[13:]
+        texts.append(left + lowest[i % anchors].split() + right)
+    raw = [" ".join(t).encode() + b" " for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    u = repeats.word_units(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    h, text, first, last = repeats.cut_segments(u, 13, 4)
+    low, high = first - u.first[text], last + 13 - u.first[text]
+    content = [" ".join(texts[t][a:b]).encode() for t, a, b in zip(text.tolist(), low.tolist(), high.tolist(), strict=True)]
+    assert len({w for c in content for w in c.split()}) > (symbols or 1_112_063)
+    part = pa.table({"doc_id": text, "low": low, "high": high, "anchor": h.view(np.int64), "content": content})
+    gone: list[set] = [set() for _ in texts]
+    for r in m.locate(part).to_pylist():
+        gone[r["doc_id"]].update(range(r["low"], r["high"]))
+    want = brute([(d, " ".join(t)) for d, t in enumerate(texts)], 13)
+    assert [len(g) for g in gone] == [r[2] for r in want]
+    assert sum(map(bool, gone)) > count // 50
+
+
+def _fourfold(h):
+    with np.errstate(over="ignore"):
+        p = np.uint64(0x9E3779B97F4A7C15)
+        two = h[:-1] * p + h[1:]
+        return two[:-2] * (p * p) + two[2:]
