@@ -1,7 +1,9 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from strandweave.llm import pieces as m
 
@@ -37,3 +39,20 @@ def test_rows(odd_docs):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
     assert m.digests(odd_docs.limit(0), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [None, 0, 1, 70])
+def test_every_text_is_checked(wrong, monkeypatch):
+    texts = [f"text number {i}" for i in range(100)]
+    cut = m.codec(MODEL).cut
+    letters = SimpleNamespace(findall=lambda s: list(s) if wrong is not None and s.endswith(f"▁{wrong}") else cut.findall(s))
+    monkeypatch.setattr(m.codec(MODEL), "cut", letters)
+    column = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = SimpleNamespace(schema={"doc_id": column}, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["doc_id", "text"])
+    run = m.encode_decode(docs, MODEL)
+    if wrong is None:
+        assert next(run([batch])).column(2).to_pylist() == texts
+    else:
+        with pytest.raises(ValueError, match="disagree"):
+            next(run([batch]))
