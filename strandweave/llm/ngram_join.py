@@ -1,11 +1,12 @@
-"""Near-duplicate join on word n-grams (operator 2): a MinHash forest, then exact Jaccard.
+"""Near-duplicate join on word n-grams (operator 2): MinHash bands, then exact Jaccard.
 
 Texts are sets of five-word shingles (all words as one shingle if there are
 fewer than five; no words: no shingles and no links). Exact copies are one node.
-Each of ``TREES`` tries orders documents by a signature of its own. A matched
-prefix starts at ``DEPTH`` values and is shortened until two documents at the
-threshold share a prefix in some trie with at least the target probability:
-``1 - (1 - t ** depth) ** TREES >= RECALL``. Documents that share a prefix are
+Each of ``TREES`` bands keeps one hash of a few MinHash values. Their number is
+fixed before any data is seen: from ``DEPTH`` down, the largest at which two
+documents at the threshold share a band with at least the target probability,
+``1 - (1 - t ** depth) ** TREES >= RECALL``. No sorted trie is built and no prefix
+is shortened for single documents. Documents that share a band are
 candidates; candidates are grouped by connected components and every pair inside
 a group is verified exactly, in bounded blocks, so that a group of thousands of
 near copies neither meets in one task nor is emitted as pairs.
