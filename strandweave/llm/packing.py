@@ -12,7 +12,8 @@ bin of its own.
 
 Rows are dealt by a hash of their id to independent shards of about
 ``SHARD_ROWS`` rows, so a hot source or group of copies is spread evenly and a
-task's memory stays bounded. The duplicate cluster is the text itself (its
+task's memory stays bounded. The tightest bin is the tightest of the piece's own
+shard: an open bin of another shard is never looked at. The duplicate cluster is the text itself (its
 sha-256) unless a column is named.
 
 Null text counts as empty (one unit). A null source, and an empty text's

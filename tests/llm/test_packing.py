@@ -62,3 +62,23 @@ def test_odd_rows(odd_docs):
 
 def test_empty(odd_docs):
     assert packing.best_fit(odd_docs.limit(0)).count() == 0
+
+
+def test_several_shards(make_docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc ", k=rng.randint(0, 150))) for _ in range(60)]
+    rows = [(i, rng.choice(words), "en", rng.choice(["hot", "hot", "a", "b", None])) for i in range(400)]
+    got = packing.best_fit(make_docs(rows), capacity=64, shard_rows=50).toPandas()
+    assert 4 <= (got.bin_id // 2**32).nunique() <= 8
+    assert got.groupby("doc_id").n_units.sum().to_dict() == {i: len(t) + 1 for i, t, *_ in rows}
+    assert not got.duplicated(["doc_id", "piece"]).any()
+    for shard, part in got.groupby(got.bin_id // 2**32):  # every shard is what one shard gives alone
+        part = part.sort_values(["n_units", "doc_id", "piece"], ascending=[False, True, True])
+        of = [rows[i] for i in part.doc_id]
+        bins, offsets = packing.pack(part.n_units.to_numpy(), [r[3] for r in of], [r[1] or None for r in of], 64)
+        assert (bins + shard * 2**32 == part.bin_id).all() and (offsets == part.bin_offset).all()
+    for _, b in got.groupby("bin_id"):
+        of = [rows[i] for i in b.doc_id]
+        for values in ([r[3] for r in of if r[3]], [r[1] for r in of if r[1]]):
+            assert len(values) == len(set(values))
+        assert b.n_units.sum() <= 64
