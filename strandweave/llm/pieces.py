@@ -4,44 +4,37 @@ Encoding normalises like an identity vocabulary with a dummy prefix (blanks
 become U+2581, one is put in front), cuts the text where no vocabulary piece
 can reach across, and runs a score-ordered agenda of adjacent symbol pairs on
 every distinct segment: the pair with the best score merges first, the leftmost
-of equals, until no adjacent pair is a piece. Characters without a piece fall
-back to bytes. Segments repeat, so a worker keeps a bounded cache of them.
+of equals, until no adjacent pair is a piece. Segments of one length that an
+Arrow batch brings for the first time share their agenda: a matrix of pair
+ranks, a row a segment, in which every row merges its best pair at a time; long
+segments use a heap. Characters without a piece fall back to bytes. Segments
+repeat, so a worker keeps a bounded cache of them.
 
-Every text is also encoded and decoded by the sentencepiece library; a
-difference raises.
+Every text is also encoded and decoded by the sentencepiece library. Where the
+two differ the library's ids and text are returned, and ``agrees`` is false.
 
 Null text counts as empty and gives the begin and end ids alone. Rows are
-independent: repeated rows, very long texts and empty tables need no care.
+independent: repeated rows, ties, very long texts and empty tables need no care,
+and only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
-import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CACHE = 200_000
+CACHE = 400_000  # segments after which a worker starts a new generation
 SHORT = 40
-
-
-class _Cache(dict):
-    def __init__(self, make, bound: int):
-        super().__init__()
-        self.make, self.bound = make, bound
-
-    def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self.make(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
+BATCH = 4 << 20  # characters whose segments are looked up together
+WIDE = 21  # bits of a symbol
+NEVER = np.int32(2**31 - 1)
 
 
 class PieceCodec:
@@ -82,7 +75,10 @@ class PieceCodec:
             else:
                 raise ValueError("only normal, byte and control pieces are supported")
         self.cut = self._cutter()
-        self.segments = _Cache(self._encode_segment, bound)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bound = bound
+        self._pair_table()
 
     def _cutter(self) -> re.Pattern:
         """Segments end before a blank, and after letters where no piece goes on."""
@@ -99,26 +95,81 @@ class PieceCodec:
         word, rest = r"[^\W_]", rf"[^{BLANK}{alone}a-zA-Z0-9\u0080-\U0010ffff]"
         return re.compile(rf"{BLANK}*{rest}*{word}*{join}|[^{BLANK}]")
 
-    def _encode_segment(self, seg: str) -> bytes:
-        return b"".join(self.ids.get(x) or b"".join(self.byte_ids[b] for b in x.encode()) for x in (self._merge_short if len(seg) <= SHORT else self._merge_long)(seg))
+    def _pair_table(self) -> None:
+        """Symbols of all characters, and every pair of symbols that makes a piece, by key."""
+        ids = {p: int.from_bytes(x, "little") for p, x in self.ids.items()}
+        self.pieces = len(self.bytes_of)
+        letters = {c for p in ids for c in p} - ids.keys()
+        if self.pieces + len(letters) + 0x110000 >= 1 << WIDE:
+            raise ValueError("the vocabulary has too many pieces")
+        symbol = ids | {c: self.pieces + k for k, c in enumerate(sorted(letters))}
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.pieces + len(letters)  # characters of no piece
+        for c, k in symbol.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = k
+        rank = dict(zip(self.score, np.unique([-x for x in self.score.values()], return_inverse=True)[1].tolist(), strict=True))
+        rows = [(symbol[p[:k]] << WIDE | symbol[p[k:]], rank[p], ids[p]) for p in ids for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        table = np.array(rows, np.int64).reshape(-1, 3)
+        table = table[np.argsort(table[:, 0])]
+        self.pair_key = np.append(table[:, 0], np.int64(2**62))
+        self.pair_rank = np.append(table[:, 1], NEVER).astype(np.int32)
+        self.pair_to = np.append(table[:, 2], 0)
 
-    def _merge_short(self, seg: str) -> list[str]:
-        """The agenda as a plain list of pair scores, quick for few symbols."""
-        get, none = self.score.get, -math.inf
-        sym = list(seg)
-        agenda = [get(a + b, none) for a, b in itertools.pairwise(sym)]
-        while agenda:
-            best = max(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            sym[i : i + 2] = [piece := sym[i] + sym[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = get(sym[i - 1] + piece, none)
-            if i < len(agenda):
-                agenda[i] = get(piece + sym[i + 1], none)
-        return sym
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of pairs of symbols; ``NEVER`` if they make none."""
+        key = left << WIDE | right
+        at = np.searchsorted(self.pair_key, key)
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], NEVER), self.pair_to[at]
+
+    def _merge_batch(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of segments of one length after all merges, and how many each has left."""
+        n, m = len(segs), len(segs[0])
+        sym = self.symbol_of[np.frombuffer("".join(segs).encode("utf-32-le"), "<u4")].reshape(n, m)
+        left = np.full(n, m)
+        rank, to = self._pairs(sym[:, :-1], sym[:, 1:])
+        live = np.arange(n)
+        while m > 1 and len(live):
+            at = rank[live].argmin(axis=1)
+            go = rank[live, at] != NEVER
+            live, at = live[go], at[go]
+            s, r, t, rows = sym[live], rank[live], to[live], np.arange(len(live))
+            piece = t[rows, at]
+            tail = np.arange(m - 1) >= at[:, None]
+            s[:, :-1] = np.where(tail, s[:, 1:], s[:, :-1])
+            r[:, :-1] = np.where(tail[:, :-1], r[:, 1:], r[:, :-1])
+            t[:, :-1] = np.where(tail[:, :-1], t[:, 1:], t[:, :-1])
+            s[rows, at], r[:, -1] = piece, NEVER
+            left[live] -= 1
+            k = np.flatnonzero(at)
+            r[k, at[k] - 1], t[k, at[k] - 1] = self._pairs(s[k, at[k] - 1], piece[k])
+            k = np.flatnonzero(at + 1 < left[live])
+            r[k, at[k]], t[k, at[k]] = self._pairs(piece[k], s[k, at[k] + 1])
+            sym[live], rank[live], to[live] = s, r, t
+        return sym, left
+
+    def learn(self, segs: set[str]) -> None:
+        """Have the ids of all ``segs`` in ``known``; a full generation becomes the older one, the oldest goes."""
+        if len(self.known) >= self.bound:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        by_length: dict[int, list[str]] = {}
+        for seg in segs.difference(known):
+            if seg in older:
+                known[seg] = older[seg]
+            else:
+                by_length.setdefault(len(seg), []).append(seg)
+        for m, own in by_length.items():
+            if not 0 < m <= SHORT:
+                known.update((seg, self._encode_segment(seg)) for seg in own)
+                continue
+            sym, left = self._merge_batch(own)
+            plain = ((sym < self.pieces) | (np.arange(m) >= left[:, None])).all(axis=1).tolist()
+            width, data, left = 4 * m, sym.astype("<u4").tobytes(), left.tolist()
+            for k, seg in enumerate(own):
+                known[seg] = data[k * width : k * width + 4 * left[k]] if plain[k] else self._encode_segment(seg)
+
+    def _encode_segment(self, seg: str) -> bytes:
+        return b"".join(self.ids.get(x) or b"".join(self.byte_ids[b] for b in x.encode()) for x in self._merge_long(seg))
 
     def _merge_long(self, seg: str) -> list[str]:
         """The agenda as a heap; stale pairs are skipped when they come up."""
@@ -149,13 +200,21 @@ class PieceCodec:
                     heapq.heappush(agenda, (-s, h, i, new))
         return [x for x in sym if x is not None]
 
-    def encode_bytes(self, text: str) -> bytes:
-        """All ids, begin and end included, as little-endian unsigned 32-bit integers."""
-        body = b"".join(map(self.segments.__getitem__, self.cut.findall(BLANK + text.replace(" ", BLANK)))) if text else b""
-        return self.bos.to_bytes(4, "little") + body + self.eos.to_bytes(4, "little")
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
+        begin, end, out, at = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little"), [], 0
+        while at < len(texts):
+            rows, size = [], 0
+            while at < len(texts) and size < BATCH:
+                rows.append(self.cut.findall(BLANK + texts[at].replace(" ", BLANK)) if texts[at] else [])
+                size += len(texts[at]) + 1
+                at += 1
+            self.learn(set().union(*rows))
+            out.extend(begin + b"".join(map(self.known.__getitem__, row)) + end for row in rows)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return memoryview(self.encode_bytes(text)).cast("I").tolist()
+        return memoryview(self.encode_texts([text])[0]).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
         parts = list(map(self.bytes_of.__getitem__, ids))
@@ -181,32 +240,34 @@ def codec(model_file: str) -> PieceCodec:
 
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids (binary, unsigned 32-bit) and the text decoded from them."""
+    """doc_id, ids (binary, unsigned 32-bit), the text decoded from them, and whether the library agrees."""
 
     def run(batches):
         c = codec(model_file)
         for batch in batches:
-            ids, back = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ids.append(c.encode_bytes(text))
-                row = memoryview(ids[-1]).cast("I").tolist()
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            ids, back, agrees = c.encode_texts(texts), [], []
+            for k, text in enumerate(texts):
+                row = memoryview(ids[k]).cast("I").tolist()
                 back.append(c.decode(row))
                 want = c.library.encode(text, add_bos=True, add_eos=True)
-                if want != row or c.library.decode(want) != back[-1]:
-                    raise ValueError("the agenda and the sentencepiece library disagree")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+                plain = c.library.decode(want)
+                agrees.append(want == row and plain == back[k])
+                if not agrees[k]:
+                    ids[k], back[k] = np.array(want, "<u4").tobytes(), plain
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string()), pa.array(agrees, pa.bool_())], ["doc_id", "ids", "decoded", "agrees"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string, agrees boolean")
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and agrees for every row."""
     both = encode_decode(docs, model_file)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
     )

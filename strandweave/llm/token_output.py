@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir
-from .pieces import _Cache
 
 SEQUENCE = 1024
 SHARD = 4096
@@ -38,6 +37,25 @@ CACHE = 250_000
 _encoders: dict = {}
 
 
+class _Cache(dict):
+    """Values by key in two generations: a full young one becomes the old one."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.bound:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Byte-level ids of whole texts through a bounded cache of blank-led chunks.
 

@@ -23,9 +23,21 @@ def test_equals_the_library():
 
 def test_both_agendas_agree():
     c, rng = m.PieceCodec(MODEL), random.Random(3)
-    for _ in range(500):
-        s = "".join(rng.choices("▁theinorast", k=rng.randint(1, 60)))
-        assert c._merge_short(s) == c._merge_long(s)
+    for size in (1, 2, 3, 7, 20, 40):
+        segs = ["".join(rng.choices("▁theinorast日🎉", k=size)) for _ in range(300)]
+        sym, left = c._merge_batch(segs)
+        for seg, row, n in zip(segs, sym.tolist(), left.tolist(), strict=True):
+            want = c._merge_long(seg)
+            assert n == len(want)
+            assert [x if x < c.pieces else None for x in row[:n]] == [int.from_bytes(c.ids[p], "little") if p in c.ids else None for p in want]
+
+
+def test_generations_of_the_cache():
+    c, rng = m.PieceCodec(MODEL, bound=50), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(20)) for _ in range(5)]
+        assert c.encode_texts(texts) == [np.array(c.library.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+        assert len(c.known) <= 150 + 50
 
 
 def test_rows(odd_docs):
@@ -52,7 +64,12 @@ def test_every_text_is_checked(wrong, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["doc_id", "text"])
     run = m.encode_decode(docs, MODEL)
     if wrong is None:
-        assert next(run([batch])).column(2).to_pylist() == texts
+        got = next(run([batch]))
+        assert got.column(2).to_pylist() == texts
+        assert all(got.column(3).to_pylist())
     else:
-        with pytest.raises(ValueError, match="disagree"):
-            next(run([batch]))
+        got = next(run([batch]))
+        assert got.column(2).to_pylist() == texts
+        assert [k for k, ok in enumerate(got.column(3).to_pylist()) if not ok] == [wrong]
+        lib = m.codec(MODEL).library
+        assert got.column(1).to_pylist() == [np.array(lib.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
