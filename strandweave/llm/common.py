@@ -47,6 +47,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and the number of rows of each in ``count``.
+
+    Keys with at least a ``share``-th of all rows, of which there are at most
+    ``share``, are broadcast, so that no task gets a hot key's rows; ``spread``
+    deals those rows evenly while the others are joined by key.
+    """
+    values = [c for c in table.columns if c not in (key, count)]
+    marked = table.crossJoin(F.broadcast(table.agg(F.sum(count).alias("_all")))).withColumn("_hot", F.col(count) * share >= F.col("_all"))
+    hot = marked.filter("_hot").select(key, F.struct(*values, "_hot").alias("_h"))
+    rest = marked.filter("not _hot").select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values, "_hot").alias("_r"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("long"))
+    both = salted.join(rest, [key, "_salt"], "left").withColumn("_v", F.coalesce("_h", "_r")).filter("_v is not null")
+    return both.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every node of ``edges(u, v)``, undirected.
 

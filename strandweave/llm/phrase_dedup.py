@@ -10,9 +10,12 @@ streamed through it to locate every occurrence. A shard that may have more than
 anchor above that is cut by longer anchors (``repeats.narrow``).
 
 Words are runs of bytes other than U+0009 .. U+000D and the blank, unchanged.
-Null text has no words. Rows without an id are compared with nothing. Equal ids
-are equal documents (repeated rows): neither removes the other. An empty table
-gives an empty result. Text is streamed, so its length is bounded by a row's
+Null text has no words. Rows without an id are compared with nothing. Rows with
+one id are one document: none removes anything from another, and each row is
+judged by itself, be its text the same or not. Of equal windows the smallest id
+keeps its own; nothing else can tie. An empty table gives an empty result. Only
+doc_id and text are read (``keep_rest`` keeps all columns as they are), so other
+columns may have any name. Text is streamed, so its length is bounded by a row's
 memory alone.
 """
 
@@ -22,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
 
@@ -41,14 +45,18 @@ class _Symbols(dict):
 
 def locate(part: pa.Table, n: int = WINDOW) -> pa.Table:
     """Covered word ranges of one shard's segments."""
-    out: list[list[int]] = [[], [], []]
-    by_anchor: dict[int, list[tuple[int, int, bytes]]] = {}
-    for d, a, b, key, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "low", "high", "anchor", "content")), strict=True):
+    out: list[list[int]] = [[], [], [], []]
+    by_anchor: dict[tuple[int, int], list[tuple[int, int, int, int, bytes]]] = {}
+
+    def put(*row) -> None:
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+
+    for d, v, a, b, key, width, at, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "variant", "low", "high", "anchor", "width", "place", "content")), strict=True):
         if content is None:
-            for column, value in zip(out, (d, a, b), strict=True):
-                column.append(value)
+            put(d, v, a, b)
         else:
-            by_anchor.setdefault(key, []).append((d, a, content))
+            by_anchor.setdefault((key, width), []).append((d, v, a, at, content))
     symbol, first, again, streams = _Symbols(), {}, {}, []
 
     def settle() -> None:
@@ -57,96 +65,104 @@ def locate(part: pa.Table, n: int = WINDOW) -> pa.Table:
             for w, least in again.items():
                 automaton.add_word(w, least)
             automaton.make_automaton()
-            for d, a, s in streams:
+            for d, v, a, s in streams:
                 begin = end = -1
                 for at, least in automaton.iter(s):
                     if least < d:
                         if at - n + 1 > end:
                             if end >= 0:
-                                out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
+                                put(d, v, a + begin, a + end)
                             begin = at - n + 1
                         end = at + 1
                 if end >= 0:
-                    out[0].append(d), out[1].append(a + begin), out[2].append(a + end)
+                    put(d, v, a + begin, a + end)
         for x in (symbol, first, again, streams):
             x.clear()
 
     def groups():
         """Rows of words that share no window with other groups, and how many words they have."""
         while by_anchor:
-            key, rows = by_anchor.popitem()
-            size = sum(content.count(b" ") + 1 for _, _, content in rows)
+            (_, width), rows = by_anchor.popitem()
+            size = sum(content.count(b" ") + 1 for *_, content in rows)
             if size <= SYMBOLS:
-                yield size, ((d, a, content.split(b" ")) for d, a, content in rows)
+                yield size, ((d, v, a, content.split(b" ")) for d, v, a, _, content in rows)
                 continue
-            places: dict[bytes, list[tuple[int, int]]] = {}
-            for d, a, content in rows:
-                places.setdefault(content, []).append((d, a))
-            group = [(tuple(c.split(b" ")), repeats.anchor_at(c, key, repeats.word_units, n, ANCHOR), own) for c, own in places.items()]
-            for some in repeats.narrow(group, n, ANCHOR, SYMBOLS):
-                yield sum(len(c) for c, _ in some), ((d, a, c) for c, own in some for d, a in own)
+            places: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}
+            for d, v, a, at, content in rows:
+                places.setdefault(content, (at, []))[1].append((d, v, a))
+            group = [(tuple(c.split(b" ")), at, own) for c, (at, own) in places.items()]
+            for some in repeats.narrow(group, n, width, SYMBOLS):
+                yield sum(len(c) for c, _ in some), ((d, v, a, c) for c, own in some for d, v, a in own)
 
     for size, rows in groups():
         if streams and len(symbol) + size > SYMBOLS:
             settle()
-        for d, a, words in rows:
+        for d, v, a, words in rows:
             s = "".join(map(symbol.__getitem__, words))
-            streams.append((d, a, s))
+            streams.append((d, v, a, s))
             for i in range(len(s) - n + 1):
                 w = s[i : i + n]
                 seen = first.setdefault(w, d)
                 if seen != d:
                     again[w] = min(again.get(w, seen), d)
     settle()
-    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "low", "high"), out, strict=True)})
+    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "variant", "low", "high"), out, strict=True)})
 
 
-def covered_words(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, text, copy and ranges of covered words, for rows with an id."""
-    rows = repeats.firsts(docs)
+def covered_words(docs: DataFrame, n: int = WINDOW, whole: bool = False) -> DataFrame:
+    """doc_id, text, copy and ranges of covered words, for rows with an id; ``whole`` adds the other columns."""
+    rows = repeats.firsts(docs, whole)
     found = repeats.candidates(rows, repeats.word_units, n, ANCHOR)
     parts = repeats.segments(rows, found, repeats.word_units, n, ANCHOR)
-    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n), "doc_id long, low long, high long")
+    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n), repeats.ROW)
     return repeats.with_cover(rows, cover)
 
 
-def remove(docs: DataFrame, n: int = WINDOW, untouched: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text for every row.
+def _rest(batch: pa.RecordBatch, n: int, untouched: bool) -> list[pa.Array]:
+    """Words, removed words and what stays of (text, copy, ranges) rows."""
+    words_n, gone_n, kept = [], [], []
+    for text, copy, ranges in zip(*(batch.column(k).to_pylist() for k in ("text", "copy", "ranges")), strict=True):
+        words = (text or "").encode().split()
+        mask = repeats.covered(ranges, len(words), n, copy)
+        words_n.append(len(words))
+        gone_n.append(0 if mask is None else int(mask.sum()))
+        if mask is None and untouched:
+            kept.append(text or "")
+            continue
+        kept.append(b" ".join(words if mask is None else [w for w, m in zip(words, mask.tolist(), strict=True) if not m]).decode())
+    return [pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())]
 
-    The kept words are joined by one blank; ``untouched`` leaves texts that lose
-    nothing as they are.
-    """
+
+def remove(docs: DataFrame, n: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text, the kept words joined by one blank, for every row."""
 
     def run(batches):
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            words_n, gone_n, kept = [], [], []
-            for text, copy, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = (text or "").encode().split()
-                mask = repeats.covered(ranges, len(words), n, copy)
-                words_n.append(len(words))
-                gone_n.append(0 if mask is None else int(mask.sum()))
-                if mask is None and untouched:
-                    kept.append(text or "")
-                    continue
-                kept.append(b" ".join(words if mask is None else [w for w, m in zip(words, mask.tolist(), strict=True) if not m]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_rest(batch, n, False)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     lost = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<low: long, high: long>>").alias("ranges"))
     rows = covered_words(docs, n).select("doc_id", "text", "copy", "ranges").union(lost)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def keep_rest(docs: DataFrame) -> DataFrame:
+def keep_rest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` with the text that stays; rows left without words go.
 
-    ``n_chars`` follows the text. Rows without an id pass unchanged.
+    A text that loses nothing stays as it is. ``n_chars`` follows the text; other
+    columns stay. Repeated rows are all kept, rows without an id pass unchanged.
     """
-    rest = remove(docs.filter(F.col("doc_id").isNotNull()), untouched=True).filter("n_words > n_removed").dropDuplicates(["doc_id"])
-    rest = rest.select("doc_id", F.col("kept_text").alias("text"))
-    rows = docs.drop("text").filter(F.col("doc_id").isNotNull()).join(rest, "doc_id")
+    rows = covered_words(docs, n, whole=True).select("text", "copy", "ranges", "rest")
+
+    def run(batches):
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *_rest(batch, n, True)], ["rest", "n_words", "n_removed", "kept_text"])
+
+    schema = T.StructType([rows.schema["rest"], *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")], T.StructField("kept_text", T.StringType())])
+    kept = rows.mapInArrow(run, schema).filter("n_words > n_removed")
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[new.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns]).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def digests(docs: DataFrame) -> DataFrame:

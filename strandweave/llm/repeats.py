@@ -11,17 +11,24 @@ form a segment, and segments split a document's windows without overlap.
    costs one message for each partition.
 2. ``segments``: candidate segments leave their documents. Equal segments of a
    partition leave once, for the smallest document; later documents are covered
-   there and then.
+   there and then. A segment around an anchor of ``HOT`` documents or more (part of
+   a line that many documents hold, say) leaves as its windows, each its own anchor:
+   a partition sends a window once, so no bucket gets more of it than there are
+   partitions.
 3. The operators decide, within anchor buckets, which windows also start in a
    smaller document, by their own methods, and return covered unit ranges.
 4. ``with_cover`` brings the ranges back to the documents.
 
 Exact copies are one text to steps 1 to 3: only the smallest doc_id of equal
-texts takes part, and later copies are covered whole.
+texts takes part, and later copies are covered whole. Rows are told apart by
+(doc_id, variant): the variant is 0 unless an id comes with several texts. Such
+rows are one document, none removes anything from another, and every row is
+judged against the documents with smaller ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -30,10 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import partitions
+from .common import lookup, partitions
 
 ANCHOR_BITS = 56  # of an anchor's hash; equal hashes of different anchors only cost time
 FLUSH = 2_000_000  # anchors a worker holds before it sends them
+HOT = 4096  # documents from which on the windows around an anchor are dealt one by one
+HOT_SHARE = 10  # and the part of its bucket's documents: at most so many hot anchors a bucket
+FLAG = np.uint64(1 << 60)  # marks a hot anchor
+ROW = "doc_id long, variant long, low long, high long"
 
 
 class Units:
@@ -70,9 +81,9 @@ def _runs(h: np.ndarray, k: int) -> np.ndarray:
         return wordhash.mix(h)
 
 
-def cut_segments(u: Units, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, text, first window, last window) of every segment; windows by unit index."""
-    none = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
+def cut_segments(u: Units, n: int, k: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, text, first window, last window, anchor) of every segment; windows and anchors by unit index."""
+    none = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
     total = len(u.hash)
     if total < n:
         return none
@@ -90,16 +101,24 @@ def cut_segments(u: Units, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     lead = np.flatnonzero(new)
     last = start[np.append(lead[1:], len(start)) - 1]
     first = start[lead]
-    return h[anchor[lead]] >> np.uint64(64 - ANCHOR_BITS), np.searchsorted(u.first, first, "right") - 1, first, last
+    name = wordhash.mix(h[anchor[lead]]) >> np.uint64(64 - ANCHOR_BITS)  # smallest hashes are small: spread them again
+    return name, np.searchsorted(u.first, first, "right") - 1, first, last, anchor[lead]
 
 
-def firsts(docs: DataFrame) -> DataFrame:
-    """docs with ``copy``: an earlier document has the same text. Rows without an id are left out."""
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    tags = rows.select("doc_id", F.md5("text").alias("tag"))
-    low = tags.groupBy("tag").agg(F.min("doc_id").alias("low"))
-    later = tags.join(low, "tag").filter("doc_id > low").select("doc_id").distinct().withColumn("later", F.lit(True))
-    return rows.join(later, "doc_id", "left").select("doc_id", "text", F.coalesce("later", F.lit(False)).alias("copy"))
+def firsts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, variant, text, copy): ``copy`` if a document with a smaller id has the same text.
+
+    Rows without an id are left out. ``whole`` adds ``rest``, a struct of all other columns and the id.
+    """
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if whole else []
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest).withColumn("tag", F.md5("text"))
+    tags = rows.select("doc_id", "tag")
+    low = tags.groupBy("tag").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    later = lookup(tags, low, "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", "tag")
+    several = tags.groupBy("doc_id").agg((F.min("tag") != F.max("tag")).alias("several")).filter("several").select("doc_id")
+    marks = later.select("doc_id", "tag", F.lit(1).alias("later"), F.lit(0).cast("long").alias("variant")).union(tags.join(several, "doc_id", "left_semi").select("doc_id", "tag", F.lit(0), F.xxhash64("tag")))
+    marks = marks.groupBy("doc_id", "tag").agg(F.max("later").alias("later"), F.max(F.nullif("variant", F.lit(0))).alias("variant"))
+    return rows.join(marks, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("variant", F.lit(0)).alias("variant"), "text", (F.coalesce("later", F.lit(0)) == 1).alias("copy"), *(["rest"] if whole else []))
 
 
 def _batches(column: pa.Array, units: Callable):
@@ -110,19 +129,18 @@ def _batches(column: pa.Array, units: Callable):
         yield a, part, mine, units(part, mine)
 
 
-def _pack(first: np.ndarray, second: np.ndarray, flags: np.ndarray) -> bytes:
-    """Three columns, ``first`` ascending: differences by byte plane, compressed."""
-    planes = np.diff(first, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    raw = b"".join((planes.tobytes(), second.view(np.uint8).reshape(-1, 8).T.tobytes(), np.packbits(flags).tobytes()))
+def _pack(*columns: np.ndarray) -> bytes:
+    """64-bit columns, the first ascending and kept as differences: byte planes, compressed."""
+    first = np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0))
+    raw = b"".join(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (first.view(np.int64), *columns[1:]))
     return len(first).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes, width: int) -> tuple[np.ndarray, ...]:
     n = int.from_bytes(data[:8], "little")
-    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=16 * n + (n + 7) // 8, asbytes=True)
-    wide = lambda at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
-    flags = np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, 16 * n), count=n).astype(bool)
-    return np.cumsum(wide(0), dtype=np.uint64), wide(8 * n).view(np.int64), flags
+    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=8 * n * width, asbytes=True)
+    out = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * k).reshape(8, n).T).view(np.int64).ravel() for k in range(width)]
+    return np.cumsum(out[0].view(np.uint64), dtype=np.uint64), *out[1:]
 
 
 def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
@@ -130,7 +148,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
 
     All messages travel as compressed blocks, a bounded number for each task.
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets, most, hot_from, hot_share = 2 * partitions(docs.sparkSession), FLUSH, HOT, HOT_SHARE  # as set here, not in a worker
 
     def by_document(d: np.ndarray, h: np.ndarray):
         """(target bucket, block) of (document, anchor) pairs."""
@@ -141,7 +159,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
         for b in range(buckets):
             x, y = edge[b], edge[b + 1]
             if x < y:
-                yield b, _pack(h[x:y], d[x:y], np.zeros(y - x, bool))
+                yield b, _pack(h[x:y], d[x:y])
 
     def rows(kind: int, pairs) -> pa.RecordBatch:
         pairs = list(pairs)
@@ -151,167 +169,196 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
         h, d = np.concatenate(hashes), np.concatenate(ids)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+        h, d = h[new], d[new]
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        many = d[lead] != d[np.append(lead[1:], len(h)) - 1]
-        near = np.repeat(many, np.diff(np.append(lead, len(h))))  # documents that share an anchor right here
+        count = np.diff(np.append(lead, len(h)))
+        near = np.repeat(count > 1, count)  # documents that share an anchor right here
         yield rows(1, by_document(d[near], h[near]))
         h, d = h[lead], d[lead]
         edge = np.searchsorted(h, np.array([(i << ANCHOR_BITS) // buckets for i in range(buckets)] + [1 << ANCHOR_BITS], dtype=np.uint64))
-        yield rows(0, ((b, _pack(h[x:y], d[x:y], many[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y))
+        yield rows(0, ((b, _pack(h[x:y], d[x:y], count[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y))
 
     def send(batches):
         hashes, ids, held = [], [], 0
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, _, u in _batches(batch.column(1), units):
-                h, text, _, _ = cut_segments(u, n, k)
+                h, text, *_ = cut_segments(u, n, k)
                 hashes.append(h)
                 ids.append(doc[a + text])
                 held += len(h)
-                if held >= FLUSH:
+                if held >= most:
                     yield from local(hashes, ids)
                     hashes, ids, held = [], [], 0
         if held:
             yield from local(hashes, ids)
 
     def reply(part: pa.Table) -> pa.Table:
-        to, data, met = [], [], []
+        """Blocks of (anchor, document) pairs by the document's bucket, and hot anchors to all buckets."""
+        out, met = [], []
         for kind, x, b in zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), part.column("bucket").to_pylist(), strict=True):
             if kind:
-                to.append(b)
-                data.append(x)
+                out.append((b, False, x))
             else:
-                met.append(_unpack(x))
+                met.append(_unpack(x, 3))
         if met:
-            h, d, m = (np.concatenate(c) for c in zip(*met, strict=True))
+            h, d, count = (np.concatenate(c) for c in zip(*met, strict=True))
             order = np.argsort(h, kind="stable")
-            h, d, m = h[order], d[order], m[order]
-            same = np.concatenate(([False], h[1:] == h[:-1]))
-            shared = (same | np.concatenate((same[1:], [False]))) & ~m
-            for b, x in by_document(d[shared], h[shared]):
-                to.append(b)
-                data.append(x)
-        return pa.table({"target": pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
+            h, d, count = h[order], d[order], count[order]
+            lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.append(lead, len(h)))
+            shared = np.repeat(size > 1, size) & (count == 1)
+            out.extend((b, False, x) for b, x in by_document(d[shared], h[shared]))
+            total = np.add.reduceat(count, lead)
+            hot = h[lead[total >= max(hot_from, total.sum() / hot_share)]]
+            if len(hot):
+                out.extend((b, True, hot.tobytes()) for b in range(buckets))
+        to, kind, data = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"target": pa.array(to, pa.int32()), "hot": pa.array(kind, pa.bool_()), "data": pa.array(data, pa.binary())})
 
     def gather(part: pa.Table) -> pa.Table:
-        h, d, _ = (np.concatenate(c) for c in zip(*map(_unpack, part.column("data").to_pylist()), strict=True))
+        hot = np.frombuffer(b"".join(part.filter(part.column("hot")).column("data").to_pylist()), np.uint64)
+        blocks = [_unpack(x, 2) for x, other in zip(part.column("data").to_pylist(), part.column("hot").to_pylist(), strict=True) if not other]
+        if not blocks:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "anchors": pa.array([], pa.binary())})
+        h, d = (np.concatenate(c) for c in zip(*blocks, strict=True))
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
+        h = np.where(np.isin(h, hot), h | FLAG, h)
         cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         return pa.table({"doc_id": pa.array(d[cuts]), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=True)], pa.binary())})
 
-    texts = docs.filter(~F.col("copy")).select(F.col("doc_id").cast("long"), "text")
-    met = texts.mapInArrow(send, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(reply, "target int, data binary")
+    texts = docs.filter(~F.col("copy")).select("doc_id", "text")
+    met = texts.mapInArrow(send, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(reply, "target int, hot boolean, data binary")
     return met.groupBy("target").applyInArrow(gather, "doc_id long, anchors binary")
 
 
+def halves(content, p: int, n: int, k: int):
+    """The two parts of a segment by the longer run that their windows hold: (part, its offset, place and length of the run).
+
+    All windows of ``content`` hold the ``k`` units at ``p`` and so ``n - k`` units
+    around them: half of those on the left, or more than the other half on the right.
+    """
+    left = (n - k + 1) // 2
+    right = n - k - left + 1
+    cut = max(0, min(len(content) - n, p - left) + 1)  # windows with ``left`` units before the run
+    if cut:
+        yield content[: cut - 1 + n], 0, p - left, k + left
+    if cut <= len(content) - n:
+        yield content[cut:], cut, p - cut, k + right
+
+
+def _name(window: bytes) -> int:
+    """Anchor number of a window."""
+    return int.from_bytes(hashlib.blake2b(window, digest_size=ANCHOR_BITS // 8).digest(), "little")
+
+
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
-    """(bucket, anchor, doc_id, low, high, content): candidate segments, or covered ranges if content is null.
+    """Candidate segments, or covered ranges if content is null.
 
-    ``low`` and ``high`` are unit positions in the document; content is the
-    segment's bytes, or its words joined by one blank.
+    (bucket, anchor, width, place, doc_id, variant, low, high, content): the anchor has
+    ``width`` units from unit ``place`` of the content on; ``low`` and ``high`` are unit
+    positions in the document; content is the segment's bytes, or its words
+    joined by one blank.
     """
     buckets = 8 * partitions(docs.sparkSession)
+    names = ["bucket", "anchor", "width", "place", "doc_id", "variant", "low", "high", "content"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary())
 
     def flush(held: dict):
-        out: list[list] = [[] for _ in range(6)]
-        gone: dict[int, list[tuple[int, int]]] = {}
+        out: list[list] = [[] for _ in names]
+        gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
         def put(*row) -> None:
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
-        for (anchor, content), places in held.items():
+        for (anchor, width, content), (place, places) in held.items():
             least = min(places)[0]
-            for doc, low, high in places:
+            for doc, variant, low, high in places:
                 if doc == least:
-                    put(anchor % buckets, anchor, doc, low, high, content)
+                    put(anchor % buckets, anchor, width, place, doc, variant, low, high, content)
                 else:
-                    gone.setdefault(doc, []).append((low, high))
-        for doc, ranges in gone.items():
+                    gone.setdefault((doc, variant), []).append((low, high))
+        for (doc, variant), ranges in gone.items():
             ranges.sort()
             low, high = ranges[0]
             for a, b in ranges[1:]:
                 if a > high:
-                    put(doc % buckets, 0, doc, low, high, None)
+                    put(doc % buckets, 0, 0, 0, doc, variant, low, high, None)
                     low = a
                 high = max(high, b)
-            put(doc % buckets, 0, doc, low, high, None)
-        kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
+            put(doc % buckets, 0, 0, 0, doc, variant, low, high, None)
         for a in range(0, len(out[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], ["bucket", "anchor", "doc_id", "low", "high", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], names)
 
     def send(batches):
         held: dict = {}
         size = 0
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            want = [np.sort(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
-            for a, buf, _, u in _batches(batch.column(1), units):
-                h, text, first, last = cut_segments(u, n, k)
+            doc, variant = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            want = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            for a, buf, _, u in _batches(batch.column(2), units):
+                h, text, first, last, anchor = cut_segments(u, n, k)
                 data, edge = buf.tobytes(), np.searchsorted(text, np.arange(len(u.first)))
                 for t in range(len(u.first) - 1):
                     x, y = edge[t], edge[t + 1]
-                    mine = want[a + t]
-                    if x == y or not len(mine):
+                    if x == y or not len(want[a + t]):
                         continue
+                    mine = np.sort(want[a + t] & ~FLAG)
+                    hot = set((want[a + t][want[a + t] >= FLAG] & ~FLAG).tolist())
                     at = np.minimum(np.searchsorted(mine, h[x:y]), len(mine) - 1)
                     pick = x + np.flatnonzero(mine[at] == h[x:y])
-                    base, who = int(u.first[t]), int(doc[a + t])
-                    to = h[pick].view(np.int64).tolist()
-                    for b, f, e in zip(to, first[pick].tolist(), (last[pick] + n).tolist(), strict=True):
+                    base, who, which = int(u.first[t]), int(doc[a + t]), int(variant[a + t])
+                    to, places = h[pick].tolist(), (anchor[pick] - first[pick]).tolist()
+                    for b, f, e, p in zip(to, first[pick].tolist(), (last[pick] + n).tolist(), places, strict=True):
                         content = data[f:e] if u.words is None else b" ".join(data[u.words.start[f] : u.words.end[e - 1]].split())
-                        held.setdefault((b, content), []).append((who, f - base, e - base))
-                        size += len(content) + 120
+                        low = f - base
+                        if b not in hot:
+                            held.setdefault((b, k, content), (p, []))[1].append((who, which, low, e - base))
+                            size += len(content) + 120
+                            continue
+                        split = content if u.words is None else content.split(b" ")
+                        for i in range(e - f - n + 1):
+                            window = split[i : i + n] if u.words is None else b" ".join(split[i : i + n])
+                            held.setdefault((_name(window), n, window), (0, []))[1].append((who, which, low + i, low + i + n))
+                            size += len(window) + 120
                 if size > 160 << 20:
                     yield from flush(held)
                     held, size = {}, 0
         yield from flush(held)
 
-    rows = docs.filter(~F.col("copy")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
-    return rows.select("doc_id", "text", "anchors").mapInArrow(send, "bucket int, anchor long, doc_id long, low long, high long, content binary")
-
-
-def anchor_at(content: bytes, key: int, units: Callable, n: int, k: int) -> int:
-    """Unit at which a segment's anchor begins: the first run with its hash that all windows hold."""
-    h = units(np.frombuffer(content, np.uint8), np.array([0, len(content)])).hash
-    low = len(h) - n
-    return low + int(np.flatnonzero(_runs(h[low:n], k) >> np.uint64(64 - ANCHOR_BITS) == np.uint64(key))[0])
+    rows = docs.filter(~F.col("copy")).select("doc_id", "variant", "text").join(found, "doc_id")
+    return rows.select("doc_id", "variant", "text", "anchors").mapInArrow(send, f"bucket int, anchor long, width int, place int, {ROW}, content binary")
 
 
 def narrow(group: list, n: int, k: int, bound: int):
     """Lists of (content, places) of at most ``bound`` units, or of one content, without a common window.
 
     ``group`` has (content, place of the anchor, places); its contents have one
-    anchor of ``k`` units. A window has ``n - k`` units around the anchor, so it holds
-    half of them on the left or more than the other half on the right. Every
-    segment is cut in two by that, and the pieces get the longer run as anchor,
-    until they fit or the anchor is the window.
+    anchor of ``k`` units. Every segment is cut in two (``halves``), and the parts get
+    the longer run as anchor, until they fit or the anchor is the window.
     """
     if len(group) == 1 or sum(len(c) for c, _, _ in group) <= bound:
         yield [(c, own) for c, _, own in group]
         return
-    left = (n - k + 1) // 2
-    right = n - k - left + 1
-    finer: tuple[dict, dict] = {}, {}
+    finer: dict = {}
     for c, p, own in group:
-        cut = min(len(c) - n, p - left) + 1  # windows with ``left`` units before the anchor
-        if cut > 0:
-            finer[0].setdefault(c[p - left : p + k], {}).setdefault(c[: cut - 1 + n], (p - left, []))[1].extend(own)
-        cut = max(cut, 0)
-        if cut <= len(c) - n:
-            finer[1].setdefault(c[p : p + k + right], {}).setdefault(c[cut:], (p - cut, []))[1].extend((d, a + cut) for d, a in own)
+        for part, off, place, more in halves(c, p, n, k):
+            on_left = off + place < p
+            same = finer.setdefault((more, on_left, part[place : place + more]), {})
+            same.setdefault(part, (place, []))[1].extend((d, v, a + off) for d, v, a in own)
     group.clear()
-    for more, half in zip((left, right), finer, strict=True):
-        while half:
-            _, pieces = half.popitem()
-            yield from narrow([(c, p, own) for c, (p, own) in pieces.items()], n, k + more, bound)
+    while finer:
+        (more, *_), parts = finer.popitem()
+        yield from narrow([(c, p, own) for c, (p, own) in parts.items()], n, more, bound)
 
 
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
-    """docs with ``ranges``: the covered unit ranges of each document, or null."""
-    ranges = cover.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ranges, "doc_id", "left")
+    """docs with ``ranges``: the covered unit ranges of each row, or null."""
+    ranges = cover.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return docs.join(ranges, ["doc_id", "variant"], "left")
 
 
 def covered(ranges: list | None, total: int, n: int, copy: bool) -> np.ndarray | None:

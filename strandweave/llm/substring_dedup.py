@@ -12,11 +12,14 @@ A suffix array of whole texts would move two thirds of all positions several
 times over; anchors first rule out positions whose string cannot occur twice,
 without losing any (see ``repeats``).
 
-Null text is empty. Rows without an id are compared with nothing. Equal ids are
-equal documents: neither removes the other. An empty table gives an empty
-result. A row's text is bounded by memory alone. An anchor whose distinct segments
-exceed ``CHUNK`` is cut by longer anchors (``repeats.narrow``), so the order of a
-task has no other bound.
+Null text is empty. Rows without an id are compared with nothing. Rows with one
+id are one document: none removes anything from another, and each row is judged
+by itself, be its text the same or not. Of equal strings the smallest id keeps its
+own; nothing else can tie. An empty table gives an empty result. Only doc_id and
+text are read, so other columns may have any name. A row's text is bounded by
+memory alone. Windows around an anchor of very many documents are dealt one by
+one, and an anchor whose distinct segments exceed ``CHUNK`` is cut by longer anchors
+(``repeats.narrow``), so the order of a task has no other bound.
 """
 
 from __future__ import annotations
@@ -48,10 +51,10 @@ def _decide(contents: list[bytes], least: np.ndarray, n: int) -> tuple[np.ndarra
     return low[group[at]], sizes - n + 1
 
 
-def _spans(own: list[list[tuple[int, int]]], low: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(doc, low, high) of the covered runs of all places of all segments."""
+def _spans(own: list[list[tuple[int, int, int]]], low: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(doc, variant, low, high) of the covered runs of all places of all segments."""
     seg = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    doc, base = np.array([x for row in own for x in row], np.int64).T
+    doc, variant, base = np.array([x for row in own for x in row], np.int64).T
     count = per[seg]
     place = np.repeat(np.arange(len(seg)), count)
     step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
@@ -59,25 +62,26 @@ def _spans(own: list[list[tuple[int, int]]], low: np.ndarray, per: np.ndarray, n
     place, start = place[hit], (base[place] + step)[hit]
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(start) > n)))[: len(hit)])
     last = np.append(new[1:], len(hit))[: len(new)] - 1
-    return doc[place[new]], start[new], start[last] + n
+    return doc[place[new]], variant[place[new]], start[new], start[last] + n
 
 
-def locate(part: pa.Table, n: int = LENGTH) -> pa.Table:
+def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK) -> pa.Table:
     """Covered byte ranges of one shard's segments."""
+    names = ("doc_id", "variant", "low", "high")
     done = part.filter(part.column("content").is_null())
-    out = [tuple(done.column(c).to_numpy() for c in ("doc_id", "low", "high"))]
+    out = [tuple(done.column(c).to_numpy() for c in names)]
     part = part.filter(part.column("content").is_valid())
-    places: dict[bytes, list[tuple[int, int]]] = {}
-    by_anchor: dict[int, list[bytes]] = {}
-    for d, a, key, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "low", "anchor", "content")), strict=True):
+    places: dict[bytes, list[tuple[int, int, int]]] = {}
+    by_anchor: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+    for d, v, a, key, width, at, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "variant", "low", "anchor", "width", "place", "content")), strict=True):
         own = places.get(content)
         if own is None:
-            places[content] = [(d, a)]
-            by_anchor.setdefault(key, []).append(content)
+            places[content] = [(d, v, a)]
+            by_anchor.setdefault((key, width), []).append((content, at))
         else:
-            own.append((d, a))
+            own.append((d, v, a))
 
-    whole: list[tuple[int, int, int]] = []
+    whole: list[tuple[int, int, int, int]] = []
     held, size = [], 0
 
     def settle() -> None:
@@ -86,29 +90,29 @@ def locate(part: pa.Table, n: int = LENGTH) -> pa.Table:
         out.append(_spans(own, low, per, n))
 
     def groups():
-        for key, contents in by_anchor.items():  # segments of different anchors share no window
-            if len(contents) > 1 and sum(map(len, contents)) > CHUNK:
-                yield from repeats.narrow([(c, repeats.anchor_at(c, key, repeats.byte_units, n, ANCHOR), places[c]) for c in contents], n, ANCHOR, CHUNK)
+        for (_, width), contents in by_anchor.items():  # segments of different anchors share no window
+            if len(contents) > 1 and sum(len(c) for c, _ in contents) > chunk:
+                yield from repeats.narrow([(c, at, places[c]) for c, at in contents], n, width, chunk)
             else:
-                yield [(c, places[c]) for c in contents]
+                yield [(c, places[c]) for c, _ in contents]
 
     for group in groups():
         if len(group) == 1:  # every string in it has the same documents
             content, own = group[0]
             if len(own) > 1:
                 least = min(own)[0]
-                whole.extend((d, a, a + len(content)) for d, a in own if d > least)
+                whole.extend((d, v, a, a + len(content)) for d, v, a in own if d > least)
             continue
         more = sum(len(c) for c, _ in group)
-        if held and size + more > CHUNK:
+        if held and size + more > chunk:
             settle()
             held, size = [], 0
         held += group
         size += more
     if held:
         settle()
-    out.append(tuple(np.array(whole, np.int64).reshape(-1, 3).T))
-    return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("doc_id", "low", "high"), zip(*out, strict=True), strict=True)})
+    out.append(tuple(np.array(whole, np.int64).reshape(-1, 4).T))
+    return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(names, zip(*out, strict=True), strict=True)})
 
 
 def covered_bytes(docs: DataFrame, n: int = LENGTH) -> DataFrame:
@@ -116,7 +120,8 @@ def covered_bytes(docs: DataFrame, n: int = LENGTH) -> DataFrame:
     rows = repeats.firsts(docs)
     found = repeats.candidates(rows, repeats.byte_units, n, ANCHOR)
     parts = repeats.segments(rows, found, repeats.byte_units, n, ANCHOR)
-    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n), "doc_id long, low long, high long")
+    chunk = CHUNK
+    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n, chunk), repeats.ROW)
     return repeats.with_cover(rows, cover)
 
 

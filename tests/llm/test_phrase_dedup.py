@@ -42,12 +42,16 @@ def corpus(seed, n=150):
         rows.append((i * 3 + rng.randint(0, 2), "".join(x + rng.choice([" ", " ", "\n", " \t"]) for x in w), "en", "a"))
     for i in range(0, n, 10):
         rows.append((1000 + i, rows[i][1], "en", "b"))
+    for i in range(0, n, 7):  # one id with several texts, longer and shorter, and repeated rows
+        rows += [(rows[i][0], rows[i + 3][1], "en", "c"), (rows[i][0], rows[i + 5][1], "en", "c"), rows[i]]
     return rows
 
 
 def test_equals_brute_force(make_docs, monkeypatch):
-    for seed, flush in ((1, 10**6), (2, 50)):
+    for seed, flush, hot in ((1, 10**6, 4096), (2, 50, 4096), (3, 10**6, 3), (4, 50, 2)):
         monkeypatch.setattr(repeats, "FLUSH", flush)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "HOT_SHARE", 10**9 if hot < 10 else 10)
         rows = corpus(seed)
         got = sorted(tuple(r) for r in m.remove(make_docs(rows)).collect())
         want = brute(rows, 13)
@@ -55,6 +59,17 @@ def test_equals_brute_force(make_docs, monkeypatch):
         assert sum(r[2] > 0 for r in want) > 50
 
 
+def test_kept_rows(make_docs):
+    rows = [*corpus(5), (None, "left as it is " * 9, "en", "z"), (9001, " \n", "en", "z")]
+    docs = make_docs(rows)
+    got = m.keep_rest(docs)
+    assert got.columns == docs.columns
+    assert all(r["n_chars"] == len(r["text"]) and r["shard"] == "x" and r["slot"] == 0.5 for r in got.collect())
+    want = sorted((r[0], r[3]) for r in brute(rows[:-2], 13) if r[1] > r[2])
+    assert sorted((r["doc_id"], " ".join(r["text"].split())) for r in got.collect() if r["doc_id"] is not None) == want
+    assert [r["text"] for r in got.collect() if r["doc_id"] is None] == ["left as it is " * 9]
+
+
 def test_odd_rows(odd_docs):
     got = m.digests(odd_docs).collect()
     assert len(got) == 10 and all(r["n_removed"] == 0 for r in got)
@@ -82,11 +97,11 @@ def test_more_words_than_code_points(count, anchors, symbols, monkeypatch):
     raw = [" ".join(t).encode() + b" " for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
     u = repeats.word_units(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    h, text, first, last = repeats.cut_segments(u, 13, 4)
+    h, text, first, last, anchor = repeats.cut_segments(u, 13, 4)
     low, high = first - u.first[text], last + 13 - u.first[text]
     content = [" ".join(texts[t][a:b]).encode() for t, a, b in zip(text.tolist(), low.tolist(), high.tolist(), strict=True)]
     assert len({w for c in content for w in c.split()}) > (symbols or 1_112_063)
-    part = pa.table({"doc_id": text, "low": low, "high": high, "anchor": h.view(np.int64), "content": content})
+    part = pa.table({"doc_id": text, "variant": 0 * text, "low": low, "high": high, "anchor": h.view(np.int64), "width": 0 * text + 4, "place": anchor - first, "content": content})
     gone: list[set] = [set() for _ in texts]
     for r in m.locate(part).to_pylist():
         gone[r["doc_id"]].update(range(r["low"], r["high"]))

@@ -28,7 +28,7 @@ def test_suffix_order(seed):
 def brute(rows, n):
     docs = sorted(((d, (t or "").encode()) for d, t, *_ in rows if d is not None), key=lambda x: x[0])
     least: dict = {}
-    for d, w in docs:
+    for d, w in docs:  # rows of one id are neighbours and do not remove each other
         for i in range(len(w) - n + 1):
             least.setdefault(w[i : i + n], d)
     out = []
@@ -59,12 +59,16 @@ def corpus(seed, n=120):
         rows.append((i * 2 + rng.randint(0, 1), t, "en", "a"))
     for i in range(0, n, 9):
         rows.append((1000 + i, rows[i][1], "en", "b"))
+    for i in range(0, n, 7):  # one id with several texts, longer and shorter, and repeated rows
+        rows += [(rows[i][0], rows[i + 3][1], "en", "c"), (rows[i][0], rows[i + 5][1], "en", "c"), rows[i]]
     return rows
 
 
 def test_equals_brute_force(make_docs, monkeypatch):
-    for seed, flush, chunk in ((1, 10**6, 1 << 20), (2, 50, 400)):
+    for seed, flush, chunk, hot in ((1, 10**6, 1 << 20, 4096), (2, 50, 400, 4096), (3, 10**6, 1 << 20, 3), (4, 50, 400, 2)):
         monkeypatch.setattr(repeats, "FLUSH", flush)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "HOT_SHARE", 10**9 if hot < 10 else 10)
         monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
         rows = corpus(seed)
         got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(make_docs(rows)).collect())
@@ -81,22 +85,37 @@ def test_odd_rows(odd_docs):
 @pytest.mark.parametrize("line", ["The and attion of", "The and attion of the words that they all have in it", "ab" * 40])
 def test_one_anchor_above_the_limit(line, monkeypatch):
     monkeypatch.setattr(suffixes, "LIMIT", 3000)
-    monkeypatch.setattr(substring_dedup, "CHUNK", 2000)
     n, k, rng = 50, 16, random.Random(line)
     ends = ["".join(rng.choice("abcde") for _ in range(40)) for _ in range(120)]
     texts = [(rng.choice(ends) + line + rng.choice(ends)).encode() for _ in range(400)]
     texts += [t[5:] for t in texts[:40]]
     offsets = np.cumsum([0, *map(len, texts)])
     data = b"".join(texts)
-    h, text, first, last = repeats.cut_segments(repeats.byte_units(np.frombuffer(data, np.uint8), offsets), n, k)
+    h, text, first, last, anchor = repeats.cut_segments(repeats.byte_units(np.frombuffer(data, np.uint8), offsets), n, k)
     low, high = first - offsets[text], last + n - offsets[text]
-    part = pa.table({"doc_id": text, "low": low, "high": high, "anchor": h.view(np.int64), "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
+    part = pa.table({"doc_id": text, "variant": 0 * text, "low": low, "high": high, "anchor": h.view(np.int64), "width": 0 * text + k, "place": anchor - first, "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
     distinct: dict = {}
     for key, content in zip(h.tolist(), part.column("content").to_pylist(), strict=True):
         distinct.setdefault(key, set()).add(content)
     assert max(sum(map(len, x)) for x in distinct.values()) > suffixes.LIMIT
     got = [np.zeros(len(t), bool) for t in texts]
-    for r in substring_dedup.locate(part, n).to_pylist():
+    for r in substring_dedup.locate(part, n, 2000).to_pylist():
         got[r["doc_id"]][r["low"] : r["high"]] = True
     want = brute([(d, t.decode()) for d, t in enumerate(texts)], n)
     assert [(int(m.sum()), bytes(b for b, x in zip(t, m, strict=True) if not x)) for t, m in zip(texts, got, strict=True)] == [(r[2], r[4]) for r in want]
+
+
+def test_a_line_of_all_documents_is_dealt_to_many_buckets(make_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 100)
+    rng, line = random.Random(9), "one line that is in every document of the table, so its anchors are hot"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(60))
+    ends = [word() for _ in range(30)]
+    rows = [(d, (rng.choice(ends) if d % 3 else word()) + line[rng.randint(0, 5) :] + (rng.choice(ends) if d % 5 else word()), "en", "a") for d in range(600)]
+    docs = make_docs(rows)
+    first = repeats.firsts(docs)
+    found = repeats.candidates(first, repeats.byte_units, 50, 16)
+    parts = repeats.segments(first, found, repeats.byte_units, 50, 16)
+    per = [r["count"] for r in parts.filter("content is not null").groupBy("anchor", "width").count().collect()]
+    assert max(per) < 200 and len(per) > 200
+    got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(docs).collect())
+    assert got == brute(rows, 50)
