@@ -7,7 +7,9 @@ inside higher-order functions.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        path = tempfile.mkdtemp(prefix="strandweave-")  # driver and executors are one process
     if not path:
-        path = tempfile.mkdtemp(prefix="strandweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for a table that ``sweep`` removes."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def forget(path: str) -> None:
+    """Keep a folder of ``scratch`` when the others are swept."""
+    _scratch.remove(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the tables of ``scratch``; frames that read them must have been used up."""
+    while _scratch:
+        remove_folder(spark, _scratch.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
@@ -47,9 +75,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str, share: int = 1000) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str, share: int = 1000, outer: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a key and the number of rows of each in ``count``.
 
+    ``outer`` keeps rows without a partner.
+
     Keys with at least a ``share``-th of all rows, of which there are at most
     ``share``, are broadcast, so that no task gets a hot key's rows; ``spread``
     deals those rows evenly while the others are joined by key.
@@ -59,7 +89,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str,
     hot = marked.filter("_hot").select(key, F.struct(*values, "_hot").alias("_h"))
     rest = marked.filter("not _hot").select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values, "_hot").alias("_r"))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("long"))
-    both = salted.join(rest, [key, "_salt"], "left").withColumn("_v", F.coalesce("_h", "_r")).filter("_v is not null")
+    both = salted.join(rest, [key, "_salt"], "left").withColumn("_v", F.coalesce("_h", "_r"))
+    both = both if outer else both.filter("_v is not null")
     return both.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 

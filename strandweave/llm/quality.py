@@ -3,15 +3,20 @@
 Every document gets four counters. Three ratios and the mean word length are
 put into log-linear integer sketches (64 unit buckets, then 32 buckets for each
 power of two, at most 3 % relative error). Sketches are plain bucket counts, so
-they merge by addition: one per language and source, and one per language that
-stands in for groups of fewer than ``MIN_GROUP`` documents. A document is
-rejected if a metric lies outside the fences read from its group's sketch:
-``q90 + REACH * (q90 - q50) + slack`` above and, for word length, the mirror
-image below.
+they merge by addition: one per language and source, one per language. A
+document is rejected if a metric lies outside its fences, which come from the
+quantiles of the documents that pass the base rule, without fixed cutoffs:
+``q75 + REACH * (q75 - q50)``, but at least ``q95``, so that in a group whose
+values are nearly all equal (no symbols, no repeated lines) a metric rejects the
+last twentieth at most; word length has the mirror image below. A group's fence
+is drawn to its language's as if the language added ``PRIOR`` documents, so small
+groups follow the language and large ones themselves, without a switch.
 
 Null text counts as empty, null language or source as the empty string. Rows
-are judged one by one, so repeated rows get equal verdicts; an empty table gives
-an empty result.
+are judged one by one, by their own text: repeated rows get equal verdicts, ids
+play no part, ties (values on a fence) are kept. Columns other than doc_id, text,
+lang and source may have any name and are not touched. An empty table gives an
+empty result.
 
 Repeated three-word windows are found per document by sorting 64-bit values
 that hold a window hash above its position; windows with an equal neighbour are
@@ -23,18 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_SPLIT, cut, let
+from .common import WS_SPLIT, cut, let, lookup, scratch
 
 MIN_WORDS = 50
-MIN_GROUP = 100
+PRIOR = 100
 REACH = 3
-# Metric: (numerator, denominator, scale, slack, has a lower fence)
+BROADCAST_GROUPS = 100_000  # rows of limits, about 100 bytes each, that may be broadcast
+# Metric: (numerator, denominator, scale, has a lower fence)
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 1000, 20, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 300, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 300, False),
-    "word_len": ("word_chars", "n_words", 100, 100, True),
+    "symbols": ("n_symbols", "word_chars", 1000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, False),
+    "word_len": ("word_chars", "n_words", 100, True),
 }
+SIDES = [(m, side) for m, spec in METRICS.items() for side in ("hi", "lo") if side == "hi" or spec[3]]
 SYMBOLS = "#*$%&|<>"
 
 
@@ -76,8 +83,8 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return let(F.struct(words.alias("w"), n.alias("n"), bits.alias("bits")), on)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` without the text, and the base counters."""
+def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, or with ``whole`` the row as a struct, the group and the base counters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, WS_SPLIT, -1), "")
     counts = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("chars"), _repeat_words(w, F.size(w)).alias("n_repeat_words")))
@@ -86,15 +93,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
 
     with_word = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    keep = [F.col("doc_id")] + [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("lang", "source")]
-    bare = docs.select(
-        *keep,
-        counts.alias("_w"),
-        let(with_word, lines).alias("_l"),
-        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-    )
+    key = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).alias("_group")
+    row = F.struct(*docs.columns).alias("_row") if whole else F.col("doc_id")
+    bare = docs.select(row, key, counts.alias("_w"), let(with_word, lines).alias("_l"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
     return bare.select(
-        "doc_id", "_lang", "_source",
+        "_row" if whole else "doc_id", "_group",
         F.col("_w.n_words").cast("long").alias("n_words"),
         F.col("_w.chars").cast("long").alias("word_chars"), "n_symbols",
         F.col("_l.dup").cast("long").alias("n_dup_lines"),
@@ -118,7 +121,7 @@ def _lowest(b: Column) -> Column:
 
 
 def _value(m: str) -> Column:
-    num, den, scale, _, _ = METRICS[m]
+    num, den, scale, _ = METRICS[m]
     return F.expr(f"({scale} * {num}) div greatest({den}, 1)")
 
 
@@ -127,82 +130,87 @@ def sketches(counts: DataFrame) -> DataFrame:
     one = F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(_value(m)).alias("bucket")) for m in METRICS])
     return (
         counts.filter(~_failed())
-        .select("_lang", "_source", F.explode(one).alias("x"))
-        .groupBy("_lang", "_source", "x.metric", "x.bucket")
+        .select("_group.lang", "_group.source", F.explode(one).alias("x"))
+        .groupBy("lang", "source", "x.metric", "x.bucket")
         .agg(F.count("*").alias("n"))
     )
 
 
 def _fences(sk: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """A row a group: ``{tag}_n`` documents and a fence for each metric and side."""
     w = Window.partitionBy(*by, "metric")
     run = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     q = sk.withColumn("run", F.sum("n").over(run)).withColumn("total", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("run") * 100 >= F.col("total") * p, _lowest(F.col("bucket"))))
-    q = q.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(10).alias("q10"), at(50).alias("q50"), at(90).alias("q90"))
-    out = [F.max("total").alias(f"{tag}_n")]
-    for m, (_, _, _, slack, low) in METRICS.items():
-        here = F.col("metric") == m
-        out.append(F.max(F.when(here, F.col("q90") + REACH * (F.col("q90") - F.col("q50")) + slack)).alias(f"{tag}_{m}_hi"))
-        if low:
-            out.append(F.max(F.when(here, F.col("q10") - REACH * (F.col("q50") - F.col("q10")) - slack)).alias(f"{tag}_{m}_lo"))
-    return q.groupBy(*by).agg(*out)
+    at = lambda p: F.min(F.when(F.col("run") * 100 >= F.col("total") * p, F.col("bucket")))
+    q = q.groupBy(*by, "metric").agg(F.max("total").alias("total"), *[at(p).alias(f"b{p}") for p in (5, 25, 50, 75, 95)])
+    low = {p: _lowest(F.col(f"b{p}")) for p in (5, 25, 50)}
+    high = {p: _lowest(F.col(f"b{p}") + 1) - 1 for p in (50, 75, 95)}  # the largest value of the bucket
+    side = {
+        "hi": F.greatest(high[75] + REACH * (high[75] - low[50]), high[95]),
+        "lo": F.greatest(F.lit(0), F.least(low[25] - REACH * (high[50] - low[25]), low[5])),
+    }
+    out = [F.max(F.when(F.col("metric") == m, side[s])).alias(f"{tag}_{m}_{s}") for m, s in SIDES]
+    return q.groupBy(*by).agg(F.max("total").alias(f"{tag}_n"), *out)
+
+
+def limits(counts: DataFrame) -> DataFrame:
+    """(_group, rows, fences): one row for each language and source, drawn to the language's."""
+    sk = sketches(counts)
+    fine = _fences(sk, ["lang", "source"], "s")
+    coarse = _fences(sk.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["lang"], "l")
+    drawn = [F.expr(f"(s_n * s_{m}_{s} + {PRIOR} * l_{m}_{s}) div (s_n + {PRIOR})").alias(f"{m}_{s}") for m, s in SIDES]
+    both = fine.join(coarse, "lang").select(F.struct("lang", "source").alias("_group"), *drawn)
+    return counts.groupBy("_group").agg(F.count("*").alias("rows")).join(both, "_group")
+
+
+def _judged(counts: DataFrame) -> DataFrame:
+    """``counts`` with base_failed and kept; the limits are broadcast if they are few."""
+    fences = cut(limits(counts))
+    if fences.count() <= BROADCAST_GROUPS:
+        rows = counts.join(F.broadcast(fences.drop("rows")), "_group", "left")
+    else:
+        rows = lookup(counts.withColumn("_spread", F.monotonically_increasing_id()), fences, "_group", "rows", "_spread", outer=True)
+    ok = F.lit(True)
+    for m, s in SIDES:
+        ok = ok & (_value(m) <= F.col(f"{m}_{s}") if s == "hi" else _value(m) >= F.col(f"{m}_{s}"))
+    return rows.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each input row: doc_id, the counters, base_failed, kept."""
-    counts = cut(base_counts(docs))
-    sk = sketches(counts)
-    fine = _fences(sk, ["_lang", "_source"], "s")
-    coarse = _fences(sk.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["_lang"], "l")
-    limits = fine.join(coarse, "_lang").select(
-        "_lang", "_source",
-        *[
-            F.when(F.col("s_n") >= MIN_GROUP, F.col(f"s_{m}_{side}")).otherwise(F.col(f"l_{m}_{side}")).alias(f"{m}_{side}")
-            for m, spec in METRICS.items()
-            for side in ("hi", "lo")
-            if side == "hi" or spec[4]
-        ],
-    )
-    ok = F.lit(True)
-    for m, spec in METRICS.items():
-        ok = ok & (_value(m) <= F.col(f"{m}_hi"))
-        if spec[4]:
-            ok = ok & (_value(m) >= F.col(f"{m}_lo"))
-    return counts.join(limits, ["_lang", "_source"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        _failed().alias("base_failed"),
-        (~_failed() & F.coalesce(ok, F.lit(True))).alias("kept"),
-    )
+    return _judged(cut(base_counts(docs))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that pass; rows without an id are kept."""
-    verdicts = quality_rules(docs)
-    bad = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that pass, judged where they lie: counters are kept beside the rows, no text is shuffled."""
+    spark = docs.sparkSession
+    path = scratch(spark, "quality")
+    base_counts(docs, whole=True).write.parquet(path)
+    counts = spark.read.schema(base_counts(docs, whole=True).schema).parquet(path)
+    return _judged(counts).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
     """The same verdicts in DuckDB SQL."""
-    value = {m: f"({s} * {n}) // greatest({d}, 1)" for m, (n, d, s, _, _) in METRICS.items()}
+    value = {m: f"({s} * {n}) // greatest({d}, 1)" for m, (n, d, s, _) in METRICS.items()}
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value[m]} AS v FROM c WHERE NOT base_failed" for m in METRICS)
+    lowest = lambda b: f"(CASE WHEN {b} < 64 THEN {b} ELSE (({b} - 64) % 32 + 32) << (({b} - 64) // 32 + 1) END)"
+    low, high = lambda p: lowest(f"b{p}"), lambda p: f"({lowest(f'(b{p} + 1)')} - 1)"
+    side = {
+        "hi": f"greatest({high(75)} + {REACH} * ({high(75)} - {low(50)}), {high(95)})",
+        "lo": f"greatest(0, least({low(25)} - {REACH} * ({high(50)} - {low(25)}), {low(5)}))",
+    }
 
     def fences(name: str, by: str, src: str) -> str:
-        cols = ", ".join(
-            f"max(CASE WHEN metric = '{m}' THEN q90 + {REACH} * (q90 - q50) + {sl} END) AS {m}_hi"
-            + (f", max(CASE WHEN metric = '{m}' THEN q10 - {REACH} * (q50 - q10) - {sl} END) AS {m}_lo" if low else "")
-            for m, (_, _, _, sl, low) in METRICS.items()
-        )
-        at = lambda p: f"min(CASE WHEN run * 100 >= total * {p} THEN {lowest} END)"
-        lowest = "CASE WHEN bucket < 64 THEN bucket ELSE ((bucket - 64) % 32 + 32) << ((bucket - 64) // 32 + 1) END"
+        cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {side[s]} END) AS {m}_{s}" for m, s in SIDES)
+        at = ", ".join(f"min(CASE WHEN run * 100 >= total * {p} THEN bucket END) AS b{p}" for p in (5, 25, 50, 75, 95))
         return f"""{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS run,
             sum(n) OVER (PARTITION BY {by}, metric) AS total FROM {src}),
-        {name}_q AS (SELECT {by}, metric, max(total) AS total, {at(10)} AS q10, {at(50)} AS q50, {at(90)} AS q90
-            FROM {name}_r GROUP BY {by}, metric),
+        {name}_q AS (SELECT {by}, metric, max(total) AS total, {at} FROM {name}_r GROUP BY {by}, metric),
         {name} AS (SELECT {by}, max(total) AS total, {cols} FROM {name}_q GROUP BY {by})"""
 
-    pick = lambda f: f"CASE WHEN s.total >= {MIN_GROUP} THEN s.{f} ELSE l.{f} END"
-    ok = " AND ".join(f"{value[m]} <= {pick(m + '_hi')}" + (f" AND {value[m]} >= {pick(m + '_lo')}" if METRICS[m][4] else "") for m in METRICS)
+    pick = lambda f: f"((s.total * s.{f} + {PRIOR} * l.{f}) // (s.total + {PRIOR}))"
+    ok = " AND ".join(f"{value[m]} {'<=' if s == 'hi' else '>='} {pick(f'{m}_{s}')}" for m, s in SIDES)
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
     w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,

@@ -19,36 +19,39 @@ def base(text):
     }
 
 
-def bucket_low(v):
-    if v < 64:
-        return v
-    e = v.bit_length() - 6
-    return (v >> e) << e
+def bucket(v):
+    """Lowest and highest value of a value's bucket."""
+    e = max(0, v.bit_length() - 6)
+    return (v >> e) << e, (((v >> e) + 1) << e) - 1
+
+
+def fence(values, side):
+    q = {p: bucket(sorted(values)[-(-len(values) * p // 100) - 1]) for p in (5, 25, 50, 75, 95)}
+    if side == "hi":
+        return max(q[75][1] + m.REACH * (q[75][1] - q[50][0]), q[95][1])
+    return max(0, min(q[25][0] - m.REACH * (q[50][1] - q[25][0]), q[5][0]))
 
 
 def brute(rows):
+    """By place in ``rows`` and, for unique ids, by id."""
     out, groups = {}, {}
-    for doc, text, lang, source in rows:
+    for at, (doc, text, lang, source, *_) in enumerate(rows):
         b = base(text)
         b["base_failed"] = b["n_words"] < 50 or 100 * b["n_repeat_words"] > 50 * b["n_words"]
         b["key"] = (lang or "", source or "")
-        b["value"] = {k: s * b[n] // max(b[d], 1) for k, (n, d, s, _, _) in m.METRICS.items()}
-        out[doc] = b
+        b["value"] = {k: s * b[n] // max(b[d], 1) for k, (n, d, s, _) in m.METRICS.items()}
+        out[doc, at] = b
         if not b["base_failed"]:
             for key in (b["key"], b["key"][0]):
                 groups.setdefault(key, []).append(b["value"])
     for b in out.values():
-        own = groups.get(b["key"], [])
-        own = own if len(own) >= m.MIN_GROUP or not own else groups[b["key"][0]]
-        ok = True
-        for k, (_, _, _, slack, low) in m.METRICS.items():
-            v = sorted(x[k] for x in own)
-            q = {p: bucket_low(v[-(-len(v) * p // 100) - 1]) for p in (10, 50, 90)} if v else {}
-            if q:
-                ok &= b["value"][k] <= q[90] + m.REACH * (q[90] - q[50]) + slack
-                ok &= not low or b["value"][k] >= q[10] - m.REACH * (q[50] - q[10]) - slack
+        own, ok = groups.get(b["key"]), True
+        for k, side in m.SIDES if own else []:
+            limit = [fence([x[k] for x in some], side) for some in (own, groups[b["key"][0]])]
+            limit = (len(own) * limit[0] + m.PRIOR * limit[1]) // (len(own) + m.PRIOR)
+            ok &= b["value"][k] <= limit if side == "hi" else b["value"][k] >= limit
         b["kept"] = not b["base_failed"] and ok
-    return out
+    return {doc: b for (doc, _), b in out.items()}
 
 
 def corpus():
@@ -75,6 +78,7 @@ def test_equals_brute_force(make_docs):
         w = want[r["doc_id"]]
         for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"):
             assert r[c] == w[c], (r["doc_id"], c)
+    assert sorted(r["doc_id"] for r in m.keep_good(make_docs(rows)).collect()) == sorted(d for d, w in want.items() if w["kept"])
     assert 50 < sum(w["kept"] for w in want.values()) < 650 and any(not w["kept"] and not w["base_failed"] for w in want.values())
 
 
@@ -101,3 +105,34 @@ def test_odd_rows(odd_docs):
 def test_no_python_on_the_main_path(odd_docs):
     plan = m.quality_rules(odd_docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_many_groups_are_not_broadcast(make_docs, monkeypatch):
+    rows, want = corpus(), brute(corpus())
+    monkeypatch.setattr(m, "BROADCAST_GROUPS", 0)
+    got = m.quality_rules(make_docs(rows)).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {d: w["kept"] for d, w in want.items()} and len(got) == len(rows)
+
+
+def test_fences_follow_the_source(make_docs):
+    """Two sources of one language whose documents differ in symbols and word length."""
+    rng, rows = random.Random(4), []
+    for i in range(1200):
+        own = i % 2
+        w = ["x" * rng.randint(2 + 5 * own, 5 + 5 * own) + str(rng.randint(0, 900)) for _ in range(80)]
+        w[:: 9 if own else 40] = [x + "#" for x in w[:: 9 if own else 40]]
+        rows.append((i, " ".join(w), "en", "ab"[own]))
+    got = {r["_group"]["source"]: r for r in m.limits(m.base_counts(make_docs(rows))).collect()}
+    assert got["b"]["symbols_hi"] > 1.2 * got["a"]["symbols_hi"] and got["b"]["word_len_lo"] > got["a"]["word_len_lo"]
+    assert got["b"]["word_len_hi"] > 1.2 * got["a"]["word_len_hi"]
+    strange = [(5000, rows[1][1], "en", "a"), (5001, rows[3][1], "en", "b")]
+    kept = {r["doc_id"]: r["kept"] for r in m.quality_rules(make_docs(rows + strange)).collect()}
+    assert not kept[5000] and kept[5001]
+
+
+def test_equal_ids_and_clashing_names(spark):
+    good, bad = " ".join(f"word{i}" for i in range(60)), "few words"
+    rows = [(1, good, "en", "a", 3, "x"), (1, bad, "en", "a", 3, "x"), (1, good, "en", "a", 3, "x"), (None, good, "en", "a", 3, "x"), (None, bad, None, None, 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, _group string")
+    assert sorted(map(str, m.keep_good(docs).collect())) == sorted(str(r) for r in docs.collect() if r["text"] == good)
+    assert sorted(r["kept"] for r in m.quality_rules(docs).collect()) == [False, False, True, True, True]
