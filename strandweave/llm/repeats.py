@@ -42,8 +42,9 @@ from .common import lookup, partitions
 ANCHOR_BITS = 56  # of an anchor's hash; equal hashes of different anchors only cost time
 FLUSH = 2_000_000  # anchors a worker holds before it sends them
 HOT = 4096  # documents from which on the windows around an anchor are dealt one by one
-HOT_SHARE = 10  # and the part of its bucket's documents: at most so many hot anchors a bucket
+HOT_SHARE = 1  # and the part of its bucket's anchors and documents: at most so many hot anchors a bucket
 FLAG = np.uint64(1 << 60)  # marks a hot anchor
+WINDOW = 127  # place of an anchor that is a window; windows hold at most so many runs
 ROW = "doc_id long, variant long, low long, high long"
 
 
@@ -111,14 +112,17 @@ def firsts(docs: DataFrame, whole: bool = False) -> DataFrame:
     Rows without an id are left out. ``whole`` adds ``rest``, a struct of all other columns and the id.
     """
     rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if whole else []
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest).withColumn("tag", F.md5("text"))
-    tags = rows.select("doc_id", "tag")
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
+    tags = rows.select("doc_id", F.md5("text").alias("tag"))
     low = tags.groupBy("tag").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    later = lookup(tags, low, "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", "tag")
-    several = tags.groupBy("doc_id").agg((F.min("tag") != F.max("tag")).alias("several")).filter("several").select("doc_id")
-    marks = later.select("doc_id", "tag", F.lit(1).alias("later"), F.lit(0).cast("long").alias("variant")).union(tags.join(several, "doc_id", "left_semi").select("doc_id", "tag", F.lit(0), F.xxhash64("tag")))
-    marks = marks.groupBy("doc_id", "tag").agg(F.max("later").alias("later"), F.max(F.nullif("variant", F.lit(0))).alias("variant"))
-    return rows.join(marks, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("variant", F.lit(0)).alias("variant"), "text", (F.coalesce("later", F.lit(0)) == 1).alias("copy"), *(["rest"] if whole else []))
+    later = lookup(tags, low.filter("n > 1"), "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", F.lit(1).alias("later"), F.lit(0).alias("several"))
+    several = tags.groupBy("doc_id").agg((F.min("tag") != F.max("tag")).alias("x")).filter("x").select("doc_id", F.lit(0), F.lit(1))
+    marks = later.union(several).groupBy("doc_id").agg(F.max("later").alias("later"), F.max("several").alias("several"))
+    many = F.coalesce(F.col("several"), F.lit(0)) == 1
+    return rows.join(marks, "doc_id", "left").select(
+        "doc_id", F.when(many, F.xxhash64(F.md5("text"))).otherwise(0).alias("variant"), "text",
+        (~many & (F.coalesce("later", F.lit(0)) == 1)).alias("copy"), *(["rest"] if whole else []),
+    )
 
 
 def _batches(column: pa.Array, units: Callable):
@@ -223,8 +227,10 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
         if not blocks:
             return pa.table({"doc_id": pa.array([], pa.int64()), "anchors": pa.array([], pa.binary())})
         h, d = (np.concatenate(c) for c in zip(*blocks, strict=True))
-        order = np.argsort(d, kind="stable")
+        order = np.lexsort((h, d))
         h, d = h[order], d[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))  # repeated rows tell the same
+        h, d = h[new], d[new]
         h = np.where(np.isin(h, hot), h | FLAG, h)
         cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         return pa.table({"doc_id": pa.array(d[cuts]), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=True)], pa.binary())})
@@ -257,14 +263,15 @@ def _name(window: bytes) -> int:
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
     """Candidate segments, or covered ranges if content is null.
 
-    (bucket, anchor, width, place, doc_id, variant, low, high, content): the anchor has
-    ``width`` units from unit ``place`` of the content on; ``low`` and ``high`` are unit
-    positions in the document; content is the segment's bytes, or its words
-    joined by one blank.
+    (bucket, anchor, doc_id, variant, span, content): ``anchor`` holds its number and,
+    above ``ANCHOR_BITS``, its place in the content, or ``WINDOW`` if it is the content
+    itself; ``span`` has the first unit in the document in its upper half and the
+    end in its lower one; content is the segment's bytes, or its words joined by
+    one blank.
     """
     buckets = 8 * partitions(docs.sparkSession)
-    names = ["bucket", "anchor", "width", "place", "doc_id", "variant", "low", "high", "content"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary())
+    names = ["bucket", "anchor", "doc_id", "variant", "span", "content"]
+    kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
 
     def flush(held: dict):
         out: list[list] = [[] for _ in names]
@@ -274,11 +281,11 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
-        for (anchor, width, content), (place, places) in held.items():
+        for (anchor, content), places in held.items():
             least = min(places)[0]
             for doc, variant, low, high in places:
                 if doc == least:
-                    put(anchor % buckets, anchor, width, place, doc, variant, low, high, content)
+                    put((anchor & (1 << ANCHOR_BITS) - 1) % buckets, anchor, doc, variant, low << 32 | high, content)
                 else:
                     gone.setdefault((doc, variant), []).append((low, high))
         for (doc, variant), ranges in gone.items():
@@ -286,10 +293,10 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
             low, high = ranges[0]
             for a, b in ranges[1:]:
                 if a > high:
-                    put(doc % buckets, 0, 0, 0, doc, variant, low, high, None)
+                    put(doc % buckets, 0, doc, variant, low << 32 | high, None)
                     low = a
                 high = max(high, b)
-            put(doc % buckets, 0, 0, 0, doc, variant, low, high, None)
+            put(doc % buckets, 0, doc, variant, low << 32 | high, None)
         for a in range(0, len(out[0]), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], names)
 
@@ -316,13 +323,13 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
                         content = data[f:e] if u.words is None else b" ".join(data[u.words.start[f] : u.words.end[e - 1]].split())
                         low = f - base
                         if b not in hot:
-                            held.setdefault((b, k, content), (p, []))[1].append((who, which, low, e - base))
+                            held.setdefault((b | p << ANCHOR_BITS, content), []).append((who, which, low, e - base))
                             size += len(content) + 120
                             continue
                         split = content if u.words is None else content.split(b" ")
                         for i in range(e - f - n + 1):
                             window = split[i : i + n] if u.words is None else b" ".join(split[i : i + n])
-                            held.setdefault((_name(window), n, window), (0, []))[1].append((who, which, low + i, low + i + n))
+                            held.setdefault((_name(window) | WINDOW << ANCHOR_BITS, window), []).append((who, which, low + i, low + i + n))
                             size += len(window) + 120
                 if size > 160 << 20:
                     yield from flush(held)
@@ -330,7 +337,18 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
         yield from flush(held)
 
     rows = docs.filter(~F.col("copy")).select("doc_id", "variant", "text").join(found, "doc_id")
-    return rows.select("doc_id", "variant", "text", "anchors").mapInArrow(send, f"bucket int, anchor long, width int, place int, {ROW}, content binary")
+    return rows.select("doc_id", "variant", "text", "anchors").mapInArrow(send, "bucket int, anchor long, doc_id long, variant long, span long, content binary")
+
+
+def columns(part: pa.Table, n: int, k: int):
+    """(doc_id, variant, low, high, anchor, its width and place, content) of every row of a shard."""
+    span, anchor = part.column("span").to_numpy(), part.column("anchor").to_numpy()
+    place = anchor >> ANCHOR_BITS
+    window = place == WINDOW
+    yield from zip(
+        *(part.column(c).to_pylist() for c in ("doc_id", "variant")), (span >> 32).tolist(), (span & 0xFFFFFFFF).tolist(), anchor.tolist(),
+        np.where(window, n, k).tolist(), np.where(window, 0, place).tolist(), part.column("content").to_pylist(), strict=True,
+    )
 
 
 def narrow(group: list, n: int, k: int, bound: int):
@@ -356,9 +374,15 @@ def narrow(group: list, n: int, k: int, bound: int):
 
 
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
-    """docs with ``ranges``: the covered unit ranges of each row, or null."""
-    ranges = cover.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return docs.join(ranges, ["doc_id", "variant"], "left")
+    """docs with ``ranges``: the covered unit ranges of each row, or null.
+
+    Rows that are alone under their id are joined by it, as everywhere else, so that
+    their text is shuffled once.
+    """
+    ranges = F.collect_list(F.struct("low", "high")).alias("ranges")
+    plain = docs.filter("variant = 0").join(cover.filter("variant = 0").groupBy("doc_id").agg(ranges), "doc_id", "left")
+    other = docs.filter("variant <> 0").join(cover.filter("variant <> 0").groupBy("doc_id", "variant").agg(ranges), ["doc_id", "variant"], "left")
+    return plain.unionByName(other)
 
 
 def covered(ranges: list | None, total: int, n: int, copy: bool) -> np.ndarray | None:

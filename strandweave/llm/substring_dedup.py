@@ -68,18 +68,20 @@ def _spans(own: list[list[tuple[int, int, int]]], low: np.ndarray, per: np.ndarr
 def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK) -> pa.Table:
     """Covered byte ranges of one shard's segments."""
     names = ("doc_id", "variant", "low", "high")
-    done = part.filter(part.column("content").is_null())
-    out = [tuple(done.column(c).to_numpy() for c in names)]
-    part = part.filter(part.column("content").is_valid())
+    out, done = [], []
     places: dict[bytes, list[tuple[int, int, int]]] = {}
     by_anchor: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-    for d, v, a, key, width, at, content in zip(*(part.column(c).to_pylist() for c in ("doc_id", "variant", "low", "anchor", "width", "place", "content")), strict=True):
+    for d, v, a, b, key, width, at, content in repeats.columns(part, n, ANCHOR):
+        if content is None:
+            done.append((d, v, a, b))
+            continue
         own = places.get(content)
         if own is None:
             places[content] = [(d, v, a)]
-            by_anchor.setdefault((key, width), []).append((content, at))
+            by_anchor.setdefault((key & (1 << repeats.ANCHOR_BITS) - 1, width), []).append((content, at))
         else:
             own.append((d, v, a))
+    out.append(tuple(np.array(done, np.int64).reshape(-1, 4).T))
 
     whole: list[tuple[int, int, int, int]] = []
     held, size = [], 0

@@ -93,7 +93,7 @@ def test_one_anchor_above_the_limit(line, monkeypatch):
     data = b"".join(texts)
     h, text, first, last, anchor = repeats.cut_segments(repeats.byte_units(np.frombuffer(data, np.uint8), offsets), n, k)
     low, high = first - offsets[text], last + n - offsets[text]
-    part = pa.table({"doc_id": text, "variant": 0 * text, "low": low, "high": high, "anchor": h.view(np.int64), "width": 0 * text + k, "place": anchor - first, "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
+    part = pa.table({"doc_id": text, "variant": 0 * text, "span": low << 32 | high, "anchor": h.view(np.int64) | (anchor - first) << 56, "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
     distinct: dict = {}
     for key, content in zip(h.tolist(), part.column("content").to_pylist(), strict=True):
         distinct.setdefault(key, set()).add(content)
@@ -107,6 +107,7 @@ def test_one_anchor_above_the_limit(line, monkeypatch):
 
 def test_a_line_of_all_documents_is_dealt_to_many_buckets(make_docs, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 100)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 10)
     rng, line = random.Random(9), "one line that is in every document of the table, so its anchors are hot"
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(60))
     ends = [word() for _ in range(30)]
@@ -115,7 +116,7 @@ def test_a_line_of_all_documents_is_dealt_to_many_buckets(make_docs, monkeypatch
     first = repeats.firsts(docs)
     found = repeats.candidates(first, repeats.byte_units, 50, 16)
     parts = repeats.segments(first, found, repeats.byte_units, 50, 16)
-    per = [r["count"] for r in parts.filter("content is not null").groupBy("anchor", "width").count().collect()]
+    per = [r["count"] for r in parts.filter("content is not null").groupBy("anchor").count().collect()]
     assert max(per) < 200 and len(per) > 200
     got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(docs).collect())
     assert got == brute(rows, 50)
