@@ -30,18 +30,19 @@ def deal(members: DataFrame, keys: list[str], sizes: DataFrame, id_col: str, siz
     return rows.withColumns({"_bi": F.least("_mine", "_other"), "_bj": F.greatest("_mine", "_other")}).drop("_other", "_blocks")
 
 
-def settle(nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+def settle(nodes: DataFrame, links: DataFrame, key: str, id_col: str) -> DataFrame:
     """Join link counts and components back to all ``nodes``.
 
-    ``links`` has ``id_col``, ``n`` (direct links found in one unit) and ``root``
-    (a member of the same component). Adds ``n_direct`` and ``component``.
+    ``links`` has ``key``, ``n`` (direct links found in one unit), and ``u`` and ``v``
+    (ids of the node and of a member of its component). Adds ``n_direct`` and
+    ``component``, the smallest id.
     """
     from .common import connected_components
 
-    counts = links.groupBy(id_col).agg(F.sum("n").alias("n_direct"))
-    comps = connected_components(links.select(F.col(id_col).alias("u"), F.col("root").alias("v")))
+    counts = links.groupBy(key).agg(F.sum("n").alias("n_direct"))
+    comps = connected_components(links.select("u", "v"))
     return (
-        nodes.join(counts, id_col, "left")
+        nodes.join(counts, key, "left")
         .join(comps.withColumnRenamed("node", id_col), id_col, "left")
         .withColumn("n_direct", F.coalesce("n_direct", F.lit(0).cast("long")))
         .withColumn("component", F.coalesce("component", F.col(id_col)))

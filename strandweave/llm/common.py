@@ -115,16 +115,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("u", "m"))
         large = (
-            both.join(low, both.u == low.n)
+            lookup(both, low, "u", "c", "v")  # a star's root may have a third of all edges
             .filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
-        small = large.join(least, large.u == least.n)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = lookup(large, least, "u", "c", "v")
         e = cut(
             small.select("u", F.col("m").alias("v"))
             .union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
