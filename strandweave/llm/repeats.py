@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash
 from .common import lookup, partitions
@@ -112,7 +113,8 @@ def firsts(docs: DataFrame, whole: bool = False) -> DataFrame:
     Rows without an id are left out. ``whole`` adds ``rest``, a struct of all other columns and the id.
     """
     rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if whole else []
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
+    own = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")  # an alias would keep plans from sharing the shuffle
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(own, F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
     tags = rows.select("doc_id", F.md5("text").alias("tag"))
     low = tags.groupBy("tag").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     later = lookup(tags, low.filter("n > 1"), "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", F.lit(1).alias("later"), F.lit(0).alias("several"))
@@ -376,13 +378,12 @@ def narrow(group: list, n: int, k: int, bound: int):
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
     """docs with ``ranges``: the covered unit ranges of each row, or null.
 
-    Rows that are alone under their id are joined by it, as everywhere else, so that
-    their text is shuffled once.
+    The join's key is the id alone, as in all other joins, so that the text is
+    shuffled once; variants are told apart by a condition on top of it.
     """
-    ranges = F.collect_list(F.struct("low", "high")).alias("ranges")
-    plain = docs.filter("variant = 0").join(cover.filter("variant = 0").groupBy("doc_id").agg(ranges), "doc_id", "left")
-    other = docs.filter("variant <> 0").join(cover.filter("variant <> 0").groupBy("doc_id", "variant").agg(ranges), ["doc_id", "variant"], "left")
-    return plain.unionByName(other)
+    ranges = cover.groupBy(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant")).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("variant") - F.col("_variant") == 0)
+    return docs.join(ranges, same, "left").drop("_id", "_variant")
 
 
 def covered(ranges: list | None, total: int, n: int, copy: bool) -> np.ndarray | None:
