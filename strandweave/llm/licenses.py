@@ -2,28 +2,39 @@
 
 Two findings for every document. Base labels come from fixed phrases whose words
 stand consecutively. The method's labels come from an exact set-similarity join
-of text blocks with license templates: a block (``BLOCK`` words, a new one every
-``STEP`` words, so any run of ``STEP`` words lies inside one) matches a template
-if it holds at least ``THRESHOLD`` of the template's distinct words. Template
-words are ordered by their frequency in the whole corpus, rarest first; a block
-is a candidate only if it holds one of the template's prefix words (prefix
-filter), has enough distinct words (length filter) and enough of the template
-can still follow (positional filter). Filters never lose a match.
-
-Only counts of template words reach the driver, one row a word. Null text counts
-as empty. Rows are judged one by one; an empty table gives an empty result.
+of text blocks with license templates of any length. Tokens are runs of ``GRAM``
+words, so words in another order, or scattered, share nothing with a template. The
+blocks of a template are all runs of ``STRETCH`` times its length in words, one at
+every word of the text, shorter at its end. A block matches if it holds at least
+``THRESHOLD`` of the template's distinct tokens:
+
+- tokens are ordered by their frequency in the whole corpus, rarest first; a
+  document is looked at for a template only if it holds one of the template's
+  prefix tokens, the rarest ones of which any match has one (prefix filter),
+- and enough words for the needed tokens (length filter),
+- and, from the rarest token it holds on, enough of the template's tokens
+  (positional filter).
+
+What is left is counted exactly: every occurrence of a token adds one to the blocks
+in which it is the token's first, a difference array over all block starts. Filters
+never lose a match. Adjacent matching blocks are reported as one run.
+
+Only counts of template tokens reach the driver, one row a token. Null text counts
+as empty. Rows are judged one by one: repeated rows get equal findings; labels that
+tie are all reported. Texts of any length are scanned whole. Only doc_id and text
+are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, STEP, THRESHOLD = 96, 48, 0.95
+GRAM, STRETCH, THRESHOLD = 3, 1.25, 0.9
 
 # The base phrases and their labels.
 PHRASES = (
@@ -31,21 +42,75 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Short notices of common licenses.
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+# Texts and notices of common licenses.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0"),
+    (
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of "
+        "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License "
+        "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ),
     ("gpl-2", "licensed under the GNU General Public License, version 2"),
     ("gpl-3", "licensed under the GNU General Public License, version 3"),
-    ("gpl", "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("bsd-2", _BSD + _AS_IS),
+    (
+        "bsd-3",
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + _AS_IS,
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "licensed under CC BY-NC 4.0"),
@@ -76,78 +141,113 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+class Grams:
+    """Numbers of the templates' tokens, and where a text has them."""
+
+    def __init__(self, templates=TEMPLATES):
+        self.templates = [(label, words_of(text)) for label, text in templates]
+        if any(not words for _, words in self.templates):
+            raise ValueError("a template has no words")
+        self.word = {w: k for k, w in enumerate(sorted({w for _, t in self.templates for w in t}), 1)}
+        self.span = len(self.word) + 1
+        if self.span**GRAM >= 1 << 63:
+            raise ValueError("the templates have too many different words")
+        self.width = [min(GRAM, len(t)) for _, t in self.templates]
+        keys = [self._keys(np.array([self.word[w] for w in t]), n) for (_, t), n in zip(self.templates, self.width, strict=True)]
+        self.known = {n: np.unique(np.concatenate([k for k, m in zip(keys, self.width, strict=True) if m == n])) for n in set(self.width)}
+        self.first = dict(zip(self.known, np.cumsum([0, *map(len, self.known.values())]).tolist(), strict=False))
+        self.total = sum(map(len, self.known.values()))
+        self.sets = [np.unique(self.first[n] + np.searchsorted(self.known[n], k)) for k, n in zip(keys, self.width, strict=True)]
+
+    def _keys(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Runs of ``n`` words as numbers; a run with an unknown word is no token's."""
+        out, ok = np.zeros(max(0, len(words) - n + 1), np.int64), np.ones(max(0, len(words) - n + 1), bool)
+        for k in range(n):
+            w = words[k : k + len(out)]
+            out, ok = out * self.span + w, ok & (w > 0)
+        return np.where(ok, out, -1)
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, token number) of all template tokens in a text, in order for each width."""
+        get = self.word.get
+        ids = np.array([get(w, 0) for w in words], np.int64)
+        at, token = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n, known in self.known.items():
+            keys = self._keys(ids, n)
+            where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = np.flatnonzero(known[where] == keys)
+            at.append(hit)
+            token.append(self.first[n] + where[hit])
+        return np.concatenate(at), np.concatenate(token)
+
+
 class Scanner:
     """Templates in global frequency order, with a prefix index."""
 
-    def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
-        self.sets = []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        vocab = {w for _, t in templates for w in words_of(t)}
-        self.rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (counts.get(w, 0), w)))}
-        for k, (label, text) in enumerate(templates):
-            words = words_of(text)
-            if len(words) > STEP:
-                raise ValueError("a template must fit into every block that overlaps it")
-            ordered = sorted(set(words), key=self.rank.__getitem__)
+    def __init__(self, counts, templates=TEMPLATES, threshold: float = THRESHOLD):
+        self.grams = Grams(templates)
+        rank = np.empty(self.grams.total, np.int64)
+        rank[np.lexsort((np.arange(self.grams.total), np.asarray(counts)))] = np.arange(self.grams.total)
+        self.prefix: dict[int, list[int]] = {}
+        self.plans = []
+        for k, ((label, words), own) in enumerate(zip(self.grams.templates, self.grams.sets, strict=True)):
+            ordered = own[np.argsort(rank[own])]
             need = math.ceil(threshold * len(ordered) - 1e-9)
-            self.sets.append((label, ordered, need))
-            for j, w in enumerate(ordered[: len(ordered) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, j))
-        self.keys = frozenset(self.prefix)
+            self.plans.append((label, ordered, need, math.ceil(STRETCH * len(words)), self.grams.width[k]))
+            for token in ordered[: len(ordered) - need + 1].tolist():
+                self.prefix.setdefault(token, []).append(k)
 
     def blocks(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, containment) of every matching block."""
-        if self.keys.isdisjoint(words):
-            return []
-        hits = [i for i, w in enumerate(words) if w in self.keys]
-        starts = set()
-        for i in hits:
-            for b in range(max(0, (i - BLOCK) // STEP + 1), i // STEP + 1):
-                if b == 0 or (b - 1) * STEP + BLOCK < len(words):  # else the block before reaches the end
-                    starts.add(b * STEP)
+        """(label, first start, last start, largest containment) of every run of matching blocks."""
+        at, token = self.grams.places(words)
         out = []
-        for start in sorted(starts):
-            block = words[start : start + BLOCK]
-            size = len(set(block))
-            mine = sorted({w for w in block if w in self.rank}, key=self.rank.__getitem__)
-            order = [self.rank[w] for w in mine]
-            have, tried = set(mine), set()
-            for i, w in enumerate(mine):
-                for k, j in self.prefix.get(w, ()):
-                    label, ordered, need = self.sets[k]
-                    if k in tried:
-                        continue
-                    tried.add(k)  # w is the rarest shared word: nothing shared comes before it
-                    if size < need or min(len(ordered) - j, len(order) - i) < need:
-                        continue
-                    shared = sum(x in have for x in ordered[j:])
-                    if shared >= need:
-                        out.append((label, start, start + len(block), shared / len(ordered)))
+        for k in sorted({k for t in set(token.tolist()) for k in self.prefix.get(t, ())}):  # prefix filter
+            label, ordered, need, size, width = self.plans[k]
+            if len(words) < need + width - 1:  # length filter
+                continue
+            mine = np.isin(token, ordered)
+            p, t = at[mine], token[mine]
+            rarest = int(np.flatnonzero(np.isin(ordered, t))[0])
+            if len(ordered) - rarest < need or len(np.unique(t)) < need:  # positional filter
+                continue
+            order = np.lexsort((p, t))
+            p, t = p[order], t[order]
+            before = np.where(np.concatenate(([True], t[1:] != t[:-1])), -1, np.concatenate(([-1], p[:-1])))
+            step = np.zeros(len(words) + 1, np.int64)  # a token counts in blocks that start after its last place and reach its end
+            np.add.at(step, np.maximum(np.maximum(before + 1, p + width - size), 0), 1)
+            np.add.at(step, p + 1, -1)
+            have = np.cumsum(step[:-1])
+            match = np.flatnonzero(have >= need)
+            for run in np.split(match, np.flatnonzero(np.diff(match) > 1) + 1):
+                if len(run):
+                    out.append((label, int(run[0]), int(run[-1]), float(have[run].max()) / len(ordered)))
         return out
 
 
-def template_counts(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
-    """How often each template word occurs in the whole table."""
-    vocab = frozenset(w for _, t in templates for w in words_of(t))
+def template_counts(docs: DataFrame, templates=TEMPLATES) -> np.ndarray:
+    """How often each template token occurs in the whole table."""
+    grams = Grams(templates)
 
     def run(batches):
-        total: Counter = Counter()
+        total = np.zeros(grams.total, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w, n in Counter(words_of(text)).items():
-                    if w in vocab:
-                        total[w] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+                total += np.bincount(grams.places(words_of(text))[1], minlength=grams.total)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.collect()}  # at most the template vocabulary
+    out = np.zeros(grams.total, np.int64)
+    for r in docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # a row a token of the templates
+        out[r["token"]] = r["n"]
+    return out
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document; ``blocks`` holds the matching blocks themselves."""
+    """One row for each document; ``blocks`` holds the runs of matching blocks."""
     scanner = Scanner(template_counts(docs, templates), templates, threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    block = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
+    names = ("label", "first_start", "last_start", "containment")
+    block = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True))))
 
     def run(batches):
         for batch in batches:
@@ -155,12 +255,12 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 base, found = base_places(words), scanner.blocks(words)
-                names = {x for _, x in base}
+                own = {x for _, x in base}
                 row = (
                     len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
-                    ",".join(sorted(names)), ",".join(sorted(names | {f[0] for f in found})),
+                    ",".join(sorted(own)), ",".join(sorted(own | {f[0] for f in found})),
                     1.0 if base else max((f[3] for f in found), default=0.0),
-                    [dict(zip(("label", "first_word", "end_word", "containment"), f, strict=True)) for f in found],
+                    [dict(zip(names, f, strict=True)) for f in found],
                 )
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -170,5 +270,5 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     return docs.select("doc_id", "text").mapInArrow(
         run,
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-        "blocks array<struct<label: string, first_word: long, end_word: long, containment: double>>",
+        "blocks array<struct<label: string, first_start: long, last_start: long, containment: double>>",
     )

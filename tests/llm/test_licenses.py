@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -9,38 +10,85 @@ def brute_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
 
 
-def brute_blocks(words):
-    out, start = set(), 0
-    while True:
-        block = words[start : start + m.BLOCK]
-        for label, text in m.TEMPLATES:
-            t = set(brute_words(text))
-            share = len(t & set(block)) / len(t)
-            if block and share >= m.THRESHOLD:
-                out.add((label, start, start + len(block), share))
-        if start + m.BLOCK >= len(words):
-            return out
-        start += m.STEP
+def brute_base(words):
+    out = []
+    for phrase, label in m.PHRASES:
+        p = phrase.split()
+        out += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    return sorted(out)
+
+
+def brute_blocks(words, templates, threshold):
+    """Every start of every template's block, one by one."""
+    out = []
+    for label, text in templates:
+        t = brute_words(text)
+        g = min(m.GRAM, len(t))
+        want = {tuple(t[i : i + g]) for i in range(len(t) - g + 1)}
+        size, runs = math.ceil(m.STRETCH * len(t)), []
+        for start in range(len(words)):
+            block = words[start : start + size]
+            share = len(want & {tuple(block[i : i + g]) for i in range(len(block) - g + 1)}) / len(want)
+            if share >= threshold - 1e-9:
+                if runs and runs[-1][2] == start - 1:
+                    runs[-1] = (label, runs[-1][1], start, max(runs[-1][3], share))
+                else:
+                    runs.append((label, start, start, share))
+        out += runs
+    return out
 
 
 def test_blocks_equal_brute_force():
-    rng = random.Random(5)
-    vocab = sorted({w for _, t in m.TEMPLATES for w in brute_words(t)}) + [f"x{i}" for i in range(30)]
-    found = 0
-    for trial in range(300):
-        words = rng.choices(vocab, k=rng.randint(0, 260))
+    rng, found = random.Random(5), 0
+    short = [t for t in m.TEMPLATES if len(brute_words(t[1])) < 60] + [("x", "one"), ("y", "two words"), ("z", "a a a a b a a a a b")]
+    vocab = sorted({w for _, t in short for w in brute_words(t)})[:60] + [f"x{i}" for i in range(10)]
+    for trial in range(250):
+        words = rng.choices(vocab, k=rng.randint(0, 120))
         for _ in range(rng.randint(0, 3)):
-            t = brute_words(rng.choice(m.TEMPLATES)[1])
-            if rng.random() < 0.5:
-                t.pop(rng.randrange(len(t)))
+            t = brute_words(rng.choice(short)[1])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                t.insert(rng.randrange(len(t) + 1), "more") if rng.random() < 0.5 or len(t) < 2 else t.pop(rng.randrange(len(t)))
             at = rng.randint(0, len(words))
             words[at:at] = t
-        counts = {w.encode(): rng.randint(0, 9) for w in vocab}
-        got = m.Scanner(counts).blocks([w.encode() for w in words])
-        want = brute_blocks(words)
-        assert set(got) == want and len(got) >= len(want)
+        threshold = rng.choice([0.9, 0.6, 1.0])
+        counts = [rng.randint(0, 9) for _ in range(m.Grams(short).total)]
+        got = m.Scanner(counts, short, threshold).blocks([w.encode() for w in words])
+        want = brute_blocks(words, short, threshold)
+        assert sorted(got) == sorted(want)
         found += len(want)
-    assert found > 100
+    assert found > 200
+
+
+def test_whole_license_texts():
+    scanner = m.Scanner([1] * m.Grams().total)
+    rng = random.Random(2)
+    for label, text in m.TEMPLATES:
+        words = brute_words(text)
+        noise = [f"n{rng.randint(0, 99)}" for _ in range(rng.randint(0, 333))]
+        assert label in {b[0] for b in scanner.blocks([w.encode() for w in noise + words + noise])}
+        if len(words) > 60:
+            assert label in {b[0] for b in scanner.blocks([w.encode() for w in noise + words[: len(words) // 2] + ["Jane"] + words[len(words) // 2 :]])}
+            assert not scanner.blocks([w.encode() for w in sorted(words)])  # its words, in another order
+
+
+def test_scattered_words_do_not_match(make_docs):
+    texts = [
+        "The committee released its report while MIT was under review for a driving license.",
+        "Licensed drivers under review at MIT, the 2 Apache helicopters, version 0 of the license",
+    ]
+    rows = m.license_scan(make_docs([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert all(r["labels"] == "" and r["score"] == 0 for r in rows)
+
+
+def test_base_counters_equal_brute_force():
+    rng = random.Random(7)
+    vocab = sorted({w for p, _ in m.PHRASES for w in p.split()}) + ["x"]
+    for _ in range(400):
+        words = rng.choices(vocab, k=rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(m.PHRASES)[0].split()
+        assert m.base_places([w.encode() for w in words]) == brute_base(words)
 
 
 def test_base_phrases_and_rows(make_docs, odd_docs):
