@@ -30,6 +30,14 @@ def deal(members: DataFrame, keys: list[str], sizes: DataFrame, id_col: str, siz
     return rows.withColumns({"_bi": F.least("_mine", "_other"), "_bj": F.greatest("_mine", "_other")}).drop("_other", "_blocks")
 
 
+def grouped(rows: DataFrame, joins: DataFrame, id_col: str) -> DataFrame:
+    """(id, grp) of ``rows(id, grp)`` after ``joins(u, v)`` between groups."""
+    from .common import connected_components
+
+    comps = connected_components(joins.select("u", "v")).select(F.col("node").alias("grp"), "component")
+    return rows.select(id_col, "grp").distinct().join(comps, "grp", "left").select(id_col, F.coalesce("component", "grp").alias("grp"))
+
+
 def settle(nodes: DataFrame, links: DataFrame, key: str, id_col: str) -> DataFrame:
     """Join link counts and components back to all ``nodes``.
 

@@ -75,17 +75,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str, share: int = 1000, outer: bool = False) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str, total: int | None = None, outer: bool = False, share: int = 1000) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a key and the number of rows of each in ``count``.
 
-    ``outer`` keeps rows without a partner.
-
     Keys with at least a ``share``-th of all rows, of which there are at most
     ``share``, are broadcast, so that no task gets a hot key's rows; ``spread``
-    deals those rows evenly while the others are joined by key.
+    deals those rows evenly while the others are joined by key. ``total`` is the
+    number of rows if it is known; ``outer`` keeps rows without a partner.
     """
     values = [c for c in table.columns if c not in (key, count)]
-    marked = table.crossJoin(F.broadcast(table.agg(F.sum(count).alias("_all")))).withColumn("_hot", F.col(count) * share >= F.col("_all"))
+    if total is None:
+        marked = table.crossJoin(F.broadcast(table.agg(F.sum(count).alias("_all")))).withColumn("_hot", F.col(count) * share >= F.col("_all"))
+    else:
+        marked = table.withColumn("_hot", F.col(count) * share >= F.lit(total))
     hot = marked.filter("_hot").select(key, F.struct(*values, "_hot").alias("_h"))
     rest = marked.filter("not _hot").select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values, "_hot").alias("_r"))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("long"))
@@ -94,13 +96,17 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str,
     return both.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
+FEW_EDGES = 20_000  # below this all edges of a node may meet in one task
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every node of ``edges(u, v)``, undirected.
 
     Alternating large-star and small-star contraction; every round is two
     aggregations and two joins over edges, cut in the shared folder, and edges
-    only shrink. Returns ``(node, component)`` for all nodes that have an edge
-    to another node.
+    only shrink. A star's root may have a third of all edges: nodes with many are
+    looked up by broadcast, the others by join. Returns ``(node, component)`` for
+    all nodes that have an edge to another node.
     """
     e = (
         edges.filter(F.col("u") != F.col("v"))
@@ -114,16 +120,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
+
+        def least(of: DataFrame, total: int) -> DataFrame:
+            low = of.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+            return of.join(low.drop("c"), "u") if total < FEW_EDGES else lookup(of, low, "u", "c", "v", total)
+
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("u", "m"))
-        large = (
-            lookup(both, low, "u", "c", "v")  # a star's root may have a third of all edges
-            .filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = lookup(large, least, "u", "c", "v")
+        large = least(both, 2 * mark[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = least(large, mark[0])
         e = cut(
             small.select("u", F.col("m").alias("v"))
             .union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, roots_of, settle
+from .blocks import deal, grouped, roots_of, settle
 from .common import connected_components, cut, partitions
 
 THRESHOLD = 0.98
@@ -167,29 +167,32 @@ def bands(nodes: DataFrame) -> DataFrame:
 
 
 def deep(rows: DataFrame) -> DataFrame:
-    """(node, component) of vectors that agree on two adjacent bands with another."""
+    """(vec_id, grp) of vectors that agree on two adjacent bands with another."""
     wide = rows.filter("wide is not null").select("wide", "vec_id")
     low = wide.groupBy("wide").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    return connected_components(wide.join(low, "wide").select(F.col("vec_id").alias("u"), F.col("low").alias("v")))
+    joined = connected_components(wide.join(low, "wide").select(F.col("vec_id").alias("u"), F.col("low").alias("v")))
+    return joined.select(F.col("node").alias("vec_id"), F.col("component").alias("grp"))
 
 
-def bounded(nodes: DataFrame, rows: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): joins between groups, by estimates and bounds from stored codes; ``n_undecided`` counts the pairs behind them."""
+def bounded(nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): joins between groups that meet in a bucket of ``rows(bucket, vec_id, grp)``.
+
+    Estimates and bounds from stored codes decide; ``n_undecided`` counts the pairs
+    behind the joins.
+    """
     kind = nodes.schema["vec_id"].dataType.simpleString()
-    rows = rows.select("vec_id", "bucket").join(joined.select(F.col("node").alias("vec_id"), F.col("component").alias("grp")), "vec_id", "left")
-    rows = cut(rows.withColumn("grp", F.coalesce("grp", "vec_id")))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("bucket", "n")
     dealt = deal(rows, ["bucket"], mixed, "vec_id", BLOCK_ROWS).join(mixed, "bucket").join(nodes.select("vec_id", "label", F.octet_length("unit").alias("bytes"), "code", "factor", "query", "spread"), "vec_id")
     unit = F.when(F.col("n") <= SMALL, F.pmod("bucket", F.lit(8 * partitions(nodes.sparkSession)))).otherwise(F.xxhash64("bucket", "_bi", "_bj"))
 
     def run(part: pa.Table) -> pa.Table:
         ids, bucket, bi, bj, size = (part.column(c).to_numpy() for c in ("vec_id", "bucket", "_bi", "_bj", "bytes"))
-        group = np.unique(part.column("grp").to_numpy(), return_inverse=True)[1]
+        names, group = np.unique(part.column("grp").to_numpy(), return_inverse=True)
         label = np.unique(part.column("label").to_pylist(), return_inverse=True)[1]
         store = {c: part.column(c).to_pylist() for c in ("code", "factor", "query", "spread")}
         order = np.lexsort((ids, bj, bi, size, label, bucket))
         edge = np.flatnonzero(np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (bucket, label, size, bi, bj)], axis=0), [True])))
-        u, v, total = [ids[:0]], [ids[:0]], [0]
+        u, v, total = [names[:0]], [names[:0]], [0]
         for low, high in zip(edge, edge[1:], strict=False):
             at = order[low:high]
             g, d = group[at], int(size[at[0]]) // 8
@@ -203,10 +206,11 @@ def bounded(nodes: DataFrame, rows: DataFrame, joined: DataFrame, threshold: flo
                 near[s] = c.estimates(s) >= c.least(s, threshold)
             near &= g[:, None] != g[None, :]
             x, y = np.nonzero(np.triu(near | near.T, 1))
-            root = roots_of(len(at), x, y)
-            hit = np.flatnonzero(root != np.arange(len(at)))
-            u.append(ids[at][hit])
-            v.append(ids[at][root[hit]])
+            own, place = np.unique(g, return_inverse=True)
+            root = roots_of(len(own), place[x], place[y])
+            hit = np.flatnonzero(root != np.arange(len(own)))
+            u.append(names[own[hit]])
+            v.append(names[own[root[hit]]])
             total.append(len(x))
         u, v = np.concatenate(u), np.concatenate(v)
         return pa.table({"u": u, "v": v, "n_undecided": pa.array(([sum(total)] + [0] * (len(u) - 1))[: len(u)], pa.int64())})
@@ -218,7 +222,7 @@ def verify(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Exact links inside groups: (copy, n, u, v), n counting all copies of linked nodes, u and v ids of one class."""
     kind = nodes.schema["vec_id"].dataType.simpleString()
     members = cut(groups.join(nodes.select("vec_id", "copy", "mult"), "vec_id"))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
     units = max(1, int(members.count()) // (BLOCK_ROWS // 2), partitions(nodes.sparkSession))
     dealt = deal(members, ["grp"], sizes, "copy", BLOCK_ROWS).join(sizes, "grp").join(nodes.select("copy", "label", "unit"), "copy")
     unit = F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("grp"), F.lit(units))).otherwise(F.xxhash64("grp", "_bi", "_bj"))
@@ -259,11 +263,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     codes = cut(coded(vectors))
     nodes = codes.filter("unit is not null").groupBy("copy").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), *[F.min(c).alias(c) for c in ("label", "unit", "code", "factor", "query", "spread")])
     nodes = cut(nodes)
-    rows = cut(bands(nodes))
-    joined = cut(deep(rows))
-    more = bounded(nodes, rows, joined, threshold)
-    groups = connected_components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
-    links = cut(verify(nodes, groups.select(F.col("node").alias("vec_id"), F.col("component").alias("grp")), threshold))
+    rows = bands(nodes)
+    rows = cut(rows.select("vec_id", "bucket").join(deep(rows), "vec_id", "left").withColumn("grp", F.coalesce("grp", "vec_id")))
+    links = cut(verify(nodes, grouped(rows, bounded(nodes, rows, threshold), "vec_id"), threshold))
     done = settle(nodes.select("vec_id", "copy", "mult"), links, "copy", "vec_id").select("copy", "mult", "n_direct", F.col("component").alias("_class"))
     return (
         codes.select("vec_id", "copy")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .blocks import deal, roots_of, settle
+from .blocks import deal, grouped, roots_of, settle
 from .common import connected_components, cut, partitions
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -187,11 +187,9 @@ def tries(nodes: DataFrame, trees: int, depth: int, floor: int) -> DataFrame:
     return rows.mapInArrow(read, f"bucket long, doc_id {kind}, low {kind}")
 
 
-def shortened(nodes: DataFrame, runs: DataFrame, joined: DataFrame, trees: int, depth: int, threshold: float) -> DataFrame:
-    """(u, v): joins inside buckets that hold nodes of several groups."""
+def shortened(nodes: DataFrame, rows: DataFrame, trees: int, depth: int, threshold: float) -> DataFrame:
+    """(u, v): joins between groups whose nodes meet in a bucket of ``rows(bucket, doc_id, grp)``."""
     kind = nodes.schema["doc_id"].dataType.simpleString()
-    rows = runs.select("bucket", "doc_id").distinct().join(joined.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id", "left")
-    rows = cut(rows.withColumn("grp", F.coalesce("grp", "doc_id")))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("bucket", "n")
     dealt = deal(rows, ["bucket"], mixed, "doc_id", 2 * BLOCK_ROWS).join(mixed, "bucket")
     units = 8 * partitions(nodes.sparkSession)
@@ -201,11 +199,11 @@ def shortened(nodes: DataFrame, runs: DataFrame, joined: DataFrame, trees: int,
 
     def run(part: pa.Table) -> pa.Table:
         ids, bucket, reach, bi, bj = (part.column(c).to_numpy() for c in ("doc_id", "bucket", "reach", "_bi", "_bj"))
-        group = np.unique(part.column("grp").to_numpy(), return_inverse=True)[1]
+        names, group = np.unique(part.column("grp").to_numpy(), return_inverse=True)
         values = np.frombuffer(b"".join(part.column("values").to_pylist()), "<u2").reshape(len(ids), trees * depth)
         order = np.lexsort((ids, bj, bi, bucket))
         edges = np.flatnonzero(np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (bucket, bi, bj)], axis=0), [True])))
-        u, v = [ids[:0]], [ids[:0]]
+        u, v = [names[:0]], [names[:0]]
         for low, high in zip(edges, edges[1:], strict=False):
             at = order[low:high]
             s, g, r = values[at], group[at], reach[at]
@@ -220,24 +218,23 @@ def shortened(nodes: DataFrame, runs: DataFrame, joined: DataFrame, trees: int,
                 near = common >= np.maximum(r[a + x], r[y])
                 left.append(a + x[near])
                 right.append(y[near])
-            x, y = np.concatenate(left), np.concatenate(right)
-            root = roots_of(len(at), x, y)
-            hit = np.flatnonzero(root != np.arange(len(at)))
-            u.append(ids[at][hit])
-            v.append(ids[at][root[hit]])
+            own, place = np.unique(g, return_inverse=True)
+            root = roots_of(len(own), place[np.concatenate(left)], place[np.concatenate(right)])
+            hit = np.flatnonzero(root != np.arange(len(own)))
+            u.append(names[own[hit]])
+            v.append(names[own[root[hit]]])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return dealt.groupBy("unit").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def candidate_groups(nodes: DataFrame, trees: int, depth: int, threshold: float, recall: float) -> DataFrame:
-    """(doc_id, grp): nodes that the forest joins with another, with their component."""
+    """(doc_id, grp): nodes of the forest's runs, with the group that joins make of them."""
     runs = cut(tries(nodes, trees, depth, forest_depth(threshold, trees, depth, recall)))
     deep = runs.filter("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
-    joined = cut(connected_components(deep))
-    more = shortened(nodes, runs, joined, trees, depth, threshold)
-    both = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    return connected_components(both).select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    joined = connected_components(deep).select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    rows = cut(runs.select("bucket", "doc_id").distinct().join(joined, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id")))
+    return grouped(rows, shortened(nodes, rows, trees, depth, threshold), "doc_id")
 
 
 def _confirmed(h: np.ndarray, equal) -> np.ndarray | None:
@@ -312,7 +309,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: floa
     """Exact links inside groups: (copy, n, u, v), n counting all copies of linked nodes, u and v ids of one class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = cut(groups.join(nodes.select("doc_id", "copy", "mult", "size"), "doc_id"))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).filter("rows > 1")
     sizes = sizes.withColumn("n", F.greatest("rows", F.ceil(F.col("bytes") / BLOCK_BYTES) * BLOCK_ROWS))
     units = max(1, int(members.count()) // (BLOCK_ROWS // 2), partitions(docs.sparkSession))
     dealt = deal(members, ["grp"], sizes, "copy", BLOCK_ROWS).join(sizes.select("grp", "rows"), "grp")

@@ -74,10 +74,9 @@ def test_codes_decide_what_is_recomputed(spark):
     x = np.repeat(base, 6, axis=0) + rng.standard_normal((240, 64)) * 0.5
     df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     nodes = m.cut(m.coded(df).withColumn("mult", m.F.lit(1)))
-    rows = m.cut(m.bands(nodes))
-    alone = spark.createDataFrame([], "node long, component long")
+    rows = m.cut(m.bands(nodes).withColumn("grp", m.F.col("vec_id")))
     pairs = rows.groupBy("bucket").count().selectExpr("sum(count * (count - 1) / 2) s").first()["s"]
-    undecided = m.bounded(nodes, rows, alone, 0.98).agg(m.F.sum("n_undecided")).first()[0] or 0
+    undecided = m.bounded(nodes, rows, 0.98).agg(m.F.sum("n_undecided")).first()[0] or 0
     assert undecided < pairs / 10 and pairs > 100
     u = x / np.linalg.norm(x, axis=1)[:, None]
     assert sum(r["n_links"] for r in m.near_duplicates(df).collect()) == int(((u @ u.T) >= 0.98).sum() - 240)
