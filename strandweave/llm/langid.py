@@ -14,10 +14,17 @@ count, so the expected number never exceeds it). The model is ``TOP`` n-grams a
 language and nothing larger reaches the driver. Prediction reads only the text,
 all of it.
 
+``keep_known`` also rejects a text that scores less than the floor of its
+language, ``q50 - REACH * (q50 - q25)`` of the scores of the same training texts,
+drawn to 0 as if ``PRIOR`` more texts had that floor: texts in languages that were
+not learned, or in none, score far below it.
+
 Null text, or text without letters, gets ``und`` with score 0. A null doc_id is
-never held out and never learned from. Repeated rows are predicted one by one;
-an empty table gives an empty result, and no labelled row at all gives ``und``
-everywhere.
+never held out and never learned from. Repeated rows are predicted one by one and
+equal texts get equal predictions; very long texts are counted whole. Only
+doc_id, text and lang are read (``keep_known`` keeps all columns), so other
+columns may have any name. An empty table gives an empty result, and no labelled
+row at all gives ``und`` everywhere.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from pyspark.sql import functions as F
 
 TOP = 300
 TRAIN_DOCS = 2000
+REACH = 6  # quartile distances under the median
+PRIOR = 100  # training texts that a floor of 0 counts for
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 EDGE = 1  # letters are their code point plus 2; 0 marks an unused place
@@ -90,6 +99,7 @@ class Profiles:
 
     def __init__(self, ranked: dict[str, list[int]], top: int = TOP):
         self.top = top
+        self.floor: dict[str, float] = {}
         self.langs = sorted(ranked)
         self.codes = np.unique(np.array([c for x in ranked.values() for c in x], np.int64))
         self.rank = np.full((len(self.codes), len(self.langs)), -1, np.int64)
@@ -109,11 +119,17 @@ class Profiles:
         return self.langs[best], 1.0 - float(total[best]) / (self.top * len(mine))
 
 
+    def knows(self, text: str | None) -> bool:
+        """Whether the text is in a learned language, as far as its score tells."""
+        lang, score = self.predict(text)
+        return lang != UNKNOWN and score >= self.floor.get(lang, 0.0)
+
+
 def _fold():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Profiles:
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, floors: bool = False) -> Profiles:
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~_fold())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -140,7 +156,18 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Prof
     ranked: dict[str, list[int]] = {}
     for r in counted.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).orderBy("lang", "r").collect():
         ranked.setdefault(r["lang"], []).append(r["code"])
-    return Profiles(ranked, top)
+    model = Profiles(ranked, top)
+
+    def scores(batches):
+        for batch in batches:
+            got = [model.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] == lang for g, lang in zip(got, batch.column(0).to_pylist(), strict=True)]), pa.array([g[1] for g in got], pa.float64())], ["lang", "right", "score"])
+
+    if floors:
+        own = picked.mapInArrow(scores, "lang string, right boolean, score double").filter("right")
+        for r in own.groupBy("lang").agg(F.percentile("score", [0.25, 0.5]).alias("q"), F.count("*").alias("n")).collect():  # a row a language
+            model.floor[r["lang"]] = (r["q"][1] - REACH * (r["q"][1] - r["q"][0])) * r["n"] / (r["n"] + PRIOR)
+    return model
 
 
 def predict(docs: DataFrame, model: Profiles) -> DataFrame:
@@ -162,18 +189,16 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs))
 
 
-def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose text has a recognised language with a score above ``least``.
+def keep_known(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` in a learned language, judged by their text alone.
 
     Judged where the text is, so no text is shuffled; all columns stay.
     """
-    model = learn(docs)
-    names = docs.columns
-    at = names.index("text")
+    model = learn(docs, floors=True)
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            ok = [p[0] != UNKNOWN and p[1] > least for p in map(model.predict, batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array([model.knows(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,8 +17,12 @@ shard: an open bin of another shard is never looked at. The duplicate cluster is
 sha-256) unless a column is named.
 
 Null text counts as empty (one unit). A null source, and an empty text's
-cluster, conflict with nothing. Repeated rows are packed one by one. An empty
-table gives an empty result.
+cluster, conflict with nothing. Rows without an id are dealt by their place, so
+that they spread too. Repeated rows are packed one by one; pieces of one length
+come by doc_id and piece, and of bins that are equally tight the one that has been
+so longest is taken. Very long texts are cut like others. Only doc_id, text, source
+and the named cluster column are read, so other columns may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,7 +134,7 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
         "doc_id",
         F.col("source").cast("string").alias("_source"),
         group.alias("_cluster"),
-        F.pmod(F.xxhash64(F.col("doc_id"), group), F.lit(shards)).alias("_shard"),
+        F.pmod(F.xxhash64(F.col("doc_id"), group, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)).alias("_shard"),
         size.alias("_size"),
         F.posexplode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(capacity).cast("long"))).alias("piece", "_start"),
     ).select("doc_id", "_source", "_cluster", "_shard", "piece", F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("_start")).alias("n_units"))

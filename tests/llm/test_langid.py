@@ -65,3 +65,19 @@ def test_odd_rows(odd_docs, make_docs):
     assert m.language_id(odd_docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in m.language_id(make_docs([(1, "abc", None, None)])).collect()} == {"und"}
     assert m.keep_known(odd_docs).count() == 7 and m.keep_known(odd_docs).columns == odd_docs.columns
+
+
+def test_unlearned_languages_are_rejected(make_docs):
+    """A floor from the training texts: prose of the learned languages stays, other text goes."""
+    rng = random.Random(3)
+    common = {"en": "the of and to in is that it was for on with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines es jahr zwei jahren diese dieser wieder keine".split()}
+    rows = [(i, " ".join(rng.choices(common[lang], k=rng.randint(40, 120))), lang, "a") for i, lang in enumerate(["en", "de"] * 600)]
+    strange = {
+        5000: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)),
+        5001: "Suomen kieli kuuluu itämerensuomalaisiin kieliin ja sitä puhutaan pääasiassa Suomessa jossa se on toinen virallisista kielistä " * 2,
+        5002: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem " * 2,
+        5003: "12 34 !!",
+    }
+    kept = {r["doc_id"] for r in m.keep_known(make_docs(rows + [(k, t, "en", "a") for k, t in strange.items()])).collect()}
+    assert not kept & set(strange)
+    assert len(kept) > 0.98 * len(rows)

@@ -52,6 +52,26 @@ def test_tightest_compatible_bin_every_time():
             assert free[b] >= 0
 
 
+def test_bins_equal_brute_force():
+    """As many bins, as full, as a search through all bins for the tightest one."""
+    rng = random.Random(4)
+    for _ in range(60):
+        n, cap = rng.randint(1, 150), rng.choice([9, 20, 100])
+        lengths = sorted((rng.randint(1, cap) for _ in range(n)), reverse=True)
+        sources = [rng.choice([None, str(i)]) for i in range(n)]  # no conflicts: equally tight bins are interchangeable
+        bins, offsets = packing.pack(np.array(lengths), sources, [None] * n, cap)
+        want, used = brute(lengths, sources, [None] * n, cap)
+        assert len(set(bins.tolist())) == used
+        assert [(n, o) for n, o in zip(lengths, offsets.tolist(), strict=True)] == [(n, o) for n, o, _ in want]
+
+
+def test_rows_without_an_id_spread(make_docs):
+    rows = [(None, "same text", "en", None)] * 300 + [(i, f"t{i}", "en", "a") for i in range(20)]
+    got = packing.best_fit(make_docs(rows), capacity=64, shard_rows=40).toPandas()
+    assert len(got) == 320 and got[got.doc_id.isna()].groupby(got.bin_id // 2**32).size().max() < 100
+    assert got[got.doc_id.isna()].bin_id.nunique() == 300  # copies of one text are kept apart
+
+
 def test_odd_rows(odd_docs):
     got = packing.best_fit(odd_docs, capacity=64).toPandas()
     whole = got.groupby("doc_id", dropna=False).n_units.sum()
