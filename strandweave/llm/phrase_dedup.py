@@ -52,11 +52,11 @@ def locate(part: pa.Table, n: int = WINDOW) -> pa.Table:
         for column, value in zip(out, row, strict=True):
             column.append(value)
 
-    for d, v, a, b, key, width, at, content in repeats.columns(part, n, ANCHOR):
+    for d, v, a, b, key, width, at, content in repeats.rows_of(part.column("data").to_pylist(), n, ANCHOR):
         if content is None:
             put(d, v, a, b)
         else:
-            by_anchor.setdefault((key & (1 << repeats.ANCHOR_BITS) - 1, width), []).append((d, v, a, at, content))
+            by_anchor.setdefault((key, width), []).append((d, v, a, at, content))
     symbol, first, again, streams = _Symbols(), {}, {}, []
 
     def settle() -> None:

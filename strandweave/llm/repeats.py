@@ -43,7 +43,7 @@ from .common import lookup, partitions
 ANCHOR_BITS = 56  # of an anchor's hash; equal hashes of different anchors only cost time
 FLUSH = 2_000_000  # anchors a worker holds before it sends them
 HOT = 4096  # documents from which on the windows around an anchor are dealt one by one
-HOT_SHARE = 1  # and the part of its bucket's anchors and documents: at most so many hot anchors a bucket
+HOT_SHARE = 2  # and at least this part of its bucket's pairs of anchor and document: at most so many hot anchors a bucket
 FLAG = np.uint64(1 << 60)  # marks a hot anchor
 WINDOW = 127  # place of an anchor that is a window; windows hold at most so many runs
 ROW = "doc_id long, variant long, low long, high long"
@@ -115,10 +115,10 @@ def firsts(docs: DataFrame, whole: bool = False) -> DataFrame:
     rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if whole else []
     own = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")  # an alias would keep plans from sharing the shuffle
     rows = docs.filter(F.col("doc_id").isNotNull()).select(own, F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
-    tags = rows.select("doc_id", F.md5("text").alias("tag"))
+    tags = rows.select("doc_id", F.unhex(F.md5("text")).alias("tag"), F.xxhash64("text").alias("short"))
     low = tags.groupBy("tag").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    later = lookup(tags, low.filter("n > 1"), "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", F.lit(1).alias("later"), F.lit(0).alias("several"))
-    several = tags.groupBy("doc_id").agg((F.min("tag") != F.max("tag")).alias("x")).filter("x").select("doc_id", F.lit(0), F.lit(1))
+    later = lookup(tags.select("doc_id", "tag"), low.filter("n > 1"), "tag", "n", "doc_id").filter("doc_id > low").select("doc_id", F.lit(1).alias("later"), F.lit(0).alias("several"))
+    several = tags.groupBy("doc_id").agg((F.min("short") != F.max("short")).alias("x")).filter("x").select("doc_id", F.lit(0), F.lit(1))
     marks = later.union(several).groupBy("doc_id").agg(F.max("later").alias("later"), F.max("several").alias("several"))
     many = F.coalesce(F.col("several"), F.lit(0)) == 1
     return rows.join(marks, "doc_id", "left").select(
@@ -263,24 +263,15 @@ def _name(window: bytes) -> int:
 
 
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
-    """Candidate segments, or covered ranges if content is null.
-
-    (bucket, anchor, doc_id, variant, span, content): ``anchor`` holds its number and,
-    above ``ANCHOR_BITS``, its place in the content, or ``WINDOW`` if it is the content
-    itself; ``span`` has the first unit in the document in its upper half and the
-    end in its lower one; content is the segment's bytes, or its words joined by
-    one blank.
-    """
+    """(bucket, data): blocks of candidate segments and covered ranges, see ``rows_of``."""
     buckets = 8 * partitions(docs.sparkSession)
-    names = ["bucket", "anchor", "doc_id", "variant", "span", "content"]
-    kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
 
     def flush(held: dict):
-        out: list[list] = [[] for _ in names]
+        out: dict[int, list[list]] = {}
         gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-        def put(*row) -> None:
-            for column, value in zip(out, row, strict=True):
+        def put(bucket: int, *row) -> None:
+            for column, value in zip(out.setdefault(bucket, [[] for _ in row]), row, strict=True):
                 column.append(value)
 
         for (anchor, content), places in held.items():
@@ -295,12 +286,14 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
             low, high = ranges[0]
             for a, b in ranges[1:]:
                 if a > high:
-                    put(doc % buckets, 0, doc, variant, low << 32 | high, None)
+                    put(doc % buckets, 0, doc, variant, low << 32 | high, b"")
                     low = a
                 high = max(high, b)
-            put(doc % buckets, 0, doc, variant, low << 32 | high, None)
-        for a in range(0, len(out[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], t) for c, t in zip(out, kinds, strict=True)], names)
+            put(doc % buckets, 0, doc, variant, low << 32 | high, b"")
+        names = list(out)
+        for a in range(0, len(names), 256):
+            some = names[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block_of(*out.pop(x)) for x in some], pa.binary())], ["bucket", "data"])
 
     def send(batches):
         held: dict = {}
@@ -339,18 +332,39 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
         yield from flush(held)
 
     rows = docs.filter(~F.col("copy")).select("doc_id", "variant", "text").join(found, "doc_id")
-    return rows.select("doc_id", "variant", "text", "anchors").mapInArrow(send, "bucket int, anchor long, doc_id long, variant long, span long, content binary")
+    return rows.select("doc_id", "variant", "text", "anchors").mapInArrow(send, "bucket int, data binary")
 
 
-def columns(part: pa.Table, n: int, k: int):
-    """(doc_id, variant, low, high, anchor, its width and place, content) of every row of a shard."""
-    span, anchor = part.column("span").to_numpy(), part.column("anchor").to_numpy()
-    place = anchor >> ANCHOR_BITS
-    window = place == WINDOW
-    yield from zip(
-        *(part.column(c).to_pylist() for c in ("doc_id", "variant")), (span >> 32).tolist(), (span & 0xFFFFFFFF).tolist(), anchor.tolist(),
-        np.where(window, n, k).tolist(), np.where(window, 0, place).tolist(), part.column("content").to_pylist(), strict=True,
-    )
+def block_of(anchor: list[int], doc: list[int], variant: list[int], span: list[int], content: list[bytes]) -> bytes:
+    """Rows as one block: numbers by byte plane, then all contents, compressed.
+
+    ``anchor`` holds its number and, above ``ANCHOR_BITS``, its place in the content, or
+    ``WINDOW`` if it is the content itself; ``span`` has the first unit in the document in
+    its upper half and the end in its lower one; a content is a segment's bytes, or
+    its words joined by one blank, and empty for a covered range.
+    """
+    order = np.argsort(np.array(anchor, np.int64), kind="stable").tolist()
+    numbers = [np.array(c, np.int64)[order] for c in (anchor, doc, variant, span, [len(c) for c in content])]
+    numbers[0] = np.diff(numbers[0], prepend=0)
+    raw = b"".join([*(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in numbers), *(content[k] for k in order)])
+    return len(order).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def rows_of(blocks: list[bytes], n: int, k: int):
+    """(doc_id, variant, low, high, anchor number, its width and place, content or None) of every row of blocks."""
+    for data in blocks:
+        size = int.from_bytes(data[:4], "little")
+        raw = pa.Codec("zstd").decompress(data[12:], decompressed_size=int.from_bytes(data[4:12], "little"), asbytes=True)
+        anchor, doc, variant, span, length = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, 8 * size * c).reshape(8, size).T).view(np.int64).ravel() for c in range(5))
+        anchor = np.cumsum(anchor)
+        place = anchor >> ANCHOR_BITS
+        window = place == WINDOW
+        end = 40 * size + np.cumsum(length)
+        contents = [raw[a:b] or None for a, b in zip((end - length).tolist(), end.tolist(), strict=True)]
+        yield from zip(
+            doc.tolist(), variant.tolist(), (span >> 32).tolist(), (span & 0xFFFFFFFF).tolist(), (anchor & (1 << ANCHOR_BITS) - 1).tolist(),
+            np.where(window, n, k).tolist(), np.where(window, 0, place).tolist(), contents, strict=True,
+        )
 
 
 def narrow(group: list, n: int, k: int, bound: int):
@@ -382,7 +396,7 @@ def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:
     shuffled once; variants are told apart by a condition on top of it.
     """
     ranges = cover.groupBy(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant")).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("variant") - F.col("_variant") == 0)
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("variant").bitwiseXOR(F.col("_variant")) == 0)
     return docs.join(ranges, same, "left").drop("_id", "_variant")
 
 

@@ -71,14 +71,14 @@ def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK) -> pa.Table:
     out, done = [], []
     places: dict[bytes, list[tuple[int, int, int]]] = {}
     by_anchor: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-    for d, v, a, b, key, width, at, content in repeats.columns(part, n, ANCHOR):
+    for d, v, a, b, key, width, at, content in repeats.rows_of(part.column("data").to_pylist(), n, ANCHOR):
         if content is None:
             done.append((d, v, a, b))
             continue
         own = places.get(content)
         if own is None:
             places[content] = [(d, v, a)]
-            by_anchor.setdefault((key & (1 << repeats.ANCHOR_BITS) - 1, width), []).append((content, at))
+            by_anchor.setdefault((key, width), []).append((content, at))
         else:
             own.append((d, v, a))
     out.append(tuple(np.array(done, np.int64).reshape(-1, 4).T))

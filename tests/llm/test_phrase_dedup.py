@@ -101,7 +101,7 @@ def test_more_words_than_code_points(count, anchors, symbols, monkeypatch):
     low, high = first - u.first[text], last + 13 - u.first[text]
     content = [" ".join(texts[t][a:b]).encode() for t, a, b in zip(text.tolist(), low.tolist(), high.tolist(), strict=True)]
     assert len({w for c in content for w in c.split()}) > (symbols or 1_112_063)
-    part = pa.table({"doc_id": text, "variant": 0 * text, "span": low << 32 | high, "anchor": h.view(np.int64) | (anchor - first) << 56, "content": content})
+    part = pa.table({"data": [repeats.block_of((h.view(np.int64) | (anchor - first) << 56).tolist(), text.tolist(), [0] * len(text), (low << 32 | high).tolist(), content)]})
     gone: list[set] = [set() for _ in texts]
     for r in m.locate(part).to_pylist():
         gone[r["doc_id"]].update(range(r["low"], r["high"]))

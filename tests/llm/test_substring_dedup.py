@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +94,11 @@ def test_one_anchor_above_the_limit(line, monkeypatch):
     data = b"".join(texts)
     h, text, first, last, anchor = repeats.cut_segments(repeats.byte_units(np.frombuffer(data, np.uint8), offsets), n, k)
     low, high = first - offsets[text], last + n - offsets[text]
-    part = pa.table({"doc_id": text, "variant": 0 * text, "span": low << 32 | high, "anchor": h.view(np.int64) | (anchor - first) << 56, "content": [data[a : b + n] for a, b in zip(first, last, strict=True)]})
+    contents = [data[a : b + n] for a, b in zip(first, last, strict=True)]
+    block = repeats.block_of((h.view(np.int64) | (anchor - first) << 56).tolist(), text.tolist(), [0] * len(text), (low << 32 | high).tolist(), contents)
+    part = pa.table({"data": [block]})
     distinct: dict = {}
-    for key, content in zip(h.tolist(), part.column("content").to_pylist(), strict=True):
+    for key, content in zip(h.tolist(), contents, strict=True):
         distinct.setdefault(key, set()).add(content)
     assert max(sum(map(len, x)) for x in distinct.values()) > suffixes.LIMIT
     got = [np.zeros(len(t), bool) for t in texts]
@@ -116,7 +119,7 @@ def test_a_line_of_all_documents_is_dealt_to_many_buckets(make_docs, monkeypatch
     first = repeats.firsts(docs)
     found = repeats.candidates(first, repeats.byte_units, 50, 16)
     parts = repeats.segments(first, found, repeats.byte_units, 50, 16)
-    per = [r["count"] for r in parts.filter("content is not null").groupBy("anchor").count().collect()]
-    assert max(per) < 200 and len(per) > 200
+    per = Counter(r[4] for r in repeats.rows_of([b["data"] for b in parts.collect()], 50, 16) if r[-1])
+    assert max(per.values()) < 200 and len(per) > 200
     got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(docs).collect())
     assert got == brute(rows, 50)
