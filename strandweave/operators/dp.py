@@ -32,6 +32,11 @@ def elbow(distinct: list[int], degrees: float = ELBOW_DEGREES) -> int:
     return next((r for r, x in enumerate(gain) if math.degrees(math.atan(x / top)) < degrees), 0)
 
 
+def path_colours(colours) -> Counter:
+    """How often each colour occurs on a path of coloured nodes."""
+    return Counter(c for own in colours for c in own)
+
+
 def haploid(g: HapGraph, budget: int, full_path: bool = False) -> Haploid:
     """Most colours with at most r switches, r = 0 .. budget; nodes are in topological order.
 
@@ -63,7 +68,7 @@ def haploid(g: HapGraph, budget: int, full_path: bool = False) -> Haploid:
             v, r = int(via[v, r]), r - int(spent[v, r])
         return path[::-1]
 
-    seen = [Counter(c for x in back(r) for c in g.colors[x]) for r in range(budget + 1)]
+    seen = [path_colours(g.colors[x] for x in back(r)) for r in range(budget + 1)]
     distinct = [len(c) for c in seen]
     best = elbow(distinct)
     path = list(dict.fromkeys(v for x in back(best) for v in g.orig[x]))
@@ -77,13 +82,17 @@ class Diploid:
     paths: tuple[list[int], list[int]]  # nodes, one a level
 
 
+CELLS = 1 << 22  # pairs of edges that are scored at a time
+
+
 class _Level:
-    """Edges out of one level as arrays, and the score of every pair of them."""
+    """Edges out of one level as arrays, and the scores of pairs of them."""
 
     def __init__(self, g: HapGraph, here: list[int], there: list[int], hom: list[bool], mode: str):
         at = {v: i for i, v in enumerate(there)}
         edges = [(i, at[v], w) for i, u in enumerate(here) for v, w in g.out[u]]
         self.src, self.dst, self.w = (np.array(c, np.int64) for c in zip(*edges, strict=True))
+        self.mode = mode
         code = {c: k for k, c in enumerate(sorted({c for x in (*here, *there) for c in g.colors[x]}))}
         words = max(1, -(-len(code) // 64))
 
@@ -95,52 +104,62 @@ class _Level:
                         out[i, code[c] // 64] |= np.uint64(1 << code[c] % 64)
             return out
 
-        h1, h2, t1, t2 = bits(here, True), bits(there, True), bits(here, False), bits(there, False)
+        self.h1, self.h2, self.t1, self.t2 = bits(here, True), bits(there, True), bits(here, False), bits(there, False)
+
+    def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One-copy part and whole score of edges ``a`` (rows) with edges ``b`` (columns)."""
         size = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-        if mode == "cross_path":
-            both, one = size(h2[:, None] & h2[None]), size(t2[:, None] ^ t2[None])
-            pick = np.ix_(self.dst, self.dst)
-            self.het, self.delta = one[pick], (both + one)[pick]
-            return
-        e = len(edges)
-        self.het, self.delta = np.zeros((e, e), np.int64), np.zeros((e, e), np.int64)
-        for k in range(e):  # one row of edge pairs at a time bounds memory
-            a, b = self.src[k], self.dst[k]
-            self.het[k] = size((t1[a] | t1[self.src]) ^ (t2[b] | t2[self.dst]))
-            self.delta[k] = self.het[k] + size((h1[a] | h1[self.src]) & (h2[b] | h2[self.dst]))
-
-
-def _step(lv: _Level, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        over = lambda x, at, op: op(x[at[a]][:, None], x[at[b]][None])
+        if self.mode == "cross_path":
+            het = size(over(self.t2, self.dst, np.bitwise_xor))
+            return het, het + size(over(self.h2, self.dst, np.bitwise_and))
+        het = size(over(self.t1, self.src, np.bitwise_or) ^ over(self.t2, self.dst, np.bitwise_or))
+        return het, het + size(over(self.h1, self.src, np.bitwise_or) & over(self.h2, self.dst, np.bitwise_or))
+
+
+def _step(lv: _Level, value: np.ndarray, width: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Next level's values and, for each cell, the edge pair it came by.
 
     Ties go to the smaller first predecessor, then the smaller second one, then
-    the earlier edges.
+    the earlier edges. Pairs are scored ``cells`` at a time.
     """
-    budget, k = value.shape[0] - 1, value.shape[1]
-    e = len(lv.src)
-    if k * k * e * e >= 1 << 42:
-        raise ValueError("a level is too wide for exact ties")
-    order = ((lv.src[:, None] * k + lv.src[None]) * e + np.arange(e)[:, None]) * e + np.arange(e)[None]
-    low = (1 << 42) - 1 - order
-    to = lv.dst[:, None] * width + lv.dst[None]
-    cost = lv.w[:, None] + lv.w[None]
-    best = np.full((budget + 1, width * width), np.iinfo(np.int64).min)
-    for r in range(budget + 1):
-        from_ = value[r][np.ix_(lv.src, lv.src)]
-        for c in np.unique(cost):
-            if r + c > budget:
-                continue
-            use = (cost == c) & (from_ > NEVER)
-            if use.any():
-                key = ((from_[use] + lv.delta[use]) << 42) | low[use]
-                np.maximum.at(best[r + c], to[use], key)
-    none = best == np.iinfo(np.int64).min
-    new = np.where(none, NEVER, best >> 42).reshape(budget + 1, width, width)
-    pair = ((1 << 42) - 1 - (best & ((1 << 42) - 1))) % (e * e)
-    return new, np.where(none, -1, pair).reshape(budget + 1, width, width)
-
-
-def diploid(g: HapGraph, budget: int, hom: list[bool], mode: str = "as_coded") -> Diploid:
+    budget, k, e = value.shape[0] - 1, value.shape[1], len(lv.src)
+    none, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    best = np.full((budget + 1, width * width), none)
+    tie = np.full((budget + 1, width * width, 2), last)  # predecessors, then edges
+    every = np.arange(e)
+    for low in range(0, e, max(1, cells // e)):
+        rows = every[low : low + max(1, cells // e)]
+        _, delta = lv.scores(rows, every)
+        to = lv.dst[rows][:, None] * width + lv.dst[None]
+        cost = lv.w[rows][:, None] + lv.w[None]
+        before = lv.src[rows][:, None] * k + lv.src[None]
+        pair = rows[:, None] * e + every[None]
+        for r in range(budget + 1):
+            from_ = value[r][np.ix_(lv.src[rows], lv.src)]
+            for c in np.unique(cost):
+                use = (cost == c) & (from_ > NEVER)
+                if r + c > budget or not use.any():
+                    continue
+                at, score = to[use], from_[use] + delta[use]
+                top, mark = best[r + c], tie[r + c]
+                old = top.copy()
+                np.maximum.at(top, at, score)
+                mark[top > old] = last
+                win = score == top[at]
+                at, first, second = at[win], before[use][win], pair[use][win]
+                order = np.lexsort((second, first, at))
+                at, first, second = at[order], first[order], second[order]
+                new = np.concatenate(([True], at[1:] != at[:-1]))[: len(at)]
+                at, first, second = at[new], first[new], second[new]
+                less = (first < mark[at, 0]) | ((first == mark[at, 0]) & (second < mark[at, 1]))
+                mark[at[less]] = np.stack([first, second], axis=1)[less]
+    gone = best == none
+    shape = (budget + 1, width, width)
+    return np.where(gone, NEVER, best).reshape(shape), np.where(gone, -1, tie[:, :, 1]).reshape(shape)
+
+
+def diploid(g: HapGraph, budget: int, hom: list[bool], mode: str = "as_coded", cells: int = CELLS) -> Diploid:
     """Best ordered pair of paths, both together within the budget of switches.
 
     ``as_coded`` scores a step by comparing the union of both paths' colours at
@@ -159,7 +178,7 @@ def diploid(g: HapGraph, budget: int, hom: list[bool], mode: str = "as_coded") -
     block = max(1, math.isqrt(top))
     kept = {0: value}
     for lv in range(top):
-        value, _ = _step(_Level(g, rows[lv], rows[lv + 1], hom, mode), value, len(rows[lv + 1]))
+        value, _ = _step(_Level(g, rows[lv], rows[lv + 1], hom, mode), value, len(rows[lv + 1]), cells)
         if (lv + 1) % block == 0:
             kept[lv + 1] = value
     ends = [int(x) for x in value[:, 0, 0]]
@@ -172,11 +191,11 @@ def diploid(g: HapGraph, budget: int, hom: list[bool], mode: str = "as_coded") -
         levels, state = [], kept[start]
         for lv in range(start, min(start + block, top)):
             lev = _Level(g, rows[lv], rows[lv + 1], hom, mode)
-            state, pair = _step(lev, state, len(rows[lv + 1]))
+            state, pair = _step(lev, state, len(rows[lv + 1]), cells)
             levels.append((lv, lev, pair))
         for lv, lev, pair in reversed(levels):
             a, b = divmod(int(pair[r, i, j]), len(lev.src))
-            s_het += int(lev.het[a, b])
+            s_het += int(lev.scores(np.array([a]), np.array([b]))[0][0, 0])
             r -= int(lev.w[a] + lev.w[b])
             i, j = int(lev.src[a]), int(lev.src[b])
             one.append(rows[lv][i])

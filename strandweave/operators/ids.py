@@ -19,9 +19,12 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 0) -> Dat
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = placed.withColumn("_at", F.monotonically_increasing_id())
     placed = cut(placed)
-    counts = placed.groupBy(F.call_function("shiftright", F.col("_at"), F.lit(33)).alias("p")).count().collect()
-    base, total = {}, start
+    part = F.call_function("shiftright", F.col("_at"), F.lit(33))
+    counts = placed.groupBy(part.alias("p")).count().collect()
+    base, total = [], start
     for r in sorted(counts):
-        base[r["p"]], total = total, total + r["count"]
-    first = F.element_at(F.create_map(*[F.lit(x) for p, b in base.items() for x in (p, b)]), F.call_function("shiftright", F.col("_at"), F.lit(33))) if base else F.lit(0)
-    return placed.withColumn(name, (first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
+        base.append((r["p"], total))
+        total += r["count"]
+    first = df.sparkSession.createDataFrame(base, "_p long, _first long")  # a row a partition: small enough to broadcast
+    out = placed.join(F.broadcast(first), part == F.col("_p")).withColumn(name, (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
+    return out.drop("_at", "_p", "_first")

@@ -7,12 +7,17 @@ shorter than ``w + k - 1`` have none. Letters are compared in upper case.
 Keys are either the k-mers themselves (``lex``: byte order) or their folded
 murmur hashes (``murmur``: unsigned order). There is no shuffle and no row for a
 base: a sequence goes in, its minimizers come out.
+
+A k-mer over ACGT of up to 31 letters is a number of 62 bits until it is written:
+``extract_sets`` and ``multiplicities`` group numbers (``packed``) and spell them
+once a distinct key, in whole columns. Other k-mers travel as text (``key``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,7 @@ for _a, _b in zip(b"ACGT", b"TGCA", strict=True):
     _COMP[_a] = _b
 _CODE = np.full(256, 255, np.uint8)
 _CODE[list(b"ACGT")] = np.arange(4)
+_BASES = np.frombuffer(b"ACGT", np.uint8)
 
 
 def _packed(seq: np.ndarray, k: int) -> np.ndarray:
@@ -78,31 +84,53 @@ def kmer_counts(seqs: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame
     return seqs.select(id_col, seq_col).mapInArrow(run, f"{id_col} {kind}, n_kmers long, n_canonical long")
 
 
-def unpack(key: int, k: int) -> str:
-    return "".join("ACGT"[(key >> 2 * (k - 1 - i)) & 3] for i in range(k))
+def spell(keys: np.ndarray, k: int) -> pa.Array:
+    """k-mers of packed keys as a string column."""
+    out = np.empty((len(keys), k), np.uint8)
+    for i in range(k):
+        out[:, i] = _BASES[(keys >> np.uint64(2 * (k - 1 - i))) & np.uint64(3)]
+    return pa.StringArray.from_buffers(len(keys), pa.py_buffer(np.arange(0, (len(keys) + 1) * k, k, dtype=np.int32).tobytes()), pa.py_buffer(out.tobytes()))
 
 
-def minimizers(text: bytes, k: int, w: int, hash_order: str = "lex") -> list[tuple[int, str | int]]:
-    """(position, key) of every minimizer: k-mer strings, or signed hash views."""
+def _least(keys: np.ndarray, w: int) -> np.ndarray:
+    """Smallest key of every window."""
+    size = 1
+    while 2 * size <= w:
+        keys, size = np.minimum(keys[:-size], keys[size:]), 2 * size
+    return np.minimum(keys[: len(keys) - (w - size)], keys[w - size :]) if size < w else keys
+
+
+def minimizers(text: bytes, k: int, w: int, hash_order: str = "lex", places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Position, key and, unless the key holds them, letters of every minimizer.
+
+    Without ``places`` positions are those of the windows.
+    """
     seq = _UP[np.frombuffer(text, np.uint8)]
     if len(seq) < w + k - 1:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.uint64), None
     keys, rows = order_keys(seq, k, hash_order)
-    views = np.lib.stride_tricks.sliding_window_view(keys, w)
-    at = np.concatenate([np.arange(a, min(a + 65536, len(views))) + w - 1 - views[a : a + 65536, ::-1].argmin(axis=1) for a in range(0, len(views), 65536)])
-    picked = keys[at]
-    at = at[np.concatenate(([True], picked[1:] != picked[:-1]))]
-    if hash_order == "murmur":
-        return list(zip(at.tolist(), keys[at].view(np.int64).tolist(), strict=True))
-    if rows is None:
-        return [(p, unpack(x, k)) for p, x in zip(at.tolist(), keys[at].tolist(), strict=True)]
-    return [(p, rows[p].tobytes().decode("latin-1")) for p in at.tolist()]
+    low = _least(keys, w)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    if not places and rows is None:
+        return first, low[first], None
+    at = first + w - 1 - np.lib.stride_tricks.sliding_window_view(keys, w)[first, ::-1].argmin(axis=1)
+    return at, keys[at], None if rows is None or hash_order == "murmur" else rows[at]
+
+
+def listed(text: bytes, k: int, w: int, hash_order: str = "lex") -> list[tuple[int, str | int]]:
+    """(position, key) of every minimizer: k-mer strings, or signed hash views."""
+    at, keys, rows = minimizers(text, k, w, hash_order)
+    own = keys.view(np.int64).tolist() if hash_order == "murmur" else spell(keys, k).to_pylist() if rows is None else _texts(rows)
+    return list(zip(at.tolist(), own, strict=True))
+
+
+def _texts(rows: np.ndarray) -> list[str]:
+    return [r.tobytes().decode("latin-1") for r in rows]
 
 
 def extract(seqs: DataFrame, id_col: str, seq_col: str, k: int, w: int, hash_order: str = "lex") -> DataFrame:
     """(id, pos, key): minimizers of every sequence, in order; null sequences have none."""
     kind = seqs.schema[id_col].dataType.simpleString()
-    key_type = pa.int64() if hash_order == "murmur" else pa.string()
 
     def run(batches):
         for batch in batches:
@@ -110,37 +138,69 @@ def extract(seqs: DataFrame, id_col: str, seq_col: str, k: int, w: int, hash_ord
                 part = batch.slice(start, 256)
                 of, pos, key = [], [], []
                 for i, s in enumerate(part.column(1).to_pylist()):
-                    for p, x in minimizers((s or "").encode(), k, w, hash_order):
-                        of.append(i)
-                        pos.append(p)
-                        key.append(x)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), pa.array(pos, pa.int64()), pa.array(key, key_type)], [id_col, "pos", "key"])
+                    at, keys, rows = minimizers((s or "").encode(), k, w, hash_order)
+                    of.append(np.full(len(at), i, np.int32))
+                    pos.append(at)
+                    key.append(pa.array(keys.view(np.int64)) if hash_order == "murmur" else spell(keys, k) if rows is None else pa.array(_texts(rows), pa.string()))
+                if of:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(pos), pa.int64()), pa.concat_arrays(key)], [id_col, "pos", "key"])
 
     return seqs.select(id_col, seq_col).mapInArrow(run, f"{id_col} {kind}, pos long, key {'long' if hash_order == 'murmur' else 'string'}")
 
 
 def extract_sets(reads: DataFrame, id_col: str, seq_col: str, k: int, w: int, hash_order: str = "lex") -> DataFrame:
-    """(id, key): the distinct keys of every row; a read is whole in its row, so nothing is shuffled."""
+    """(id, packed, key): the distinct keys of every row; a read is whole in its row, so nothing is shuffled.
+
+    One of ``packed`` (a number) and ``key`` (text) is null; murmur keys are numbers.
+    """
     kind = reads.schema[id_col].dataType.simpleString()
-    key_type = pa.int64() if hash_order == "murmur" else pa.string()
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                of, key = [], []
+                of, packed, odd_of, odd = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [], []
                 for i, s in enumerate(part.column(1).to_pylist()):
-                    own = {x for _, x in minimizers((s or "").encode(), k, w, hash_order)}
-                    of.extend([i] * len(own))
-                    key.extend(own)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), pa.array(key, key_type)], [id_col, "key"])
+                    _, keys, rows = minimizers((s or "").encode(), k, w, hash_order, places=False)
+                    if rows is None:
+                        packed.append(np.unique(keys))
+                        of.append(np.full(len(packed[-1]), i, np.int32))
+                    else:
+                        own = sorted(set(_texts(rows)))
+                        odd += own
+                        odd_of += [i] * len(own)
+                n = sum(map(len, of))
+                at = np.concatenate([*of, np.array(odd_of, np.int32)])
+                numbers = pa.concat_arrays([pa.array(np.concatenate(packed).view(np.int64)), pa.nulls(len(odd), pa.int64())])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), numbers, pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(odd, pa.string())])], [id_col, "packed", "key"])
+
+    return reads.select(id_col, seq_col).mapInArrow(run, f"{id_col} {kind}, packed long, key string")
+
+
+def spelled(rows: DataFrame, k: int, hash_order: str = "lex") -> DataFrame:
+    """``rows`` with the key in place of ``packed`` and ``key``: text, or the hash itself."""
+    rest = [c for c in rows.columns if c not in ("packed", "key")]
+    if hash_order == "murmur":
+        return rows.select(F.col("packed").alias("key"), *rest)
+
+    def run(batches):
+        for batch in batches:
+            packed, key = batch.column(0), batch.column(1)
+            known = packed.is_valid()
+            text = spell(packed.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), k)
+            yield pa.RecordBatch.from_arrays([pc.if_else(known, text, key), *batch.columns[2:]], ["key", *rest])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select("packed", "key", *rest).mapInArrow(run, ", ".join(["key string", *(f"{c} {kinds[c]}" for c in rest)]))
 
-    return reads.select(id_col, seq_col).mapInArrow(run, f"{id_col} {kind}, key {'long' if hash_order == 'murmur' else 'string'}")
 
+def multiplicities(sets: DataFrame, k: int | None = None, hash_order: str = "lex") -> DataFrame:
+    """(key, multiplicity) of key sets: the number of reads that hold the key.
 
-def multiplicities(sets: DataFrame) -> DataFrame:
-    """(key, multiplicity) of (id, key) sets: the number of reads that hold the key."""
-    return sets.groupBy("key").agg(F.count("*").alias("multiplicity"))
+    With ``k`` the keys are spelled, without it they stay (packed, key).
+    """
+    out = sets.groupBy("packed", "key").agg(F.count("*").alias("multiplicity"))
+    return out if k is None else spelled(out, k, hash_order)
 
 
 def histogram(spectrum: DataFrame) -> DataFrame:

@@ -28,37 +28,45 @@ def consecutive(steps: DataFrame) -> DataFrame:
 
 
 def relaxed(col: dict[int, int], out: dict[int, list[int]], sweeps: int) -> dict[int, int]:
-    """Columns raised until every edge climbs: one pass in topological order, sweeps on what cycles."""
+    """Columns raised until every edge climbs, by rounds in which all raised vertices push at once.
+
+    Without a cycle, and with rounds enough, that ends where one pass in topological
+    order does; otherwise the rounds themselves are counted.
+    """
     left = dict.fromkeys(col, 0)
     for row in out.values():
         for v in row:
             left[v] += 1
-    queue = deque(u for u, n in left.items() if not n)
-    done = 0
-    while queue:
+    queue, done, top = deque(u for u, n in left.items() if not n), 0, dict(col)
+    while queue and sweeps >= len(col):
         u = queue.popleft()
         done += 1
         for v in out.get(u, ()):
-            col[v] = max(col[v], col[u] + 1)
+            top[v] = max(top[v], top[u] + 1)
             left[v] -= 1
             if not left[v]:
                 queue.append(v)
-    for _ in range(sweeps if done < len(col) else 0):
-        moved = False
-        for u, row in out.items():
-            for v in row:
-                if col[v] <= col[u]:
-                    col[v], moved = col[u] + 1, True
-        if not moved:
+    if done == len(col):
+        return top
+    front = col
+    for _ in range(sweeps):
+        pushed: dict[int, int] = {}
+        for u, c in front.items():
+            for v in out.get(u, ()):
+                if c + 1 > pushed.get(v, col[v]):
+                    pushed[v] = c + 1
+        if not pushed:
             break
+        col, front = {**col, **pushed}, pushed
     return col
 
 
 def relax(columns: DataFrame, pairs: DataFrame, sweeps: int | None = None) -> DataFrame:
-    """Raise columns until col(v) > col(u) for every pair; a sweep cap ends cycles.
+    """Raise columns until col(v) > col(u) for every pair; a cap on rounds ends cycles.
 
-    A graph of up to ``KERNEL`` vertices is one unit of work; a larger one is
-    relaxed by rounds of joins.
+    In a round every vertex raised by the one before pushes its successors. A graph
+    of up to ``KERNEL`` vertices is one unit of work; a larger one is relaxed by joins,
+    with the same rounds and the same result.
     """
     total = columns.count()
     if total > KERNEL:

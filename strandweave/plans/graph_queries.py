@@ -266,7 +266,7 @@ def _slices(haps):
 def _anchors(spark, sf_dir):
     steps, segs, haps = _haplotypes(spark, sf_dir)
     found = _hap_minimizers(haps)
-    spectrum = mz.multiplicities(mz.extract_sets(_slices(haps), "read_id", "seq", HK, HW))
+    spectrum = mz.multiplicities(mz.extract_sets(_slices(haps), "read_id", "seq", HK, HW), HK)
     ranks = segs.select("seg_id", F.col("seg_id").alias("rank"))
     placed = anc.with_vertices(anc.match(found, spectrum), anc.offsets(steps, segs), ranks, HK)
     return found, placed, anc.drop_ubiquitous(placed, steps.select("walk_id").distinct().count(), 0.5)

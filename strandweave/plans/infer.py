@@ -36,7 +36,7 @@ class Pangenome:
     def anchors(self, reads: DataFrame, cfg: EngineConfig) -> tuple[DataFrame, DataFrame]:
         """(anchors with labels, labelled spectrum); reads have (read_id, seq)."""
         found = minimizers.extract(self.haplotypes, "walk_id", "seq", cfg.k, cfg.w, cfg.hash_order)
-        spectrum = minimizers.multiplicities(minimizers.extract_sets(reads, "read_id", "seq", cfg.k, cfg.w, cfg.hash_order))
+        spectrum = minimizers.multiplicities(minimizers.extract_sets(reads, "read_id", "seq", cfg.k, cfg.w, cfg.hash_order), cfg.k, cfg.hash_order)
         spectrum = anc.minimizer_ids(spectrum) if cfg.hash_order == "lex" else dense_ids(spectrum, ["key"], "mid")
         spectrum = spectrum.select("key", "multiplicity", "mid")
         hits = anc.match(found, spectrum.select("key", "multiplicity"))

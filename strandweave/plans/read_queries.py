@@ -57,13 +57,13 @@ def minimizers_docs(spark, sf_dir):
 
 @book.query(_MINIMIZERS + " SELECT key, multiplicity FROM spectrum")
 def read_spectrum(spark, sf_dir):
-    return mz.multiplicities(_sets(spark, sf_dir))
+    return mz.multiplicities(_sets(spark, sf_dir), K)
 
 
 @book.query(_MINIMIZERS + " SELECT key, row_number() OVER (ORDER BY key) - 1 AS mid FROM spectrum")
 def spectrum_ids(spark, sf_dir):
     """Dense ids in key order without a single-task window."""
-    return dense_ids(mz.multiplicities(_sets(spark, sf_dir)).select("key"), ["key"], "mid")
+    return dense_ids(mz.multiplicities(_sets(spark, sf_dir), K).select("key"), ["key"], "mid")
 
 
 @book.query(_MINIMIZERS + " SELECT multiplicity, count(*) AS freq FROM spectrum GROUP BY multiplicity")
@@ -81,7 +81,7 @@ def murmur_spectrum(spark, sf_dir):
     """Spectrum with the folded 64-bit hash and its unsigned rank; no SQL has the hash."""
     from ..operators.anchors import minimizer_ids
 
-    return minimizer_ids(mz.multiplicities(_sets(spark, sf_dir)))
+    return minimizer_ids(mz.multiplicities(_sets(spark, sf_dir), K))
 
 
 @book.query(
