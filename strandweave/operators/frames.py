@@ -67,6 +67,42 @@ def colour_ids(anchors: DataFrame) -> DataFrame:
     return dense_ids(anchors.select("key").distinct(), ["key"], "color")
 
 
+def colours_on_path(occurrences: DataFrame, path: str, color: str) -> DataFrame:
+    """(path, colors, ratio): distinct colours of each path and how often one occurs on average."""
+    per = occurrences.groupBy(path, color).agg(F.count("*").alias("n"))
+    return per.groupBy(path).agg(F.count("*").alias("colors"), F.avg("n").alias("ratio"))
+
+
+def elbows(curves: DataFrame, degrees: float = dp.ELBOW_DEGREES) -> DataFrame:
+    """(grp, best) of curves (grp, r, distinct): first budget whose gain falls under the angle, else 0."""
+    w = Window.partitionBy("grp").orderBy("r")
+    d = curves.select("grp", "r", (F.lead("distinct").over(w) - F.col("distinct")).alias("gain"))
+    top = d.groupBy("grp").agg(F.max(F.abs("gain")).alias("top"))
+    small = (F.col("top") > 0) & (F.degrees(F.atan(F.col("gain") / F.col("top"))) < degrees)
+    return d.join(top, "grp").groupBy("grp").agg(F.coalesce(F.min(F.when(small, F.col("r"))), F.lit(0)).cast("long").alias("best"))
+
+
+def certificates(counts: DataFrame) -> DataFrame:
+    """(grp, objective, m_hom, m_het) of pairs of paths, from (grp, color, hom, k1, k2).
+
+    ``k1`` and ``k2`` are a colour's occurrences on the two paths; parts that would
+    divide by zero are null.
+    """
+    shared = F.col("hom") & (F.col("k1") > 0) & (F.col("k2") > 0)
+    single = ~F.col("hom") & ((F.col("k1") > 0) != (F.col("k2") > 0))
+    n = lambda x: F.count(F.when(x, 1))
+    return counts.groupBy("grp").agg(
+        (n(shared) + n(single)).alias("objective"),
+        F.avg(F.when(shared, F.greatest("k1", "k2"))).alias("m_hom"),
+        F.avg(F.when(single, F.col("k1") + F.col("k2"))).alias("m_het"),
+    )
+
+
+def weighted_edges(edges: DataFrame, by: str) -> DataFrame:
+    """(by, n): edges that cost a switch."""
+    return edges.groupBy(by).agg(F.count(F.when(F.col("w") > 0, 1)).alias("n"))
+
+
 def dummies(levels: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v, level): one dummy for each level an edge skips."""
     a = levels.select(F.col("seg_id").alias("u"), F.col("col").alias("lu"))
@@ -99,7 +135,7 @@ def pair_scores(edges: DataFrame, colors: DataFrame, hom: DataFrame) -> DataFram
     )
 
 
-def solve(nodes: DataFrame, edges: DataFrame, budget: int, mode: str = "as_coded") -> DataFrame:
+def solve(nodes: DataFrame, edges: DataFrame, budget: int, mode: str = "as_coded", full_path: bool = True) -> DataFrame:
     """(grp, r, haploid, diploid): best scores of levelled graphs, one task for each ``grp``.
 
     ``nodes`` are (grp, x, level, cs, homs) and ``edges`` (grp, u, v, w), every
@@ -119,7 +155,7 @@ def solve(nodes: DataFrame, edges: DataFrame, budget: int, mode: str = "as_coded
         for r in sorted((r for r in rows if r["v"] is not None), key=lambda r: (r["x"], r["v"])):
             g.out[at[r["x"]]].append((at[r["v"]], r["w"]))
         g.source, g.sink = 0, len(own) - 1
-        one = dp.haploid(g, budget, full_path=True).value
+        one = dp.haploid(g, budget, full_path).value
         two = dp.diploid(g, budget, [hom.get(c, False) for c in range(max(hom, default=-1) + 1)], mode).value
         clean = lambda v: None if v < 0 else v
         n = budget + 1

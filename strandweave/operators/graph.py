@@ -171,3 +171,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     """(v, n_in, n_out)."""
     both = edges.select(F.col("u").alias("v"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("v", F.lit(1), F.lit(0)))
     return both.groupBy("v").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def presence(vertices: DataFrame, steps: DataFrame) -> DataFrame:
+    """(seg_id, on_walk): whether any walk visits the segment."""
+    seen = steps.select("seg_id").distinct().withColumn("_on", F.lit(True))
+    return vertices.select("seg_id").join(seen, "seg_id", "left").select("seg_id", F.coalesce("_on", F.lit(False)).alias("on_walk"))
+
+
+def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seg_id) of vertices without any edge."""
+    ends = edges.select(F.col("u").alias("seg_id")).union(edges.select("v"))
+    return vertices.select("seg_id").join(ends, "seg_id", "left_anti")

@@ -171,6 +171,20 @@ def degrees(spark, sf_dir):
     return graph.degrees(_edges(_walks(spark, sf_dir)[0]))
 
 
+@book.query(f"WITH {ad.STEPS_SQL} SELECT seg_id, seg_id IN (SELECT seg_id FROM steps WHERE pos < 3) AS on_walk FROM segs")
+def presence_flags(spark, sf_dir):
+    """Segments that walks visit in their first three steps."""
+    steps, segs = _walks(spark, sf_dir)
+    return graph.presence(segs, steps.filter("pos < 3"))
+
+
+@book.query(f"WITH {ad.STEPS_SQL}, e AS (SELECT * FROM edges WHERE u % 3 = 0) SELECT seg_id FROM segs WHERE seg_id NOT IN (SELECT u FROM e UNION SELECT v FROM e)")
+def isolated_vertices(spark, sf_dir):
+    """Segments that no edge touches once two thirds of the edges are gone."""
+    steps, segs = _walks(spark, sf_dir)
+    return graph.isolated(segs, _edges(steps).filter("u % 3 = 0"))
+
+
 _SEED = "seed AS (SELECT s.seg_id, CAST(coalesce(min(pos), (SELECT max(pos) + 1 FROM steps)) AS BIGINT) AS col FROM segs s LEFT JOIN steps USING (seg_id) GROUP BY 1)"
 _RELAX = f"""{_SEED}, push(seg_id, col) AS (SELECT seg_id, col FROM seed UNION SELECT e.v, p.col + 1 FROM push p JOIN edges e ON p.seg_id = e.u),
     relaxed AS (SELECT seg_id, max(col) AS col FROM push GROUP BY 1),
@@ -362,5 +376,4 @@ def colour_ids(spark, sf_dir):
 
 @book.query(f"WITH {ad.STEPS_SQL}, {_ANCHORS} SELECT walk_id, count(DISTINCT key) AS colors, avg(n) AS ratio FROM (SELECT walk_id, key, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1")
 def colours_on_path(spark, sf_dir):
-    kept = _anchors(spark, sf_dir)[2]
-    return kept.groupBy("walk_id", "key").agg(F.count("*").alias("n")).groupBy("walk_id").agg(F.count("*").alias("colors"), F.avg("n").alias("ratio"))
+    return frames.colours_on_path(_anchors(spark, sf_dir)[2], "walk_id", "key")

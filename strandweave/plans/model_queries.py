@@ -210,22 +210,37 @@ def diploid_dp(spark, sf_dir):
     return _solved(spark, sf_dir).select("r", F.col("diploid").alias("score"))
 
 
+_HAPLOID_ANY_SQL = f"""WITH RECURSIVE {_GRAPH_SQL}, dp(level, x, r, score) AS (SELECT level, CAST(x AS BIGINT), unnest(range(0, {BUDGET + 1})), CAST(0 AS BIGINT) FROM nodes
+    UNION ALL SELECT d.level + 1, CAST(e.v AS BIGINT), d.r + e.w, CAST(max(d.score + len(n.cs)) AS BIGINT) FROM dp d JOIN edges e ON d.x = e.u JOIN nodes n ON n.x = e.v WHERE d.r + e.w <= {BUDGET} GROUP BY 1, 2, 3)
+    SELECT CAST(r AS INTEGER) AS r, max(score) AS score FROM dp, top WHERE dp.level = sink GROUP BY 1"""
+
+
+@book.query(_HAPLOID_ANY_SQL)
+def haploid_dp_any_start(spark, sf_dir):
+    """The default: a path may start at any node, with a score of 0."""
+    nodes, edges = _graph(spark, sf_dir)
+    homs = F.array(*[F.lit(c) for c in range(0, COLORS, 2)])
+    return frames.solve(nodes.withColumn("homs", homs), edges.drop("level"), BUDGET, full_path=False).select("r", F.col("haploid").alias("score"))
+
+
+@book.query(f"WITH {_GRAPH_SQL} SELECT level, count(*) FILTER (WHERE w > 0) AS n FROM edges GROUP BY 1")
+def weighted_edges(spark, sf_dir):
+    return frames.weighted_edges(_graph(spark, sf_dir)[1], "level")
+
+
 @book.query(
     """WITH c AS (SELECT user_id, day, count(*) AS n FROM (SELECT user_id, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS day FROM events) GROUP BY 1, 2),
-    d AS (SELECT user_id, day, lead(n) OVER (PARTITION BY user_id ORDER BY day) - n AS gain FROM c),
+    d AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS r, lead(n) OVER (PARTITION BY user_id ORDER BY day) - n AS gain FROM c),
     m AS (SELECT user_id, max(abs(gain)) AS top FROM d GROUP BY 1)
-    SELECT user_id, coalesce(min(CASE WHEN gain IS NOT NULL AND top > 0 AND degrees(atan(CAST(gain AS DOUBLE) / top)) < 5 THEN day END), 0) AS best FROM d JOIN m USING (user_id) GROUP BY 1"""
+    SELECT user_id AS grp, coalesce(min(CASE WHEN gain IS NOT NULL AND top > 0 AND degrees(atan(CAST(gain AS DOUBLE) / top)) < 5 THEN r END), 0) AS best FROM d JOIN m USING (user_id) GROUP BY 1"""
 )
 def elbow_r(spark, sf_dir):
     """The elbow rule over each user's daily counts."""
     from pyspark.sql import Window
 
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    c = ad.table(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy("day")
-    d = c.withColumn("gain", F.lead("n").over(w) - F.col("n")).withColumn("top", F.max(F.abs("gain")).over(Window.partitionBy("user_id")))
-    small = (F.col("top") > 0) & (F.degrees(F.atan(F.col("gain") / F.col("top"))) < 5)
-    return d.groupBy("user_id").agg(F.coalesce(F.min(F.when(small, F.col("day"))), F.lit(0)).alias("best"))
+    c = ad.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("grp"), day.alias("day")).agg(F.count("*").alias("distinct"))
+    return frames.elbows(c.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("day")) - 1))
 
 
 @book.query(
@@ -239,15 +254,10 @@ def certificate(spark, sf_dir):
     """Certificate parts of pairs of coloured paths, one pair for each customer."""
     o = ad.table(spark, sf_dir, "orders")
     k = lambda p: F.sum(F.when(F.col("o_orderkey") % 2 == p, 1).otherwise(0))
-    c = o.groupBy(F.col("o_custkey").alias("grp"), (F.col("o_orderkey") % 9).alias("color")).agg(k(0).alias("k1"), k(1).alias("k2"))
-    shared = (F.col("color") % 2 == 0) & (F.col("k1") > 0) & (F.col("k2") > 0)
-    single = (F.col("color") % 2 == 1) & ((F.col("k1") == 0) | (F.col("k2") == 0))
-    n = lambda x: F.count(F.when(x, 1))
-    return c.groupBy("grp").agg(
-        (n(shared) + n(single)).alias("objective"),
-        F.round(F.avg(F.when(shared, F.greatest("k1", "k2"))), 6).alias("m_hom"),
-        F.round(F.avg(F.when(single, F.col("k1") + F.col("k2"))), 6).alias("m_het"),
-    )
+    color = F.col("o_orderkey") % 9
+    c = o.groupBy(F.col("o_custkey").alias("grp"), color.alias("color")).agg(k(0).alias("k1"), k(1).alias("k2"))
+    out = frames.certificates(c.withColumn("hom", F.col("color") % 2 == 0))
+    return out.select("grp", "objective", F.round("m_hom", 6).alias("m_hom"), F.round("m_het", 6).alias("m_het"))
 
 
 _VARIANTS = """v AS (SELECT p_brand AS chrom, p_partkey AS pos, repeat('A', p_size) AS ref, [repeat('C', p_size + CAST(p_partkey % 120 AS INTEGER)), 'G'] AS alts FROM part)"""

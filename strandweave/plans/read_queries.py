@@ -124,25 +124,46 @@ _GFA_LINES = """SELECT o_orderkey AS line, CASE o_orderkey % 4
         ELSE concat_ws(chr(9), 'P', 'ignored') END AS value FROM orders"""
 
 
-@book.query(
-    f"""WITH l AS ({_GFA_LINES}) SELECT line, left(value, 1) AS kind,
-        CASE WHEN left(value, 1) = 'L' AND line % 3 = 0 THEN 'reject' WHEN left(value, 1) = 'S' THEN 'len ' || regexp_extract(value, 'LN:i:([0-9]+)', 1)
-        WHEN left(value, 1) = 'L' THEN 'ov 4 4' ELSE 'steps ' || replace(replace(split_part(value, chr(9), 7), '>', '+'), '<', '-') END AS found
-    FROM l WHERE left(value, 1) IN ('S', 'L', 'W')"""
-)
-def gfa_records(spark, sf_dir):
-    """S, L, W and rejected lines of generated GFA text."""
+def _gfa_lines(spark, sf_dir):
     o = ad.table(spark, sf_dir, "orders").withColumn("c", F.col("o_custkey").cast("string"))
     kind = F.col("o_orderkey") % 4
     tab = F.lit("\t")
-    lines = o.select(
+    return o.select(
         F.col("o_orderkey").alias("line"),
         F.when(kind == 0, F.concat(F.lit("S\t"), "c", F.lit("\t*\tLN:i:"), F.col("o_custkey") % 50, F.lit("\tSN:Z:"), "o_orderpriority", F.lit("\tSO:i:"), F.col("o_custkey") * 10, F.lit("\tSR:i:0")))
         .when(kind == 1, F.concat(F.lit("L\t"), "c", F.lit("\t+\t"), F.col("o_custkey") + 1, tab, F.when(F.col("o_orderkey") % 3 == 0, "?").otherwise("-"), F.lit("\t4M")))
         .when(kind == 2, F.concat(F.lit("W\t"), "o_orderstatus", F.lit("\t1\tc\t0\t9\t>"), "c", F.lit("<"), F.col("o_custkey") + 1))
         .otherwise(F.lit("P\tignored")).alias("value"),
     )
-    t = gfa.parse(lines)
+
+
+@book.query(f"WITH l AS ({_GFA_LINES}) SELECT line, value FROM l WHERE left(value, 1) = 'S' OR (left(value, 1) = 'L' AND line % 3 <> 0)")
+def gfa_written(spark, sf_dir):
+    """S and L lines parsed and written again."""
+    t = gfa.parse(_gfa_lines(spark, sf_dir))
+    return gfa.gfa_text(t.segments, t.links).select(F.col("at").alias("line"), "value")
+
+
+@book.query(f"WITH {ad.READS_SQL} SELECT CAST(read_id AS VARCHAR) AS name, length(seq) AS len, md5(seq) AS seq_md5 FROM reads WHERE length(seq) > 0")
+def fasta_round_trip(spark, sf_dir):
+    """Reads written as FASTA and read again by record, so that files split."""
+    from ..operators.lineage import scratch
+
+    path = scratch(spark, "reads") + ".fa"
+    r = ad.reads(spark, sf_dir).filter(F.length("seq") > 0).select(F.col("read_id").cast("string").alias("name"), "seq")
+    fasta.write_fasta(r, path)
+    return fasta.read_fasta(spark, path).select("name", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("seq_md5"))
+
+
+@book.query(
+    f"""WITH l AS ({_GFA_LINES}) SELECT line, left(value, 1) AS kind,
+        CASE WHEN left(value, 1) = 'L' AND line % 3 = 0 THEN 'reject' WHEN left(value, 1) = 'S' THEN 'len ' || regexp_extract(value, 'LN:i:([0-9]+)', 1)
+        WHEN left(value, 1) = 'L' THEN 'ov 4 4' ELSE 'steps ' || replace(replace(split_part(value, chr(9), 7), '>', '+'), '<', '-') END AS found
+    FROM l WHERE left(value, 1) IN ('S', 'L', 'W')"""
+)
+def gfa_records(spark, sf_dir):
+    """S, L, W and rejected lines of generated GFA text."""
+    t = gfa.parse(_gfa_lines(spark, sf_dir))
     steps = F.array_join(F.transform("steps", lambda x: F.concat(F.when(x["rev"], "-").otherwise("+"), x["name"])), "")
     return (
         t.segments.select("line", F.lit("S").alias("kind"), F.concat(F.lit("len "), "len").alias("found"))

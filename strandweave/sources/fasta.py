@@ -2,13 +2,15 @@
 
 A name ends at the first white space, the comment is dropped, sequence lines are
 joined. A FASTQ record whose quality is not as long as its sequence stops the
-scan of its file. Records of one file span lines, so a file is one unit of work;
-many files are read in parallel. Compression follows the extension (.gz).
+scan of its file. ``read_fasta`` reads plain FASTA by record, so that a file of any size
+is split; FASTQ and mixed files are one unit of work each (``read_records``), and many
+of them are read in parallel. Compression follows the extension (.gz).
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,8 +63,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, rec long, name string, seq string")
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, name, seq) of FASTA files; ids grow with the place in a file."""
+    rows = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", "^>", ""))
+    first = F.regexp_extract("value", r"^([^\r\n]*)", 1)
+    seq = F.regexp_replace(F.expr("substring(value, length(regexp_extract(value, '^([^\\\\r\\\\n]*)', 1)) + 1)"), r"\s", "")
+    return rows.select(F.monotonically_increasing_id().alias("read_id"), F.regexp_extract(first, r"^(\S*)", 1).alias("name"), seq.alias("seq"))
+
+
 def reads(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, name, seq) of one file."""
+    """(read_id, name, seq) of one file; FASTA by its extension is read in splits."""
+    if re.search(r"\.(fa|fasta|fna)(\.gz)?$", path):
+        return read_fasta(spark, path)
     return read_records(spark, path).select(F.col("rec").alias("read_id"), "name", "seq")
 
 

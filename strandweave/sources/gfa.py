@@ -147,6 +147,12 @@ def gfa_text(segments: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, at, value): S and L lines, ready to sort and write."""
     s = segments.select(F.lit(0).alias("kind"), F.col("line").alias("at"), F.concat_ws("\t", F.lit("S"), "name", F.coalesce("seq", F.lit("*")), F.concat(F.lit("LN:i:"), F.col("len")), F.concat(F.lit("SN:Z:"), F.col("sn")), F.concat(F.lit("SO:i:"), F.col("so")), F.concat(F.lit("SR:i:"), F.col("sr"))).alias("value"))
     strand = lambda c: F.when(F.col(c), "-").otherwise("+")
-    ov = F.when(F.col("ov") == F.col("ow"), F.concat("ov", F.lit("M"))).otherwise(F.concat_ws(":", F.when(F.col("ov") != MISSING, F.col("ov")).otherwise("").cast("string"), F.col("ow").cast("string")))
+    ov = F.when(F.col("ov") == F.col("ow"), F.concat("ov", F.lit("M"))).otherwise(F.concat_ws(":", F.when(F.col("ov") != MISSING, F.col("ov").cast("string")).otherwise(""), F.col("ow").cast("string")))
     x = links.select(F.lit(1).alias("kind"), F.col("line").alias("at"), F.concat_ws("\t", F.lit("L"), "from_name", strand("from_rev"), "to_name", strand("to_rev"), ov, F.concat(F.lit("SR:i:"), F.col("rank")), F.concat(F.lit("L1:i:"), F.col("l1")), F.concat(F.lit("L2:i:"), F.col("l2"))).alias("value"))
     return s.union(x)
+
+
+def write_gfa(segments: DataFrame, links: DataFrame, path: str) -> None:
+    """Write S and L lines as text, segments first, in file order."""
+    lines = gfa_text(segments, links)
+    lines.repartitionByRange("kind", "at").sortWithinPartitions("kind", "at").select("value").write.mode("overwrite").text(path)

@@ -6,6 +6,7 @@ allele column becomes a walk ``sample.hap``. Overlapping variants are refused.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,24 @@ def split_alts(vcf: DataFrame) -> DataFrame:
     return vcf.select("*", F.posexplode("alts").alias("alt_no", "alt")).drop("alts")
 
 
+def slices(cuts: DataFrame, reference: DataFrame) -> DataFrame:
+    """(chrom, no, prev, seq): the reference from ``prev`` up to ``pos``, or to its end if pos is null.
+
+    A chromosome's sequence goes once to the task that cuts it, never into rows of variants.
+    """
+
+    def run(part: pa.Table, whole: pa.Table) -> pa.Table:
+        texts = whole.column("seq").to_pylist()
+        rows = zip(part.column("prev").to_pylist(), part.column("pos").to_pylist(), strict=True)
+        seq = [texts[0][prev - 1 : None if pos is None else pos - 1] if texts else None for prev, pos in rows]
+        keep = part.select(["chrom", "no", "prev"]).append_column("seq", pa.array(seq, pa.string()))
+        return keep.filter(keep.column("seq").is_valid())
+
+    whole = reference.select(F.col("name").alias("chrom"), "seq")
+    cuts = cuts.select("chrom", F.col("no").cast("int").alias("no"), F.col("prev").cast("long").alias("prev"), F.col("pos").cast("long").alias("pos"))
+    return cuts.groupBy("chrom").cogroup(whole.groupBy("chrom")).applyInArrow(run, "chrom string, no int, prev long, seq string")
+
+
 def build_graph(vcf: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(segments, links, walks) with names; ``reference`` has (name, seq).
 
@@ -36,19 +55,11 @@ def build_graph(vcf: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFr
     """
     w = Window.partitionBy("chrom").orderBy("pos")
     v = vcf.withColumn("end", F.col("pos") + F.length("ref")).withColumn("prev", F.coalesce(F.lag("end").over(w), F.lit(1).cast("long"))).withColumn("no", F.row_number().over(w))
-    ref = reference.select(F.col("name").alias("chrom"), F.col("seq").alias("whole"))
-    v = v.join(ref, "chrom")
-    site = v.select(
-        "chrom", "pos", "no", "prev", "end", "samples", "genotypes",
-        F.expr("substring(whole, cast(prev as int), cast(pos - prev as int))").alias("before"),
-        F.concat(F.array("ref"), "alts").alias("alleles"),
-    )
-    checked = site.withColumn("before", F.when(F.col("pos") < F.col("prev"), F.raise_error(F.lit("variants overlap"))).otherwise(F.col("before")))
-    last = v.groupBy("chrom").agg(F.max("end").alias("end"), F.max("no").alias("no"), F.first("whole").alias("whole"), F.first("samples").alias("samples"))
-    tail = last.select("chrom", F.expr("substring(whole, cast(end as int), length(whole))").alias("seq"), "end", "no", "samples")
-    backbone = checked.select("chrom", (F.col("no") * 2).alias("col"), F.concat_ws(":", "chrom", "prev").alias("name"), F.col("before").alias("seq")).union(
-        tail.select("chrom", (F.col("no") * 2 + 2).alias("col"), F.concat_ws(":", "chrom", "end"), "seq")
-    )
+    good = F.when(F.col("pos") < F.col("prev"), F.raise_error(F.lit("variants overlap"))).otherwise(F.col("pos"))
+    checked = v.select("chrom", good.alias("pos"), "no", "prev", "samples", "genotypes", F.concat(F.array("ref"), "alts").alias("alleles"))
+    tail = v.groupBy("chrom").agg((F.max("no") + 1).alias("no"), F.max("end").alias("prev"))
+    backbone = slices(checked.select("chrom", "no", "prev", "pos").union(tail.select("chrom", "no", "prev", F.lit(None).cast("long"))), reference)
+    backbone = backbone.select("chrom", (F.col("no") * 2).alias("col"), F.concat_ws(":", "chrom", "prev").alias("name"), "seq")
     name = lambda allele: F.concat_ws(":", F.col("chrom"), F.col("pos").cast("string"), F.when(allele > 0, allele).cast("string"))
     allele = checked.select("chrom", (F.col("no") * 2 + 1).alias("col"), "pos", F.posexplode("alleles").alias("a", "seq")).select("chrom", "col", name(F.col("a")).alias("name"), "seq")
     segments = backbone.union(allele).filter(F.length("seq") > 0)

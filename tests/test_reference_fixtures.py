@@ -271,3 +271,58 @@ def test_frames_agree_with_the_kernel(spark):
     g, _, _ = expanded.expand(paths, {0: [1, 2], 1: [3], 2: [3]}, [])
     assert frames.switches(steps, edges).count() == sum(w for *_, w in g.edges())
     assert frames.recombination_nodes(steps, edges).count() == sum(1 for h in g.hap if h == -1)
+
+
+def test_frames_agree_with_the_programs(spark):
+    """Elbow, colours of a path and certificate as frames and as the programs use them."""
+    rng = random.Random(3)
+    curves = {g: [rng.randint(0, 30) for _ in range(rng.randint(1, 7))] for g in range(40)}
+    rows = spark.createDataFrame([(g, r, n) for g, c in curves.items() for r, n in enumerate(c)], "grp long, r int, distinct long")
+    assert {r["grp"]: r["best"] for r in frames.elbows(rows).collect()} == {g: dp.elbow(c) for g, c in curves.items()}
+
+    hom = [c % 2 == 0 for c in range(8)]
+    pairs = {g: [[[rng.randrange(8) for _ in range(rng.randint(0, 3))] for _ in range(5)] for _ in range(2)] for g in range(30)}
+    counted = {g: [dp.path_colours(path) for path in two] for g, two in pairs.items()}
+    rows = spark.createDataFrame([(g, c, hom[c], one.get(c, 0), two.get(c, 0)) for g, (one, two) in counted.items() for c in {*one, *two}], "grp long, color int, hom boolean, k1 long, k2 long")
+    for r in frames.certificates(rows).collect():
+        want = dp.certificate(*counted[r["grp"]], hom, 0)
+        assert (r["objective"], r["m_hom"], r["m_het"]) == (want["objective"], want["m_hom"], want["m_het"])
+    rows = spark.createDataFrame([(g, c) for g, two in pairs.items() for own in two[0] for c in own], "path long, color int")
+    got = {r["path"]: (r["colors"], r["ratio"]) for r in frames.colours_on_path(rows, "path", "color").collect()}
+    assert got == {g: (len(c[0]), sum(c[0].values()) / len(c[0])) for g, c in counted.items() if c[0]}
+
+
+def test_fasta_in_splits(spark, tmp_path):
+    """Records that cross split borders come out whole, as from the whole file."""
+    rng = random.Random(4)
+    text = ""
+    for i in range(300):
+        seq = "".join(rng.choices("ACGTN", k=rng.randint(0, 200)))
+        text += f">r{i} comment > {i}\n" + "".join(seq[k : k + 60] + rng.choice(["\n", "\r\n"]) for k in range(0, len(seq), 60))
+    (tmp_path / "r.fa").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    got = fasta.reads(spark, str(tmp_path / "r.fa"))
+    assert got.rdd.getNumPartitions() > 5
+    rows = [(r["name"], r["seq"]) for r in got.orderBy("read_id").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == list(fasta.records(text.splitlines()))
+    with gzip.open(tmp_path / "z.fa.gz", "wt") as f:
+        f.write(text)
+    assert [(r["name"], r["seq"]) for r in fasta.reads(spark, str(tmp_path / "z.fa.gz")).orderBy("read_id").collect()] == rows
+
+
+def test_written_graph_reads_back(spark, tmp_path):
+    t = gfa.parse(spark.createDataFrame([(0, "S\ta\tACGT\tSN:Z:c\tSO:i:0\tSR:i:0"), (1, "S\tb\t*\tLN:i:7"), (2, "L\ta\t+\tb\t-\t3M"), (3, "L\ta\t+\tb\t+\t:5")], "line long, value string"))
+    gfa.write_gfa(t.segments, t.links, str(tmp_path / "g"))
+    again = gfa.read_gfa(spark, str(tmp_path / "g"))
+    assert sorted(r["value"] for r in gfa.gfa_text(again.segments, again.links).collect()) == sorted(r["value"] for r in gfa.gfa_text(t.segments, t.links).collect())
+    assert again.segments.count() == again.links.count() == 2
+
+
+def test_diploid_fasta_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("sol_1", "ACGT" * 50), ("sol_2", "A")], "name string, seq string")
+    fasta.write_fasta(rows, str(tmp_path / "out"), "bp")
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(x for x in lines if x[0] == ">") == [">sol_1 bp:200", ">sol_2 bp:1"] and max(map(len, lines)) == 80
+    assert sorted((r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()) == sorted(map(tuple, rows.collect()))
