@@ -6,6 +6,9 @@ import argparse
 from dataclasses import dataclass, fields
 
 
+VERSION = "0.2"
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Options of one inference run; names follow the command line's letters."""
@@ -36,6 +39,12 @@ def parse(argv: list[str] | None = None) -> tuple[EngineConfig, argparse.Namespa
     p.add_argument("-R", dest="recombinations", type=int, default=18)
     p.add_argument("-p", dest="ploidy", type=int, default=2)
     p.add_argument("-T", dest="threshold", type=float, default=1.0)
+    p.add_argument("-t", dest="threads", type=int, default=4, help="threads of a local run without a configured master")
+    p.add_argument("-d", dest="debug", type=int, default=0, help="1: print the plan")
+    p.add_argument("-a", dest="approximator", type=int, default=0, help="accepted; the dynamic programs are the only solver")
+    for name, what in {"P": "recombination penalty", "q": "quadratic or linear form", "m": "mixed or integer form", "H": "top haplotypes", "l": "coverage mode", "N": "expanded graph form", "c": "most occurrences"}.items():
+        p.add_argument(f"-{name}", type=int, help=f"accepted without effect: {what} of the integer program")
+    p.add_argument("--version", action="version", version=VERSION)
     args = p.parse_args(argv)
     names = {f.name for f in fields(EngineConfig)}
     return EngineConfig(**{k: v for k, v in vars(args).items() if k in names}), args

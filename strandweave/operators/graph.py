@@ -20,7 +20,7 @@ def mate(v: Column) -> Column:
 
 
 def segment_ids(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """(name, seg_id): ids by first appearance in any S or L line."""
+    """(name, seg_id, line): ids by first appearance in any S or L line."""
     seen = (
         segments.select("name", "line", F.lit(0).alias("field"))
         .union(links.select("from_name", "line", F.lit(1)))
@@ -29,14 +29,29 @@ def segment_ids(segments: DataFrame, links: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("line", "field")).alias("at"))
         .select("name", "at.line", "at.field")
     )
-    return dense_ids(seen, ["line", "field"], "seg_id").select("name", "seg_id")
+    return dense_ids(seen, ["line", "field"], "seg_id").select("name", "seg_id", "line")
+
+
+def link_lengths(links: DataFrame) -> DataFrame:
+    """(name, least): a segment's length as its links' L1 and L2 tags and overlaps imply it."""
+    one = links.filter(F.col("l1").isNotNull() & (F.col("ov") != MISSING)).select(F.col("from_name").alias("name"), (F.col("ov") + F.col("l1")).alias("least"))
+    two = links.filter(F.col("l2").isNotNull() & (F.col("ow") != MISSING)).select(F.col("to_name").alias("name"), (F.col("ow") + F.col("l2")).alias("least"))
+    return one.union(two).groupBy("name").agg(F.max("least").alias("least"))
 
 
 def encode_segments(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """Segments with ids; names that only links mention become length 0."""
+    """Segments with ids; names that only links mention have the length that links imply, or 0.
+
+    ``first_line`` is the line of the first S or L record with the name.
+    """
     ids = segment_ids(segments, links)
     first = segments.groupBy("name").agg(F.min_by(F.struct("seq", "len", "sn", "so", "sr"), "line").alias("s"))
-    return ids.join(first, "name", "left").select("seg_id", "name", "s.seq", F.coalesce("s.len", F.lit(0)).alias("len"), "s.sn", "s.so", "s.sr")
+    out = ids.join(first, "name", "left")
+    size = F.coalesce("s.len", F.lit(0))
+    if {"l1", "l2"} <= set(links.columns):
+        out = out.join(link_lengths(links), "name", "left")
+        size = F.greatest(size, F.coalesce("least", F.lit(0)))
+    return out.select("seg_id", "name", "s.seq", size.cast("int").alias("len"), "s.sn", "s.so", "s.sr", F.col("line").alias("first_line"))
 
 
 def arcs_of(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -128,9 +143,16 @@ def delete_segments(segments: DataFrame, arcs: DataFrame, gone: DataFrame) -> tu
 
 
 def walk_table(walks: DataFrame, ids: DataFrame) -> DataFrame:
-    """(walk_id, pos, seg_id, rev) of walks (walk_id, steps); unknown segments are skipped."""
-    flat = walks.select("walk_id", F.posexplode("steps").alias("at", "s")).select("walk_id", "at", F.col("s.name").alias("name"), F.col("s.rev").alias("rev"))
-    known = flat.join(ids.select("name", "seg_id"), "name")
+    """(walk_id, pos, seg_id, rev) of walks (walk_id, steps); unknown segments are skipped.
+
+    If the walks have their ``line`` and the ids a ``first_line``, a segment is known
+    only from the line on that first names it.
+    """
+    ordered = "line" in walks.columns and "first_line" in ids.columns
+    line = F.col("line") if ordered else F.lit(1).cast("long")
+    flat = walks.select("walk_id", line.alias("_line"), F.posexplode("steps").alias("at", "s")).select("walk_id", "_line", "at", F.col("s.name").alias("name"), F.col("s.rev").alias("rev"))
+    first = F.col("first_line") if ordered else F.lit(0).cast("long")
+    known = flat.join(ids.select("name", "seg_id", first.alias("_first")), "name").filter("_first < _line")
     w = Window.partitionBy("walk_id").orderBy("at")
     return known.select("walk_id", (F.row_number().over(w) - 1).alias("pos"), "seg_id", "rev")
 

@@ -39,6 +39,31 @@ def precision_recall(truth: DataFrame, called: DataFrame, key: list[str], by: li
     return both.withColumns({"precision": p, "recall": r, "f1": F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))})
 
 
+def matched_by_size(truth: DataFrame, called: DataFrame, by: list[str], distance: int = 500, similarity: float = 0.7) -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 of variants (by, pos, size), matched with tolerance.
+
+    A variant is matched if the other set has one at most ``distance`` away whose size
+    is ``similarity`` of its own or the other way round. Positions are dealt to
+    tiles of that distance, so the join is on (by, tile).
+    """
+    def sided(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*by, F.col("pos").alias(f"{tag}_pos"), F.abs("size").alias(f"{tag}_size")).distinct()
+
+    t, c = sided(truth, "t"), sided(called, "c")
+    tile = lambda n: F.floor(F.col(n) / distance)
+    near = F.explode(F.sequence(tile("c_pos") - 1, tile("c_pos") + 1))
+    pairs = t.withColumn("_tile", tile("t_pos")).join(c.withColumn("_tile", near), [*by, "_tile"])
+    close = (F.abs(F.col("t_pos") - F.col("c_pos")) <= distance) & (F.least("t_size", "c_size") >= similarity * F.greatest("t_size", "c_size"))
+    pairs = pairs.filter(close)
+    n = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    hit_t, hit_c = pairs.select(*by, "t_pos", "t_size").distinct(), pairs.select(*by, "c_pos", "c_size").distinct()
+    out = n(t, "n_t").join(n(c, "n_c"), by, "full").join(n(hit_t, "tp"), by, "left").join(n(hit_c, "tp_called"), by, "left").na.fill(0)
+    out = out.select(*by, "tp", (F.col("n_c") - F.col("tp_called")).alias("fp"), (F.col("n_t") - F.col("tp")).alias("fn"), "tp_called", "n_t", "n_c")
+    p = F.when(F.col("n_c") > 0, F.col("tp_called") / F.col("n_c"))
+    r = F.when(F.col("n_t") > 0, F.col("tp") / F.col("n_t"))
+    return out.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))).drop("tp_called", "n_t", "n_c")
+
+
 def gaps_and_islands(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Run-length report: (by, value, first, last) of equal neighbours."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -46,7 +46,7 @@ def cigar_overlap(spark, sf_dir):
 def segment_dict(spark, sf_dir):
     links = ad.link_records(spark, sf_dir)
     none = links.limit(0).select(F.col("from_name").alias("name"), "line")
-    return graph.segment_ids(none, links)
+    return graph.segment_ids(none, links).select("name", "seg_id")
 
 
 @book.query(f"WITH {ad.LINKS_SQL} SELECT seg_id FROM lsegs WHERE len = 0")
@@ -171,6 +171,18 @@ def degrees(spark, sf_dir):
     return graph.degrees(_edges(_walks(spark, sf_dir)[0]))
 
 
+@book.query(
+    f"""WITH {ad.LINKS_SQL}, x AS (SELECT a AS seg, ov + line % 40 AS least FROM ovl WHERE ov <> 2147483647 UNION ALL SELECT b, ow + line % 30 FROM ovl WHERE ow <> 2147483647)
+    SELECT CAST(s.seg_id AS VARCHAR) AS name, CAST(greatest(any_value(s.len), coalesce(max(least), 0)) AS INTEGER) AS len FROM lsegs s LEFT JOIN x ON x.seg = s.seg_id GROUP BY s.seg_id"""
+)
+def implied_lengths(spark, sf_dir):
+    """Segment lengths extended by what their links' L1 and L2 tags imply."""
+    links = ad.link_records(spark, sf_dir).withColumns({"l1": (F.col("line") % 40).cast("int"), "l2": (F.col("line") % 30).cast("int")})
+    none = F.lit(None).cast("string")
+    segs = ad.link_segments(spark, sf_dir).select("name", F.col("seg_id").alias("line"), none.alias("seq"), "len", none.alias("sn"), F.lit(0).alias("so"), F.lit(0).alias("sr"))
+    return graph.encode_segments(segs, links).join(segs.select("name"), "name", "left_semi").select("name", "len")
+
+
 @book.query(f"WITH {ad.STEPS_SQL} SELECT seg_id, seg_id IN (SELECT seg_id FROM steps WHERE pos < 3) AS on_walk FROM segs")
 def presence_flags(spark, sf_dir):
     """Segments that walks visit in their first three steps."""

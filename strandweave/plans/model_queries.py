@@ -302,6 +302,22 @@ def prf1(spark, sf_dir):
     return metrics.precision_recall(x.filter("l_returnflag <> 'A'"), x.filter("l_returnflag <> 'N'"), ["pos"], ["sample"])
 
 
+@book.query(
+    """WITH t AS (SELECT DISTINCT l_suppkey AS sample, l_partkey * 50 AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_returnflag <> 'A'),
+    c AS (SELECT DISTINCT l_suppkey AS sample, l_partkey * 50 AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_returnflag = 'A'),
+    m AS (SELECT t.sample, t.pos AS tp, t.size AS ts, c.pos AS cp, c.size AS cs FROM t JOIN c ON t.sample = c.sample AND abs(t.pos - c.pos) <= 500 AND least(t.size, c.size) >= 0.7 * greatest(t.size, c.size)),
+    n AS (SELECT sample, (SELECT count(*) FROM t WHERE t.sample = s.sample) AS nt, (SELECT count(*) FROM c WHERE c.sample = s.sample) AS nc,
+        (SELECT count(*) FROM (SELECT DISTINCT tp, ts FROM m WHERE m.sample = s.sample)) AS tp, (SELECT count(*) FROM (SELECT DISTINCT cp, cs FROM m WHERE m.sample = s.sample)) AS tc
+        FROM (SELECT sample FROM t UNION SELECT sample FROM c) s),
+    q AS (SELECT sample, tp, nc - tc AS fp, nt - tp AS fn, CASE WHEN nc > 0 THEN tc / nc::DOUBLE END AS precision, CASE WHEN nt > 0 THEN tp / nt::DOUBLE END AS recall FROM n)
+    SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM q"""
+)
+def prf1_by_size(spark, sf_dir):
+    """Variants matched within 500 positions and 0.7 of their size."""
+    x = ad.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), (F.col("l_partkey") * 50).alias("pos"), F.col("l_quantity").cast("long").alias("size"), "l_returnflag")
+    return metrics.matched_by_size(x.filter("l_returnflag <> 'A'"), x.filter("l_returnflag = 'A'"), ["sample"])
+
+
 @book.query(
     """WITH c AS (SELECT conv_id, turn, role, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)

@@ -91,3 +91,9 @@ def write_fasta(rows: DataFrame, path: str, prefix: str = "LN") -> None:
     """
     lines = fasta_lines(rows, "seq", prefix).repartition("name").sortWithinPartitions("name", "pos")
     lines.select("value").write.mode("overwrite").text(path)
+
+
+def write_haplotypes(rows: DataFrame, path: str) -> None:
+    """Write (name, seq) rows as FASTA, a folder ``hap=<name>`` for each haplotype."""
+    lines = fasta_lines(rows, "seq").withColumn("hap", F.col("name")).repartition("hap").sortWithinPartitions("hap", "pos")
+    lines.select("hap", "value").write.mode("overwrite").partitionBy("hap").text(path)

@@ -326,3 +326,26 @@ def test_diploid_fasta_folder(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(x for x in lines if x[0] == ">") == [">sol_1 bp:200", ">sol_2 bp:1"] and max(map(len, lines)) == 80
     assert sorted((r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_walks_know_earlier_segments_only(spark):
+    lines = ["W\ts\t1\tc\t0\t9\t>a>b", "S\ta\tACGT", "L\ta\t+\tb\t+\t2M\tL1:i:9\tL2:i:3", "W\ts\t2\tc\t0\t9\t>a>b>x", "S\tx\tA"]
+    t = gfa.parse(spark.createDataFrame(list(enumerate(lines)), "line long, value string"))
+    segs = graph.encode_segments(t.segments, t.links)
+    assert {r["name"]: r["len"] for r in segs.collect()} == {"a": 11, "b": 5, "x": 1}  # 2 + 9 and 2 + 3 from the link's tags
+    names = {r["seg_id"]: r["name"] for r in segs.collect()}
+    steps = graph.walk_table(t.walks.withColumn("walk_id", t.walks.hap), segs)
+    assert sorted((r["walk_id"], r["pos"], names[r["seg_id"]]) for r in steps.collect()) == [(2, 0, "a"), (2, 1, "b")]
+
+
+def test_options():
+    cfg, args = parse("-g a -r b -o c -P 100 -q 1 -m 1 -H 15 -l 0 -N 0 -c 5000 -a 1 -t 8 -d 1 -T 0.5".split())
+    assert (cfg.threshold, args.threads, args.debug) == (0.5, 8, 1)
+    with pytest.raises(SystemExit):
+        parse(["--version"])
+
+
+def test_haplotype_folders(spark, tmp_path):
+    fasta.write_haplotypes(spark.createDataFrame([("h_1", "ACGT" * 30), ("h_2", "T")], "name string, seq string"), str(tmp_path / "h"))
+    got = {r["hap"]: r["seq"] for r in spark.read.option("basePath", str(tmp_path / "h")).text(str(tmp_path / "h")).groupBy("hap").agg({"value": "count"}).withColumnRenamed("count(value)", "seq").collect()}
+    assert got == {"h_1": 3, "h_2": 2}
