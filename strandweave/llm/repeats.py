@@ -264,7 +264,7 @@ def _name(window: bytes) -> int:
 
 def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
     """(bucket, data): blocks of candidate segments and covered ranges, see ``rows_of``."""
-    buckets = 8 * partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)  # a task sends each bucket one block at a time
 
     def flush(held: dict):
         out: dict[int, list[list]] = {}
