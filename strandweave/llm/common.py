@@ -54,9 +54,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove the tables of ``scratch``; frames that read them must have been used up."""
-    while _scratch:
+def swept_from() -> int:
+    """A mark for ``sweep``: later tables only."""
+    return len(_scratch)
+
+
+def sweep(spark: SparkSession, mark: int = 0) -> None:
+    """Remove the tables of ``scratch`` since ``mark``; frames that read them must have been used up."""
+    while len(_scratch) > mark:
         remove_folder(spark, _scratch.pop())
 
 
