@@ -94,7 +94,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str,
     else:
         marked = table.withColumn("_hot", F.col(count) * share >= F.lit(total))
     hot = marked.filter("_hot").select(key, F.struct(*values, "_hot").alias("_h"))
-    rest = marked.filter("not _hot").select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values, "_hot").alias("_r"))
+    zero = F.pmod(F.col(count), F.lit(1)).cast("long")  # a literal would drop out of the join's keys, and the salt with it
+    rest = marked.filter("not _hot").select(key, zero.alias("_salt"), F.struct(*values, "_hot").alias("_r"))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("long"))
     both = salted.join(rest, [key, "_salt"], "left").withColumn("_v", F.coalesce("_h", "_r"))
     both = both if outer else both.filter("_v is not null")

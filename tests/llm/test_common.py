@@ -36,6 +36,8 @@ def test_lookup_deals_hot_keys(spark):
     for total in (None, 900):
         got = m.lookup(left, right, "k", "n", "id", total, share=5)
         assert sorted(tuple(r) for r in got.collect()) == sorted((i, k, 2 * k) for i, k in rows if k < 999)
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "_salt" in x]
+        assert any(x.count("_salt") == 2 for x in joins)  # the salt is a key on both sides
     got = m.lookup(left, right, "k", "n", "id", share=5, outer=True)
     assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame([(i, k, 2 * k if k < 999 else None) for i, k in rows], "id long, k long, x long").collect())
 
