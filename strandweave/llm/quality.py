@@ -32,7 +32,7 @@ from .common import WS_SPLIT, cut, let, lookup, scratch
 
 MIN_WORDS = 50
 PRIOR = 100
-REACH = 3
+REACH = 5
 BROADCAST_GROUPS = 100_000  # rows of limits, about 100 bytes each, that may be broadcast
 # Metric: (numerator, denominator, scale, has a lower fence)
 METRICS = {
