@@ -44,7 +44,8 @@ ANCHOR_BITS = 56  # of an anchor's hash; equal hashes of different anchors only
 FLUSH = 2_000_000  # anchors a worker holds before it sends them
 HOT = 4096  # documents from which on the windows around an anchor are dealt one by one
 HOT_SHARE = 2  # and at least this part of its bucket's pairs of anchor and document: at most so many hot anchors a bucket
-FLAG = np.uint64(1 << 60)  # marks a hot anchor
+SENT_BITS = 39  # of these, the ones that messages of ``candidates`` hold: with a flag five bytes
+FLAG = np.uint64(1 << SENT_BITS)  # marks a hot anchor
 WINDOW = 127  # place of an anchor that is a window; windows hold at most so many runs
 ROW = "doc_id long, variant long, low long, high long"
 
@@ -149,8 +150,23 @@ def _unpack(data: bytes, width: int) -> tuple[np.ndarray, ...]:
     return np.cumsum(out[0].view(np.uint64), dtype=np.uint64), *out[1:]
 
 
+def _sent(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(ANCHOR_BITS - SENT_BITS)
+
+
+def _five(h: np.ndarray) -> bytes:
+    """Numbers of up to 40 bits, five bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
-    """(doc_id, anchors): for documents with anchors that another document has.
+    """(doc_id, anchors): for documents with anchors that another document has, five bytes each.
 
     All messages travel as compressed blocks, a bounded number for each task.
     """
@@ -182,7 +198,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
         near = np.repeat(count > 1, count)  # documents that share an anchor right here
         yield rows(1, by_document(d[near], h[near]))
         h, d = h[lead], d[lead]
-        edge = np.searchsorted(h, np.array([(i << ANCHOR_BITS) // buckets for i in range(buckets)] + [1 << ANCHOR_BITS], dtype=np.uint64))
+        edge = np.searchsorted(h, np.array([(i << SENT_BITS) // buckets for i in range(buckets)] + [1 << SENT_BITS], dtype=np.uint64))
         yield rows(0, ((b, _pack(h[x:y], d[x:y], count[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y))
 
     def send(batches):
@@ -191,7 +207,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, _, u in _batches(batch.column(1), units):
                 h, text, *_ = cut_segments(u, n, k)
-                hashes.append(h)
+                hashes.append(_sent(h))
                 ids.append(doc[a + text])
                 held += len(h)
                 if held >= most:
@@ -235,7 +251,7 @@ def candidates(docs: DataFrame, units: Callable, n: int, k: int) -> DataFrame:
         h, d = h[new], d[new]
         h = np.where(np.isin(h, hot), h | FLAG, h)
         cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        return pa.table({"doc_id": pa.array(d[cuts]), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(d[cuts]), "anchors": pa.array([_five(h[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(d)), strict=True)], pa.binary())})
 
     texts = docs.filter(~F.col("copy")).select("doc_id", "text")
     met = texts.mapInArrow(send, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(reply, "target int, hot boolean, data binary")
@@ -300,24 +316,24 @@ def segments(docs: DataFrame, found: DataFrame, units: Callable, n: int, k: int)
         size = 0
         for batch in batches:
             doc, variant = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            want = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            want = [_numbers(x) for x in batch.column(3).to_pylist()]
             for a, buf, _, u in _batches(batch.column(2), units):
                 h, text, first, last, anchor = cut_segments(u, n, k)
-                data, edge = buf.tobytes(), np.searchsorted(text, np.arange(len(u.first)))
+                data, edge, short = buf.tobytes(), np.searchsorted(text, np.arange(len(u.first))), _sent(h)
                 for t in range(len(u.first) - 1):
                     x, y = edge[t], edge[t + 1]
                     if x == y or not len(want[a + t]):
                         continue
                     mine = np.sort(want[a + t] & ~FLAG)
                     hot = set((want[a + t][want[a + t] >= FLAG] & ~FLAG).tolist())
-                    at = np.minimum(np.searchsorted(mine, h[x:y]), len(mine) - 1)
-                    pick = x + np.flatnonzero(mine[at] == h[x:y])
+                    at = np.minimum(np.searchsorted(mine, short[x:y]), len(mine) - 1)
+                    pick = x + np.flatnonzero(mine[at] == short[x:y])
                     base, who, which = int(u.first[t]), int(doc[a + t]), int(variant[a + t])
                     to, places = h[pick].tolist(), (anchor[pick] - first[pick]).tolist()
                     for b, f, e, p in zip(to, first[pick].tolist(), (last[pick] + n).tolist(), places, strict=True):
                         content = data[f:e] if u.words is None else b" ".join(data[u.words.start[f] : u.words.end[e - 1]].split())
                         low = f - base
-                        if b not in hot:
+                        if b >> ANCHOR_BITS - SENT_BITS not in hot:
                             held.setdefault((b | p << ANCHOR_BITS, content), []).append((who, which, low, e - base))
                             size += len(content) + 120
                             continue

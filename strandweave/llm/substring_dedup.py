@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import repeats, suffixes
 
-LENGTH, ANCHOR = 50, 16
+LENGTH = 50
 ROWS = 500  # texts turned into Python objects at a time
 CHUNK = 1 << 20  # bytes of distinct segments that are ordered together
 
@@ -65,13 +65,22 @@ def _spans(own: list[list[tuple[int, int, int]]], low: np.ndarray, per: np.ndarr
     return doc[place[new]], variant[place[new]], start[new], start[last] + n
 
 
-def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK) -> pa.Table:
-    """Covered byte ranges of one shard's segments."""
+def anchor(n: int) -> int:
+    """Bytes of an anchor: the largest power of two in two thirds of a string.
+
+    A shorter one recurs by chance in ever more documents of a growing table, and
+    all segments around it would have to be ordered; a longer one sends more messages.
+    """
+    return 1 << max(1, 2 * n // 3).bit_length() - 1
+
+
+def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK, k: int = 16) -> pa.Table:
+    """Covered byte ranges of one shard's segments, which were cut by anchors of ``k`` bytes."""
     names = ("doc_id", "variant", "low", "high")
     out, done = [], []
     places: dict[bytes, list[tuple[int, int, int]]] = {}
     by_anchor: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-    for d, v, a, b, key, width, at, content in repeats.rows_of(part.column("data").to_pylist(), n, ANCHOR):
+    for d, v, a, b, key, width, at, content in repeats.rows_of(part.column("data").to_pylist(), n, k):
         if content is None:
             done.append((d, v, a, b))
             continue
@@ -120,10 +129,10 @@ def locate(part: pa.Table, n: int = LENGTH, chunk: int = CHUNK) -> pa.Table:
 def covered_bytes(docs: DataFrame, n: int = LENGTH) -> DataFrame:
     """doc_id, text, copy and ranges of covered bytes, for rows with an id."""
     rows = repeats.firsts(docs)
-    found = repeats.candidates(rows, repeats.byte_units, n, ANCHOR)
-    parts = repeats.segments(rows, found, repeats.byte_units, n, ANCHOR)
-    chunk = CHUNK
-    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n, chunk), repeats.ROW)
+    k, chunk = anchor(n), CHUNK
+    found = repeats.candidates(rows, repeats.byte_units, n, k)
+    parts = repeats.segments(rows, found, repeats.byte_units, n, k)
+    cover = parts.groupBy("bucket").applyInArrow(lambda part: locate(part, n, chunk, k), repeats.ROW)
     return repeats.with_cover(rows, cover)
 
 

@@ -123,3 +123,28 @@ def test_a_line_of_all_documents_is_dealt_to_many_buckets(make_docs, monkeypatch
     assert max(per.values()) < 200 and len(per) > 200
     got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(docs).collect())
     assert got == brute(rows, 50)
+
+
+def test_phrases_that_recur_by_chance_are_not_ordered(make_docs):
+    """Runs of a few words that many documents hold must not send every segment to the suffix order."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40)]
+    passage = " ".join(rng.choices(vocabulary, k=30))
+    rows = [(d, " ".join(rng.choices(vocabulary, k=60)) + passage * (d % 20 == 0), "en", "a") for d in range(300)]
+    first = repeats.firsts(make_docs(rows))
+
+    def sent(k):
+        parts = repeats.segments(first, repeats.candidates(first, repeats.byte_units, 50, k), repeats.byte_units, 50, k)
+        return sum(len(r[-1]) - 49 for r in repeats.rows_of([b["data"] for b in parts.collect()], 50, k) if r[-1])
+
+    windows = sum(len(t) - 49 for _, t, *_ in rows)
+    assert sent(16) > 0.5 * windows and sent(substring_dedup.anchor(50)) < 0.1 * windows
+    got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(make_docs(rows)).collect())
+    assert got == brute(rows, 50) and sum(r[2] > 200 for r in got) == 14
+
+
+@pytest.mark.parametrize("n", [2, 5, 20, 33, 100])
+def test_any_length(make_docs, n):
+    rows = corpus(5, 60)
+    got = sorted((*r[:4], bytes(r[4])) for r in substring_dedup.remove(make_docs(rows), n).collect())
+    assert got == brute(rows, n)
