@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,18 @@ def sweep(spark: SparkSession, mark: int = 0) -> None:
         remove_folder(spark, _scratch.pop())
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of each action inside go when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)

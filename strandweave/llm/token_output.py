@@ -13,7 +13,8 @@
    leaves no half file and any file system will do. Slot ``s`` lies at byte
    ``(s % SHARD) * stride`` of the file of shard ``s // SHARD``.
 
-Shards are written in waves of ``WAVE``, each a job of its own: a folder whose
+Shards are written in ``WAVES`` waves or more, each a job of its own, whose shuffle
+files go before the next: a folder whose
 writing was stopped is finished by calling ``materialise`` again, which keeps the
 tokens, the index and the waves that are complete. ``read_from`` goes on reading at
 any slot, ``seek`` reads bytes of one file. The index says which part of which text lies
@@ -36,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, remove_folder, scratch
+from .common import partitions, remove_folder, scratch, shuffles_dropped
 
 SEQUENCE = 1024
 SHARD = 4096
-WAVE = 10_000
+WAVE = 10_000  # shards at most
+WAVES = 2  # at least: what travels to the shards is on the disk for one wave at a time
 KEY = 20240229
 END, PAD = 50256, 50257
 TAIL = b"\0\n"
@@ -167,8 +169,8 @@ def tokenised(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     return ordered.mapInArrow(run, f"doc_id {kind}, part int, start long, n_tokens long, ids binary")
 
 
-def parts(tokens: DataFrame, base: dict[int, int], layout: Layout, with_ids: bool) -> DataFrame:
-    """Each text's part of each sequence: doc_id, piece, slot, at (token in the sequence), n_tokens and perhaps ids."""
+def parts(tokens: DataFrame, base: dict[int, int], layout: Layout, slots: range | None = None) -> DataFrame:
+    """Each text's part of each sequence: doc_id, piece, slot, at (token in the sequence), n_tokens; with ``slots``, of these alone and with ids."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
     first = np.zeros(max(base, default=0) + 1, np.int64)
     first[list(base)] = list(base.values())
@@ -184,16 +186,19 @@ def parts(tokens: DataFrame, base: dict[int, int], layout: Layout, with_ids: boo
             ordinal = start[row] // length + piece
             low, high = np.maximum(start[row], ordinal * length), np.minimum(end[row], (ordinal + 1) * length)
             slot = permute(ordinal, total, key) if len(row) else ordinal
+            if slots is not None:
+                own = np.flatnonzero((slot >= slots.start) & (slot < slots.stop))
+                row, piece, ordinal, low, high, slot = (x[own] for x in (row, piece, ordinal, low, high, slot))
             out = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(slot), pa.array((low - ordinal * length).astype(np.int32)), pa.array((high - low).astype(np.int32))]
             names = ["doc_id", "piece", "slot", "at", "n_tokens"]
-            if with_ids:
+            if slots is not None:
                 data = batch.column("ids").to_pylist()
                 cuts = zip(row.tolist(), (2 * (low - start[row])).tolist(), (2 * (high - start[row])).tolist(), strict=True)
                 out, names = [*out, pa.array([data[k][a:b] for k, a, b in cuts], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    columns = ["doc_id", "part", "start", "n_tokens"] + ["ids"] * with_ids
-    return tokens.select(*columns).mapInArrow(run, f"doc_id {kind}, piece int, slot long, at int, n_tokens int" + ", ids binary" * with_ids)
+    columns = ["doc_id", "part", "start", "n_tokens"] + ["ids"] * (slots is not None)
+    return tokens.select(*columns).mapInArrow(run, f"doc_id {kind}, piece int, slot long, at int, n_tokens int" + ", ids binary" * (slots is not None))
 
 
 def records(ordered: DataFrame, layout: Layout) -> DataFrame:
@@ -227,8 +232,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def materialise(docs: DataFrame, path: str, ranks_file: str, pattern: str, length: int = SEQUENCE, shard: int = SHARD, wave: int = WAVE, key: int = KEY) -> Layout:
+def materialise(docs: DataFrame, path: str, ranks_file: str, pattern: str, length: int = SEQUENCE, shard: int = SHARD, wave: int | None = None, key: int = KEY) -> Layout:
     """Write tokens, index and shards of ``docs`` under ``path``; what is complete there is kept."""
+    with shuffles_dropped(docs.sparkSession):
+        return _materialise(docs, path, ranks_file, pattern, length, shard, wave, key)
+
+
+def _materialise(docs: DataFrame, path: str, ranks_file: str, pattern: str, length: int, shard: int, wave: int | None, key: int) -> Layout:
     spark = docs.sparkSession
     if not _exists(spark, f"{path}/tokens"):
         tokenised(docs, ranks_file, pattern).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/tokens")
@@ -237,16 +247,17 @@ def materialise(docs: DataFrame, path: str, ranks_file: str, pattern: str, lengt
     base, total = {}, 0
     for part in sorted(counts):
         base[part], total = total, total + counts[part]
+    wave = wave or min(WAVE, max(1, -(-Layout(path, total, length, shard).shards // WAVES)))
     layout = Layout(path, total, length, shard, wave, key)
     if not _exists(spark, f"{path}/index"):
         at = F.col("slot") % shard * layout.stride + 2 * F.col("at")
-        parts(tokens, base, layout, False).select("slot", F.floor(F.col("slot") / shard).alias("shard"), at.alias("byte_offset"), "doc_id", "piece", "n_tokens").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index")
+        parts(tokens, base, layout).select("slot", F.floor(F.col("slot") / shard).alias("shard"), at.alias("byte_offset"), "doc_id", "piece", "n_tokens").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index")
     for k in range(0, layout.shards, wave):
         folder = f"{path}/ids/wave={k // wave}"
         if _exists(spark, folder):
             continue
         last = min(k + wave, layout.shards)
-        own = parts(tokens, base, layout, True).filter((F.col("slot") >= k * shard) & (F.col("slot") < last * shard))
+        own = parts(tokens, base, layout, range(k * shard, last * shard))
         ordered = own.repartitionById(last - k, (F.floor(F.col("slot") / shard) - k).cast("int")).sortWithinPartitions("slot", "at")
         records(ordered, layout).select(F.col("value").cast("string")).write.mode("overwrite").text(folder)
     return layout

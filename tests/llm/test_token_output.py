@@ -108,3 +108,26 @@ def test_chunks_equal_the_library(bound):
     enc = m.WordEncoder(RANKS, P.PATTERN, bound)
     for t in ["", " ", "a b", "don't  stop", "x\n y", " lead", "tail ", "日本 語 a1 b22 c333", "a\t b \n\n c", "it's we're I'll " * 30]:
         assert enc.encode(t) == np.array(enc.library.encode_ordinary(t), "<u2").tobytes()
+
+
+def test_one_wave_at_a_time_is_on_the_disk(spark, make_docs, tmp_path):
+    """Shuffle files go with their job, and no job moves all ids."""
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(key, None)
+    docs = make_docs([(i, f"text {i} " * 40, "en", "a") for i in range(200)])
+    layout = m.materialise(docs, str(tmp_path / "a"), RANKS, P.PATTERN, length=64, shard=16)
+    waves = {r["path"].split("wave=")[1].split("/")[0] for r in m.shard_files(spark, layout).select("path").collect()}
+    assert waves == {"0", "1"} and layout.wave == -(-layout.shards // 2) > 1
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(key, None) == had
+    assert len(m.read_from(spark, layout).collect()) == layout.sequences
