@@ -7,15 +7,12 @@ the sum of rank differences, or ``TOP`` for an n-gram the profile lacks. The
 score is one minus the distance over its largest possible value. Equal
 distances go to the alphabetically first language.
 
-Profiles are learned from labelled rows outside the held-out fold, about
-``TRAIN_DOCS`` whole texts for each language (a documented bound: rows are
-picked by a hash of doc_id against the ratio of the bound to the language's row
-count, so the expected number never exceeds it). The model is ``TOP`` n-grams a
-language and nothing larger reaches the driver. Prediction reads only the text,
-all of it.
+Profiles are learned from all labelled rows outside the held-out fold, whole
+texts. The model is ``TOP`` n-grams a language and nothing larger reaches the
+driver. Prediction reads only the text, all of it.
 
 ``keep_known`` also rejects a text that scores less than the floor of its
-language, ``q50 - REACH * (q50 - q25)`` of the scores of the same training texts,
+language, ``q50 - REACH * (q50 - q25)`` of the scores of all the training texts,
 drawn to 0 as if ``PRIOR`` more texts had that floor: texts in languages that were
 not learned, or in none, score far below it.
 
@@ -35,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 300
-TRAIN_DOCS = 2000
+PENDING = 1 << 18  # n-grams that wait to be summed in a task
 REACH = 6  # quartile distances under the median
 PRIOR = 100  # training texts that a floor of 0 counts for
 FOLDS, HELD_OUT = 4, 2
@@ -129,30 +126,35 @@ def _fold():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, floors: bool = False) -> Profiles:
-    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~_fold())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return Profiles({}, top)
-    span = 1 << 30
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(span, span * train_docs // n))]), F.col("lang"))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share).select("lang", "text")
+def learn(docs: DataFrame, top: int = TOP, floors: bool = False) -> Profiles:
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~_fold()).select("lang", "text")
+    bound = PENDING
 
     def count(batches):
-        total: dict[str, list] = {}
+        total: dict[str, tuple] = {}
+        held: dict[str, list] = {}
+        size = 0
+
+        def merge() -> None:
+            for lang, parts in held.items():
+                total[lang] = _sum(*map(np.concatenate, zip(total.get(lang, grams(None)), *parts, strict=True)))
+            held.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(lang, []).append(grams(text))
-                if len(total[lang]) >= 256:
-                    total[lang] = [_sum(*map(np.concatenate, zip(*total[lang], strict=True)))]
-        for lang, parts in total.items():
-            codes, n = map(np.concatenate, zip(*parts, strict=True))
-            if len(codes):
-                codes, n = _sum(codes, n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+                mine = grams(text)
+                if len(mine[0]):
+                    held.setdefault(lang, []).append(mine)
+                    size += len(mine[0])
+                if size >= max(bound, sum(len(x) for x, _ in total.values())):
+                    merge()
+                    size = 0
+        merge()
+        for lang, (codes, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    counted = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked: dict[str, list[int]] = {}
     for r in counted.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).orderBy("lang", "r").collect():
         ranked.setdefault(r["lang"], []).append(r["code"])
@@ -164,8 +166,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, floors:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] == lang for g, lang in zip(got, batch.column(0).to_pylist(), strict=True)]), pa.array([g[1] for g in got], pa.float64())], ["lang", "right", "score"])
 
     if floors:
-        own = picked.mapInArrow(scores, "lang string, right boolean, score double").filter("right")
-        for r in own.groupBy("lang").agg(F.percentile("score", [0.25, 0.5]).alias("q"), F.count("*").alias("n")).collect():  # a row a language
+        own = rows.mapInArrow(scores, "lang string, right boolean, score double").filter("right").groupBy("lang", "score").agg(F.count("*").alias("n"))
+        for r in own.groupBy("lang").agg(F.percentile("score", [0.25, 0.5], F.col("n")).alias("q"), F.sum("n").alias("n")).collect():  # a row a language
             model.floor[r["lang"]] = (r["q"][1] - REACH * (r["q"][1] - r["q"][0])) * r["n"] / (r["n"] + PRIOR)
     return model
 

@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 from strandweave.llm import langid as m
 
 
@@ -81,3 +82,21 @@ def test_unlearned_languages_are_rejected(make_docs):
     kept = {r["doc_id"] for r in m.keep_known(make_docs(rows + [(k, t, "en", "a") for k, t in strange.items()])).collect()}
     assert not kept & set(strange)
     assert len(kept) > 0.98 * len(rows)
+
+
+def test_profiles_and_floors_come_from_all_training_texts(make_docs, monkeypatch):
+    """Far more texts than any sample took: ranks and floors are those of all of them."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcde" if i % 2 else "efghé", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 9))), ["xx", "yy"][i % 2], "a") for i in range(9000)]
+    monkeypatch.setattr(m, "PENDING", 5000)
+    model = m.learn(make_docs(rows), top=60, floors=True)
+    learned = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    num = lambda c: 1 if c == "\1" else ord(c) + 2
+    for k, lang in enumerate(model.langs):
+        want = brute_profile([t for t, own in learned if own == lang], 60)
+        mine = sorted((r, c) for r, c in zip(model.rank[:, k].tolist(), model.codes.tolist(), strict=True) if r >= 0)
+        packed = [sum(num(c) << 21 * p for p, c in enumerate(reversed([c for c in g[1:] if c]))) for g in want]
+        assert [c for _, c in mine] == packed
+        scores = [score for t, own in learned if own == lang for got, score in [model.predict(t)] if got == lang]
+        low, mid = np.percentile(scores, [25, 50])
+        assert len(scores) > 3000 and abs(model.floor[lang] - (mid - m.REACH * (mid - low)) * len(scores) / (len(scores) + m.PRIOR)) < 1e-9
