@@ -47,55 +47,44 @@ KEY = 20240229
 END, PAD = 50256, 50257
 TAIL = b"\0\n"
 ROUNDS = 6
-CACHE = 250_000
+LONG = 100_000
+LONG_BLANK = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")  # white space of the pattern
 
 _encoders: dict = {}
 
 
-class _Cache(dict):
-    """Values by key in two generations: a full young one becomes the old one."""
-
-    def __init__(self, make, bound: int):
-        super().__init__()
-        self.make, self.bound, self.old = make, bound, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.bound:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class WordEncoder:
-    """Byte-level ids of whole texts through a bounded cache of blank-led chunks.
+    """Byte-level ids of whole texts, by the library, which hands them over as one buffer.
 
-    A pre-token can only hold a blank at its start or inside a run of white
-    space, so a text without a blank before other white space may be cut before
-    every blank.
+    The library's pattern goes back over a run of white space step by step and
+    gives up on runs of about a million characters. Such a run is one piece
+    without its last character, or to the end of the text, and what comes before
+    and after it stands alone, so the text is cut there. ``bound`` is of no
+    effect: it was the size of a cache of words, which took longer than the library.
     """
 
-    def __init__(self, ranks_file: str, pattern: str, bound: int = CACHE):
+    def __init__(self, ranks_file: str, pattern: str, bound: int = 0):
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.chunks = _Cache(lambda chunk: self._plain(" " + chunk), bound)
-        self.unsafe = re.compile(r" \s").search
+        # an end token in a text is no end token, as none is allowed
+        self.library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END})
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.unsafe(text):
+        run = LONG_BLANK.search(text) if len(text) >= LONG else None
+        if run is None:
             return self._plain(text)
-        first, *rest = text.split(" ")
-        return self._plain(first) + b"".join(map(self.chunks.__getitem__, rest))
+        out, low = [], 0
+        while run:
+            high = run.end() - (run.end() < len(text))
+            blank = self.library._encode_single_piece(text[run.start() : high])
+            out += [self._plain(text[low : run.start()]), np.array(blank, "<u2").tobytes()]
+            low, run = high, LONG_BLANK.search(text, run.end())
+        return b"".join(out) + self._plain(text[low:])
 
 
 def encoder(ranks_file: str, pattern: str) -> WordEncoder:

@@ -131,3 +131,40 @@ def test_one_wave_at_a_time_is_on_the_disk(spark, make_docs, tmp_path):
         time.sleep(0.2)
     assert not shuffles() - before and spark.conf.get(key, None) == had
     assert len(m.read_from(spark, layout).collect()) == layout.sequences
+
+
+def test_new_words_take_no_longer_than_in_the_library():
+    """Texts of words that do not come again; lists of the library's ids are the measure."""
+    import random
+    import time
+
+    enc, rng = m.WordEncoder(RANKS, P.PATTERN), random.Random(2)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(500)) for _ in range(800)]
+
+    def seconds(encode, texts):
+        start = time.process_time()
+        for text in texts:
+            encode(text)
+        return time.process_time() - start
+
+    for encode in (enc.encode, enc.library.encode_ordinary):
+        seconds(encode, texts[:100])
+    assert seconds(enc.encode, texts[100:]) < 1.5 * seconds(enc.library.encode_ordinary, texts[100:])
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a" + "\n" * 2_000_000 + "x y", "a b" + " \t" * 1_000_000, "a" + "\x1c" * 1_000_000])
+def test_white_space_longer_than_the_pattern_takes(text):
+    enc = m.encoder(RANKS, P.PATTERN)
+    assert enc.library.decode(np.frombuffer(enc.encode(text), "<u2").tolist()) == text
+
+
+def test_cuts_at_white_space_give_the_librarys_ids(monkeypatch):
+    import random
+    import re
+
+    monkeypatch.setattr(m, "LONG", 3)
+    monkeypatch.setattr(m, "LONG_BLANK", re.compile(m.LONG_BLANK.pattern.replace("100000", "3")))
+    enc, rng = m.encoder(RANKS, P.PATTERN), random.Random(5)
+    for _ in range(5000):
+        text = "".join(rng.choices([*"\t\n\v\r\x85\xa0 　", *" " * 9, "a", "é", "1", ".", "'s", "\x1c", "​", "<|endoftext|>"], k=rng.randint(0, 14)))
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == enc.library.encode_ordinary(text)
