@@ -10,8 +10,14 @@ ranks, a row a segment, in which every row merges its best pair at a time; long
 segments use a heap. Characters without a piece fall back to bytes. Segments
 repeat, so a worker keeps a bounded cache of them.
 
-Every text is also encoded and decoded by the sentencepiece library. Where the
-two differ the library's ids and text are returned, and ``agrees`` is false.
+All of this is compared with the sentencepiece library. A segment's ids are
+compared with the library's when a worker learns it, between two characters of
+no piece, which nothing merges with. A cut is right if no piece holds the two
+characters beside it next to each other, as then no merge, in whatever order,
+goes across; every cut of every text is looked at, and a text with another cut
+is encoded by the library as a whole. Every text is decoded by the library too.
+Where the two differ the library's ids and text are returned, and ``agrees`` is
+false.
 
 Null text counts as empty and gives the begin and end ids alone. Rows are
 independent: repeated rows, ties, very long texts and empty tables need no care,
@@ -33,6 +39,7 @@ BLANK = "▁"
 CACHE = 400_000  # segments after which a worker starts a new generation
 SHORT = 40
 BATCH = 4 << 20  # characters whose segments are looked up together
+CHECK = 1 << 14  # characters of segments that go to the library together
 WIDE = 21  # bits of a symbol
 NEVER = np.int32(2**31 - 1)
 
@@ -75,6 +82,9 @@ class PieceCodec:
             else:
                 raise ValueError("only normal, byte and control pieces are supported")
         self.cut = self._cutter()
+        self._cut_table()
+        self._shield()
+        self.differs: set[str] = set()  # segments that the library encodes otherwise
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bound = bound
@@ -95,6 +105,29 @@ class PieceCodec:
         word, rest = r"[^\W_]", rf"[^{BLANK}{alone}a-zA-Z0-9\u0080-\U0010ffff]"
         return re.compile(rf"{BLANK}*{rest}*{word}*{join}|[^{BLANK}]")
 
+    def _cut_table(self) -> None:
+        """Whether a piece holds two characters next to each other, by numbers of the left and the right one."""
+        pairs = sorted({p for piece in self.score for p in itertools.pairwise(piece)})
+        sides = [sorted(set(x)) for x in zip(*pairs, strict=True)] or [[], []]
+        self.left_of, self.right_of = np.zeros((2, 0x110000), np.int32)  # 0: in no pair
+        for number, side in zip((self.left_of, self.right_of), sides, strict=True):
+            number[[ord(c) for c in side]] = np.arange(1, len(side) + 1)
+        self.joined = np.zeros((len(sides[0]) + 1, len(sides[1]) + 1), bool)
+        for a, b in pairs:
+            self.joined[self.left_of[ord(a)], self.right_of[ord(b)]] = True
+
+    def _shield(self) -> None:
+        """A character of no piece, its ids, and the library's ids of a text that starts with it."""
+        used = {c for piece in self.score for c in piece}
+        self.shield = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in used)
+        self.shield_ids = b"".join(self.byte_ids[b] for b in self.shield.encode())
+        self.shield_head = self._library_ids(self.shield)
+        if not self.shield_head.endswith(self.shield_ids):
+            raise ValueError("a character without a piece must give its bytes")
+
+    def _library_ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text), "<u4").tobytes()
+
     def _pair_table(self) -> None:
         """Symbols of all characters, and every pair of symbols that makes a piece, by key."""
         ids = {p: int.from_bytes(x, "little") for p, x in self.ids.items()}
@@ -158,6 +191,11 @@ class PieceCodec:
                 known[seg] = older[seg]
             else:
                 by_length.setdefault(len(seg), []).append(seg)
+        self._merge_all(by_length)
+        self._compare(list(itertools.chain.from_iterable(by_length.values())))
+
+    def _merge_all(self, by_length: dict[int, list[str]]) -> None:
+        known = self.known
         for m, own in by_length.items():
             if not 0 < m <= SHORT:
                 known.update((seg, self._encode_segment(seg)) for seg in own)
@@ -168,6 +206,51 @@ class PieceCodec:
             for k, seg in enumerate(own):
                 known[seg] = data[k * width : k * width + 4 * left[k]] if plain[k] else self._encode_segment(seg)
 
+    def _compare(self, segs: list[str]) -> None:
+        """The library's ids for ``segs`` of ``known`` that differ from it, and their names in ``differs``."""
+        block, size = [], 0
+        for seg in segs:
+            if self.shield in seg:
+                self._compare_block([seg])
+                continue
+            block.append(seg)
+            size += len(seg) + 1
+            if size >= CHECK:
+                self._compare_block(block)
+                block, size = [], 0
+        if block:
+            self._compare_block(block)
+
+    def _compare_block(self, block: list[str]) -> None:
+        # a character's bytes are found nowhere else in UTF-8, so equal blocks have equal segments
+        own = self.shield_head + self.shield_ids.join(map(self.known.__getitem__, block))
+        ids = self._library_ids(self.shield + self.shield.join(block))
+        if ids == own:
+            return
+        if len(block) > 1:
+            for seg in block:
+                self._compare_block([seg])
+        else:
+            self.known[block[0]] = ids[len(self.shield_head) :]
+            self.differs.add(block[0])
+
+    def _cuts_hold(self, texts: list[str], rows: list[list[str]]) -> list[bool]:
+        """Whether each text's segments make it up, and no merge can go across a cut."""
+        sizes = np.fromiter(map(len, itertools.chain.from_iterable(rows)), np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        last = ends[np.cumsum([len(row) for row in rows], dtype=np.int64)]  # where each text ends
+        hold = np.diff(last, prepend=0) == np.fromiter(map(len, texts), np.int64, len(texts))
+        if not hold.all():
+            texts = ["".join(row) for row in rows]
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        cut = np.zeros(len(code) + 1, bool)
+        cut[ends] = True
+        cut[last] = cut[0] = False
+        at = np.flatnonzero(cut)
+        across = at[self.joined[self.left_of[code[at - 1]], self.right_of[code[at]]]]
+        hold[np.searchsorted(last, across, side="right")] = False
+        return hold.tolist()
+
     def _encode_segment(self, seg: str) -> bytes:
         return b"".join(self.ids.get(x) or b"".join(self.byte_ids[b] for b in x.encode()) for x in self._merge_long(seg))
 
@@ -200,18 +283,26 @@ class PieceCodec:
                     heapq.heappush(agenda, (-s, h, i, new))
         return [x for x in sym if x is not None]
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
-        begin, end, out, at = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little"), [], 0
+    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids as of ``encode_texts``, whether all cuts of a text hold, and whether all its segments were as in the library."""
+        begin, end, at = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little"), 0
+        out, hold, same = [], [], []
         while at < len(texts):
-            rows, size = [], 0
+            some, size = [], 0
             while at < len(texts) and size < BATCH:
-                rows.append(self.cut.findall(BLANK + texts[at].replace(" ", BLANK)) if texts[at] else [])
+                some.append(BLANK + texts[at].replace(" ", BLANK) if texts[at] else "")
                 size += len(texts[at]) + 1
                 at += 1
+            rows = [self.cut.findall(text) if text else [] for text in some]
             self.learn(set().union(*rows))
             out.extend(begin + b"".join(map(self.known.__getitem__, row)) + end for row in rows)
-        return out
+            hold.extend(self._cuts_hold(some, rows))
+            same.extend(not self.differs or self.differs.isdisjoint(row) for row in rows)
+        return out, hold, same
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
+        return self.encode_checked(texts)[0]
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_texts([text])[0]).cast("I").tolist()
@@ -246,15 +337,16 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
         c = codec(model_file)
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            ids, back, agrees = c.encode_texts(texts), [], []
+            ids, hold, agrees = c.encode_checked(texts)
+            back = []
             for k, text in enumerate(texts):
-                row = memoryview(ids[k]).cast("I").tolist()
+                row = want = memoryview(ids[k]).cast("I").tolist()
                 back.append(c.decode(row))
-                want = c.library.encode(text, add_bos=True, add_eos=True)
+                if not hold[k]:
+                    want = c.library.encode(text, add_bos=True, add_eos=True)
                 plain = c.library.decode(want)
-                agrees.append(want == row and plain == back[k])
-                if not agrees[k]:
-                    ids[k], back[k] = np.array(want, "<u4").tobytes(), plain
+                if want != row or plain != back[k]:
+                    ids[k], back[k], agrees[k] = np.array(want, "<u4").tobytes(), plain, False
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string()), pa.array(agrees, pa.bool_())], ["doc_id", "ids", "decoded", "agrees"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -73,3 +73,68 @@ def test_every_text_is_checked(wrong, monkeypatch):
         assert [k for k, ok in enumerate(got.column(3).to_pylist()) if not ok] == [wrong]
         lib = m.codec(MODEL).library
         assert got.column(1).to_pylist() == [np.array(lib.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+
+
+def checked(texts):
+    column = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = SimpleNamespace(schema={"doc_id": column}, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    got = next(m.encode_decode(docs, MODEL)([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]))
+    return [got.column(k).to_pylist() for k in (1, 2, 3)]
+
+
+def library_ids(texts):
+    lib = m.PieceCodec(MODEL).library
+    return [np.array(lib.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+
+
+def test_segments_go_to_the_library_once(monkeypatch):
+    c, rng = m.PieceCodec(MODEL), random.Random(6)
+    monkeypatch.setitem(m._codecs, MODEL, c)
+    words = ["".join(rng.choices("etaoinshrd", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(100)]
+    lib, seen = c.library, []
+    c.library = SimpleNamespace(encode=lambda t, **kw: seen.append(t) or lib.encode(t, **kw), decode=lib.decode)
+    assert checked(texts) == [library_ids(texts), texts, [True] * 100]
+    assert all(w in "".join(seen) for w in words)
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 20
+
+
+@pytest.mark.parametrize("check", [1, 40, 1 << 14])
+def test_a_wrong_segment_is_found(check, monkeypatch):
+    c = m.PieceCodec(MODEL)
+    monkeypatch.setitem(m._codecs, MODEL, c)
+    monkeypatch.setattr(m, "CHECK", check)
+    texts = ["some words here", "words and others", "x" * 50 + " y", f"a {c.shield}b {c.shield}", "", "others alone", "others again"]
+    merge, long = c._merge_batch, c._merge_long
+
+    def wrong(segs):
+        sym, left = merge(segs)
+        for k, seg in enumerate(segs):
+            if seg == "▁words":
+                sym[k, 0] = c.symbol_of[ord("q")]
+        return sym, left
+
+    monkeypatch.setattr(c, "_merge_batch", wrong)
+    monkeypatch.setattr(c, "_merge_long", lambda seg: list(seg) if c.shield in seg or len(seg) > 40 else long(seg))
+    for _ in range(2):  # learned, then known
+        assert checked(texts) == [library_ids(texts), texts, [False, False, False, True, True, True, True]]
+
+
+def test_cuts_against_all_pairs_of_pieces():
+    c, rng = m.PieceCodec(MODEL), random.Random(7)
+    pairs = {p[k : k + 2] for p in c.score for k in range(len(p) - 1)}
+    texts, rows = [], []
+    for _ in range(3000):
+        text = "".join(rng.choices([*"▁aethn", "\n", "日", "q", "7", "²", "."], k=rng.randint(0, 8)))
+        cuts = sorted(rng.choices(range(len(text) + 1), k=rng.randint(0, 3)))
+        row = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if text else []
+        texts.append(text)
+        rows.append(row[:-1] if rng.random() < 0.1 else row)
+    want = []
+    for text, row in zip(texts, rows, strict=True):
+        full = [x for x in row if x]
+        want.append("".join(row) == text and not any(a[-1] + b[0] in pairs for a, b in zip(full, full[1:], strict=False)))
+    assert 500 < sum(want) < 2500
+    assert c._cuts_hold(texts, rows) == want
+    for text, row, ok in zip(texts[:300], rows, want, strict=False):
+        assert c._cuts_hold([text], [row]) == [ok]
