@@ -91,7 +91,7 @@ class PieceCodec:
         self._pair_table()
 
     def _cutter(self) -> re.Pattern:
-        """Segments end before a blank, and after letters where no piece goes on."""
+        """Segments end before a blank, and after letters or signs where no piece goes on."""
         pairs = {p for piece in self.score for p in itertools.pairwise(piece)}
         letter = re.compile(r"[^\W_]").match
         if any(b == BLANK != a for a, b in pairs):
@@ -102,7 +102,8 @@ class PieceCodec:
             heads, tails = (re.escape("".join(sorted(set(x)))) for x in zip(*over, strict=True))
             join = f"(?:(?<=[{heads}])[{tails}][^{BLANK}]*)?"
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in pairs))
-        word, rest = r"[^\W_]", rf"[^{BLANK}{alone}a-zA-Z0-9\u0080-\U0010ffff]"
+        signs = {c for c in map(chr, range(128)) if not letter(c)} | {c for p in pairs for c in p if not letter(c)}
+        word, rest = r"[^\W_]", f"[{re.escape(''.join(sorted(signs - {BLANK, *alone})))}]"
         return re.compile(rf"{BLANK}*{rest}*{word}*{join}|[^{BLANK}]")
 
     def _cut_table(self) -> None:

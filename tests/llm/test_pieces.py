@@ -138,3 +138,14 @@ def test_cuts_against_all_pairs_of_pieces():
     assert c._cuts_hold(texts, rows) == want
     for text, row, ok in zip(texts[:300], rows, want, strict=False):
         assert c._cuts_hold([text], [row]) == [ok]
+
+
+def test_signs_stay_with_what_pieces_join_them_to():
+    """Quotation marks, dashes and other signs beyond ASCII: the operator's own ids, no text left to the library."""
+    c, rng = m.PieceCodec(MODEL), random.Random(8)
+    alphabet = [*map(chr, range(32, 127)), *"\n\t\r“”‘’—–…«»°·²½éßжλ日あ한🎉▁\u00a0\u200b\u0301\x85", *" " * 20]
+    texts = ["“Yes,” they said — ‘no’…", "a “b”. (“c”), «d». [… e]", "——", "5 °C"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(1, 80))) for _ in range(3000)]
+    ids, hold, same = c.encode_checked(texts)
+    assert ids == library_ids(texts)
+    assert all(hold) and all(same)
